@@ -40,7 +40,7 @@ class Rules:
     #: A line without end punctuation of at most so many words that has a navigation word fails.
     nav_words_upto: int = 4
     #: A text is rejected if more than this share of its bytes stands on failing lines.
-    max_lost_share: float = 0.4
+    max_lost_share: float = 0.6
 
 
 _MARKED = re.compile(rb"(?:[#*$%&<>~^_=+]{2,}|[!?]{2,})")

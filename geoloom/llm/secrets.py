@@ -11,7 +11,6 @@ points, ends are exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -178,8 +177,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: s
     return docs.mapInArrow(run, schema)
 
 
-def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+def digests(docs: DataFrame) -> DataFrame:
+    """Per document: the counts and the digest of the base kinds, and the spans of all kinds as text."""
+    found = find_secrets(docs.select("doc_id", "text")).drop("text")
     base = "('assign', 'access', 'hex')"
     joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     return found.selectExpr(
@@ -190,8 +190,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_secret_scan": op1_secret_scan}

@@ -26,7 +26,7 @@ class Entry(NamedTuple):
     verdict: str
 
 
-ENTRIES = (Entry("net", "/", "block"), Entry("example.net", "/en/", "allow"), Entry("example.com", "/de", "block"), Entry("org", "/fr/", "allow"))
+ENTRIES = (Entry("net", "/", "block"), Entry("example.net", "/en/", "allow"), Entry("example.com", "/de/", "block"), Entry("org", "/fr/", "allow"))
 
 
 def host_and_path(df: DataFrame, url: str = "url") -> DataFrame:
@@ -75,8 +75,7 @@ def match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
                 break
             open_ends = [e for e in inner.get("ends", ()) if segment.startswith(e)]
             if open_ends:
-                found = inner["ends"][max(open_ends, key=len)]
-                best = found if best is None or inner is not None else best
+                best = inner["ends"][max(open_ends, key=len)]
             inner = inner.get((segment,))
     return best
 
@@ -126,10 +125,10 @@ parts AS (
 judged AS (
   SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
     CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de') THEN 'example.com/de'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' END AS rule FROM parts)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
 
 QUERIES = {"op2_url_filter": op2_url_filter}
