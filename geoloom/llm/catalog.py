@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL that they are checked against."""
 
-from . import decontamination, packing, pii, quality, secrets, urls
+from . import decontamination, packing, pii, quality, secrets, simhash, urls
 
-_ALL = (secrets, urls, packing, quality, decontamination, pii)
+_ALL = (secrets, urls, packing, quality, decontamination, pii, simhash)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in getattr(m, "SQL", {}).items()}
