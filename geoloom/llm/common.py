@@ -141,3 +141,15 @@ def windows(h: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's steps for logistic regression."""
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

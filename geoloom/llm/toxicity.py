@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fold_of, read
+from .common import chunks, fold_of, logistic, read
 
 #: Cyrillic, Greek, full-width and accented letters, and signs, by the Latin letter they look like.
 LOOKALIKES = {
@@ -115,18 +115,6 @@ def _inputs(total: float, dense: float) -> tuple[float, float, float]:
     return 1.0, float(np.log1p(total)), float(np.log1p(20.0 * dense))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's steps for logistic regression."""
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def _taught(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """(text, toxic, part) of the sample; part 2 is for the curve. The bound is kept by a share of the hash's range."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -191,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     if not rows:
         return Model(first.weights, EXCEPTIONS + learned, (-2.0, 1.0, 1.0))
     x = np.array([_inputs(r.total, r.dense) for r in rows])
-    curve = _logistic(x, np.array([r.toxic for r in rows], float))
+    curve = logistic(x, np.array([r.toxic for r in rows], float))
     return Model(first.weights, EXCEPTIONS + learned, tuple(curve.tolist()))
 
 
