@@ -30,10 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read again: lineage is cut and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
