@@ -128,8 +128,9 @@ def find_leaks(docs: DataFrame, bench: DataFrame, settings: Settings | None = No
 
 def decontaminate(docs: DataFrame, bench: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those in which a benchmark item is found."""
-    leaks = find_leaks(docs, bench, settings, doc_id, text).select(F.col("doc_id").alias("_leak"), F.col("_text_hash").alias("_leak_hash")).distinct()
-    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("_leak")) & (F.xxhash64(docs[text]) == F.col("_leak_hash")), "left_anti")
+    own, other = (next(n for n in (f"{base}{'_' * k}" for k in range(1000)) if n not in docs.columns) for base in ("_leak", "_leak_hash"))
+    leaks = find_leaks(docs, bench, settings, doc_id, text).select(F.col("doc_id").alias(own), F.col("_text_hash").alias(other)).distinct()
+    return docs.join(leaks, docs[doc_id].eqNullSafe(leaks[own]) & (F.xxhash64(docs[text]) == leaks[other]), "left_anti")
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ pass and written; nothing else touches the texts. All repeated groups in the pat
 can exhaust the stack, and look back at what stands before, so that no text takes quadratic time.
 
 Null texts are empty and have no spans. Repeated rows are judged each for itself, as no row is joined. Extra columns
-pass through; a column named `pii` or `redacted` is replaced. Without any candidate in the corpus the seeds alone
+pass through; columns named `pii` or `redacted`, and working columns that begin with `_`, are replaced. Without any candidate in the corpus the seeds alone
 make the model.
 """
 

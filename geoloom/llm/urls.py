@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, stored
 
 #: More entries than this are not broadcast as a trie but joined (`judge_by_join`).
 MOST_BROADCAST = 200_000
@@ -101,10 +101,10 @@ def judge_urls(df: DataFrame, entries: tuple[Entry, ...] = ENTRIES, otherwise: s
 def judge_by_join(df: DataFrame, entries: DataFrame, otherwise: str = "allow") -> DataFrame:
     """The same for any number of entries: every host suffix is looked up by a shuffle join, then the path prefix decides.
 
-    df has host and path; a row number tells repeated rows apart.
+    df has host and path; it is written once with row numbers, which tell repeated rows apart and stay the same on retries.
     """
     names = df.columns
-    rows = df.withColumn("_row", F.expr("uuid()")).withColumn("_labels", F.split("host", r"\."))
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id())).withColumn("_labels", F.split("host", r"\."))
     suffix = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."))
     rules = entries.select(F.lower("host").alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"), F.concat("host", "path").alias("_rule"))
     # the suffixes of one host meet few rules each, so the salted join sends popular suffixes to several tasks by AQE

@@ -14,8 +14,8 @@ ODD = [
 
 def odd(spark):
     """Nulls, empty and very long texts, repeated rows and extra columns whose names clash."""
-    rows = [(i, t, None if k % 3 else "en", "s", len(t or ""), "x") for k, (i, t) in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _h string")
+    rows = [(i, t, None if k % 3 else "en", "s", len(t or ""), "x", "y") for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _h string, _leak string")
 
 
 def documents(spark):
