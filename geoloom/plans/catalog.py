@@ -461,7 +461,7 @@ def derive_local_vertices(w):
     return made.select("id", tag("_node_ref").alias("node_ref"), (F.size("tags") - 1).alias("n"), tag("brand").alias("brand"))
 
 
-@query("""SELECT way, count(*) AS links, sum(nodes) AS nodes FROM (
+@query("""SELECT way, count(*) AS links, CAST(sum(nodes) AS BIGINT) AS nodes FROM (
   SELECT way, part, count(*) + 1 AS nodes FROM (
     SELECT x.way, x.pos, sum(CASE WHEN x.pos = 1 OR c.ref IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY x.way ORDER BY x.pos) AS part FROM waynd x
     LEFT JOIN (SELECT ref FROM waynd WHERE way <= 900 AND n > 1 GROUP BY ref HAVING sum(CASE WHEN pos = 1 OR pos = n THEN 2 ELSE 1 END) > 1) c ON c.ref = x.ref
