@@ -15,6 +15,10 @@ blocks, and a task returns only edges to the least member of what it linked: nev
 very many fingerprints store are dealt over several tasks (the stored side in chunks, the looking side copied to each),
 so no link is lost. Components come from rounds of star contraction, each written to the shared folder.
 
+`near_dedup` has settings of its own: sets of five-word shingles with a similarity of 0.8 or more. Such pairs differ in some
+ten bits of 64, out of reach of the Golay keys; several fingerprints are cut into many exact segments instead, and a pair
+that shares one links only if the Jaccard similarity of its shingle sets, counted in full, is high enough.
+
 Null and empty texts have fingerprint zero, linked like any other. Texts shorter than a shingle are one shingle.
 Repeated rows are ties; of rows with one id and text, `near_dedup` keeps one. A null id counts only where a component
 has no other. Extra columns pass through `near_dedup`, whose own columns begin with `_`.
@@ -23,6 +27,7 @@ has no other. Extra columns pass through `near_dedup`, whose own columns begin w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, raw, read, stored
+from .common import Words, chunks, mix, raw, read, stored, windows
 
 SHINGLE = 4
 SEED = 42
@@ -44,6 +49,18 @@ STORED_UPTO = 8192
 BLOCK = 1 << 21
 
 
+@dataclass(frozen=True)
+class Similar:
+    """near_dedup: words of a shingle, least Jaccard similarity, fingerprints of a text, share of the pairs at that similarity
+    that the keys should reach, and the bits in which the first two fingerprints of a pair may differ (at 0.8: 19.4 of 128, deviation 4.1)."""
+
+    shingle: int = 5
+    least: float = 0.8
+    fingerprints: int = 8
+    recall: float = 0.99
+    most_bits: int = 36
+
+
 # ---- fingerprints ----
 
 
@@ -273,13 +290,179 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return own.join(found, own["_fp"] == found["fp"]).select(doc_id, "_fp", F.col("component").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the least id. Which rows go is settled on row numbers, without texts."""
-    rows = stored(with_fingerprint(docs, text).withColumn("_row", F.monotonically_increasing_id()))
+# ---- copies by shingle similarity ----
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts, text by text in order, and how many each text has. A shorter text is one shingle."""
+    words = Words(texts, lower=True)
+    h, n = words.hashes(), len(texts)
+    at, whole = windows(h, words.text, shingle)
+    first = np.cumsum(words.count) - words.count
+    short = np.flatnonzero((words.count > 0) & (words.count < shingle))
+    rest = words.count[short].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(shingle - 1):
+            there = words.count[short] > j
+            rest[there] = mix(rest[there] + h[first[short[there]] + j])
+    owner, hashes = np.concatenate([words.text[at], short]), np.concatenate([whole, rest])
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])][: len(owner)]
+    return hashes[new], np.bincount(owner[new], minlength=n)
+
+
+def _with_sketches(docs: DataFrame, text: str, s: Similar) -> DataFrame:
+    """docs with `_set` (a hash of the set of shingles), `_fps` (fingerprints) and `_shingles` (sorted 32-bit hashes)."""
+    docs = docs.drop("_set", "_fps", "_shingles")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType()), T.StructField("_fps", T.BinaryType()), T.StructField("_shingles", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, text, 1 << 20):
+            hashes, count = shingle_sets(raw(part.column(text)), s.shingle)
+            own, fps = np.zeros(part.num_rows, np.uint64), np.zeros((part.num_rows, s.fingerprints), np.uint64)
+            filled = count > 0
+            if len(hashes):
+                begin = (np.cumsum(count) - count)[filled]
+                with np.errstate(over="ignore"):
+                    own[filled] = mix(np.add.reduceat(mix(hashes), begin) + count[filled].astype(np.uint64))
+                for k in range(s.fingerprints):
+                    with np.errstate(over="ignore"):
+                        h = mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+                    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+                    fps[filled, k] = np.packbits(2 * ones > count[filled][:, None], axis=1, bitorder="little").view("<u8").ravel()
+            ends = np.cumsum(count)
+            low = (hashes >> np.uint64(32)).astype("<u4")  # in order, as the hashes are
+            sets = [low[b - n : b].tobytes() for b, n in zip(ends.tolist(), count.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.view(np.int64)), pa.array([x.tobytes() for x in fps.astype("<u8")], pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def key_places(n: int, s: Similar) -> np.ndarray:
+    """A row of bits per key. Keys widen with the number of sets, so that buckets stay small, and their number keeps the wanted recall."""
+    bits = max(16, n.bit_length() - 6)
+    differ = float(np.arccos(2 * s.least / (1 + s.least)) / np.pi)
+    wanted = int(np.ceil(np.log(1 - s.recall) / np.log(1 - (1 - differ) ** bits)))
+    rng, size = np.random.default_rng(SEED), 64 * s.fingerprints
+    each = size // bits
+    return np.concatenate([rng.permutation(size)[: each * bits].reshape(each, bits) for _ in range(-(-wanted // each))])
+
+
+def _similar_rows(sketches: DataFrame, places: np.ndarray) -> DataFrame:
+    """(key, set, fp, fp2): a row per key of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, bits = places.shape
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                fps = np.frombuffer(b"".join(part.column("_fps").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                flat = np.unpackbits(fps, axis=1, bitorder="little")
+                wide = fps.view("<i8")
+                own = part.column("_set").to_numpy(zero_copy_only=False)
+                for k in range(n):
+                    key = (flat[:, places[k]] * weights).sum(axis=1) * n + k
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, own, np.ascontiguousarray(wide[:, 0]), np.ascontiguousarray(wide[:, 1]))], names=["key", "set", "fp", "fp2"])
+
+    return sketches.select("_set", "_fps").mapInArrow(run, "key long, set long, fp long, fp2 long")
+
+
+def similar_sorted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) from rows (key, salt, side, set, fp, fp2) in this order: of each looking row its least and its nearest partner. Side 0 stores, 1 looks, 2 does both."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "salt", "side", "set", "fp", "fp2")]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        key, salt, side, own, fp, fp2 = now
+        edge = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+        begin, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+        each = np.add.reduceat((side != 1).astype(np.int64), begin)[group]
+        looking = np.flatnonzero((side != 0) & (each > 0))
+        each = each[looking]
+        ends, at = np.cumsum(each), 0
+        while at < len(looking):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + (BLOCK >> 2), "right")))
+            rows, n = looking[at:to], each[at:to]
+            at = to
+            x = np.repeat(rows, n)
+            y = np.repeat(begin[group[rows]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            far = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)).astype(np.int16) + np.bitwise_count((fp2[x] ^ fp2[y]).view(np.uint64))
+            good = np.flatnonzero((far <= most) & (own[x] != own[y]))
+            if not len(good):
+                continue
+            x, y, far = x[good], own[y[good]], far[good]
+            pairs = []
+            for order in (np.lexsort((y, x)), np.lexsort((y, far, x))):
+                first = order[np.r_[True, x[order][1:] != x[order][:-1]]]
+                pairs.append((own[x[first]], y[first]))
+            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        last = begin[-1]
+        stay = np.flatnonzero(side[last:] != 1) + last
+        held = [x[stay] for x in now]
+        held[2] = np.zeros(len(stay), side.dtype)
+
+
+def similar_pairs(sketches: DataFrame, s: Similar, stored_upto: int = STORED_UPTO) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of sets that share a key and whose first two fingerprints are near; similarity is not yet verified."""
+    places = key_places(sketches.count(), s)
+    hot = _similar_rows(sketches, places).groupBy("key").count().filter(F.col("count") > stored_upto).select("key", F.ceil(F.col("count") / stored_upto).cast("int").alias("chunks"))
+    rows = _similar_rows(sketches, places).join(F.broadcast(hot), "key", "left")
+    deal = lambda salt, side: F.struct(salt.cast("int").alias("salt"), F.lit(side).cast("byte").alias("side"))
+    store = F.array(deal(F.pmod(F.xxhash64("set"), F.col("chunks")), 0))
+    look = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: deal(i, 1))
+    dealt = F.explode(F.when(F.col("chunks").isNull(), F.array(deal(F.lit(0), 2))).otherwise(F.concat(store, look)))
+    rows = rows.select("key", dealt.alias("d"), "set", "fp", "fp2").select("key", "d.salt", "d.side", "set", "fp", "fp2")
+    most = s.most_bits
+    found = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(lambda batches: similar_sorted(batches, most), "a long, b long")
+    return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= least * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    with_x = pairs.join(shingles.select(F.col("_set").alias("u"), F.col("_shingles").alias("_x")), "u")
+    return with_x.join(shingles.select(F.col("_set").alias("v"), F.col("_shingles").alias("_y")), "v").select("u", "v", "_x", "_y").mapInArrow(run, "u long, v long")
+
+
+def similar_components(sketches: DataFrame, s: Similar) -> DataFrame:
+    """(node, root) of sets that verified pairs connect. Pairs inside a component that others connect already need no look at their shingles."""
+    pairs = stored(similar_pairs(sketches, s))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("_set")).distinct()
+    shingles = stored(sketches.select("_set", "_shingles").join(ends, "_set", "left_semi"))
+    one = verified(pairs.groupBy("u").agg(F.min("v").alias("v")), shingles, s.least)
+    roots = components(one.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    to = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    apart = pairs.join(to("u"), "u", "left").join(to("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    more = verified(apart.select("u", "v"), shingles, s.least)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more.select("u", "v")))
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Similar | None = None) -> DataFrame:
+    """docs with one row, that with the least id, of each component of texts whose shingle sets are similar. Which rows go is settled on row numbers, without texts."""
+    s = settings or Similar()
+    rows = stored(_with_sketches(docs, text, s).withColumn("_row", F.monotonically_increasing_id()))
     least = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row")))
-    classes = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(least.alias("first")))
-    kept = component_of(classes).select(F.col("component.row").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").drop("_row", "_fp")
+    classes = stored(rows.groupBy("_set").agg(least.alias("first")))
+    sketches = stored(rows.select("_row", "_set", "_fps", "_shingles").join(classes.select(F.col("first.row").alias("_row")), "_row", "left_semi").drop("_row"))
+    roots = similar_components(sketches, s)
+    rooted = classes.join(roots, classes["_set"] == roots["node"], "left").select("first", F.coalesce("root", "_set").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row", "_set", "_fps", "_shingles")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,54 @@ def test_near_dedup(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id, r.fp) for r in got.collect()) == [(1, "y"), (2, "z"), (9, "m")]
     assert simhash.near_dedup(df.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_dedup_similarity(spark):
+    """Near copies at 0.8 to 0.95 against brute force: none below 0.8 goes, nearly all from 0.8 on do."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(150):
+        base = rng.choices(vocabulary, k=rng.randint(60, 400))
+        texts.append(base)
+        for share in (0.01, 0.02, 0.03, 0.04):  # of the words replaced: similarity of some 0.9 to 0.65
+            copy = list(base)
+            for i in rng.sample(range(len(copy)), max(1, round(share * len(copy)))):
+                copy[i] = rng.choice(vocabulary)
+            texts.append(copy)
+    texts = [" ".join(x) for x in texts] + ["a b", "A  b", "a c", "", None]
+    sets = [shingle_set(t) for t in texts]
+    near = [(j, i) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, i in near:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    got = {r.id for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()}
+    assert want <= got
+    gone = len(texts) - len(want)
+    assert gone > 250 and len(texts) - len(got) >= 0.97 * gone
+
+
+def test_similar_pairs_of_hot_keys(spark):
+    """A key that many sets share is dealt over tasks; the components stay."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:k], f"x{rng.random()}", *base[k + 1 :]]) for k in range(100)]
+    docs = simhash._with_sketches(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", simhash.Similar())
+    assert {len({*simhash.components(simhash.similar_pairs(docs, simhash.Similar(), upto).toDF("a", "b")).select("root").toPandas()["root"]}) for upto in (8192, 10)} == {1}
