@@ -10,8 +10,8 @@ any other word is class 0, inside which its smoothed count gives its probability
 history) are softmaxes over hashed features: the word before, the two before, the one before those (a skip), and the
 word before with the third (a skip-gram). Weights start at the shares that all training documents show and are then
 moved by `Settings.rounds` rounds of distributed gradient updates: each task adds up observed less expected counts over
-one in `Settings.share` positions of every training document (others each round), Spark sums them by feature, and the
-driver moves the weights, whose number is fixed by `Settings`.
+its part of the positions of every training document (the rounds share all positions out among them), Spark sums them by
+feature, and the driver moves the weights, whose number is fixed by `Settings`.
 
 Null and empty texts are the end token alone. A null id is in the fold of the empty text. Repeated rows are scored each
 for itself. Without training documents all counts are 0 and every token is rare. Other columns are not carried.
@@ -47,7 +47,6 @@ class Settings:
     class_bits: int = 13
     word_bits: int = 14
     rounds: int = 2
-    share: int = 8
     step: float = 0.5
     prior: float = 5.0
     chunk_bytes: int = 32 << 20
@@ -212,6 +211,11 @@ class Batch:
             return [(mix(self.feature[k][at] + c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.s.word_bits)).astype(np.int64) for k in WORD_FEATURES]
 
 
+def positions(b: Batch, k: int, s: Settings) -> np.ndarray:
+    """The positions that round k trains on; over the rounds each position comes once."""
+    return np.flatnonzero((b.place + b.doc + k) % s.rounds == 0)
+
+
 def _softmax(weights: np.ndarray, bias: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
     x = bias + weights[buckets[0]]
     for b in buckets[1:]:
@@ -279,7 +283,7 @@ def fit(counted: DataFrame, s: Settings) -> Model:
             for part in batches:
                 for at in range(0, part.num_rows, 256):
                     b = Batch(part.column("ids").slice(at, 256).to_pylist(), s)
-                    chosen = np.flatnonzero((b.place + b.doc + k) % s.share == 0)
+                    chosen = positions(b, k, s)
                     for a in range(0, len(chosen), s.block):
                         _add(m, b, chosen[a : a + s.block], tables, wide, s)
             yield from _table_rows(tables)

@@ -54,3 +54,13 @@ def test_empty_tables(spark):
     held = df.filter("crc32(cast(doc_id AS string)) % 5 = 1")
     rows = scoring.score(held).collect()
     assert rows and all(r.train_tokens == 0 and r.n_known == 0 for r in rows)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_rounds_train_on_every_position(rounds):
+    import numpy as np
+
+    s = scoring.Settings(rounds=rounds)
+    b = scoring.Batch([np.arange(n).astype("<u2").tobytes() for n in (1, 7, 0, 20)], s)
+    met = np.concatenate([scoring.positions(b, k, s) for k in range(rounds)])
+    assert sorted(met.tolist()) == list(range(28))
