@@ -3,9 +3,11 @@
 Generators propose spans, which may overlap: the base kinds (email, ip, card, phone) with their checks, and wider
 patterns (obfuscated addresses, numbers without a plus, account codes, colon-separated addresses). Every candidate gets
 a mask of format and context features. Boosted trees are fitted to counts per mask: positive are candidates that meet
-a base span, and marked seed sentences stand in for kinds that have no base span. One fold of the documents is kept
-from the fit, and on it the threshold is set at which the wanted share of the selected candidates is positive. Base
-spans always stay; wide candidates over the threshold that meet no base span are added.
+a base span, negative those that meet neither a base span nor a wide candidate; what else meets a wide candidate has no
+label in the corpus. Marked seed sentences stand in for kinds that have no base span, and the corpus never weighs more
+than they do, so that its size settles nothing. The threshold is set on the wide candidates of the seeds, where the
+wanted share of the selected ones is positive. Base spans always stay; wide candidates over the threshold that meet no
+base span are added.
 
 The fit needs a count per mask only (at most 2**11 masks), so the driver never sees a text. Candidates are found in one
 pass and written; nothing else touches the texts. All repeated groups in the patterns are possessive, so that no text
@@ -20,12 +22,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, read, stored
+from .common import read, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -60,9 +63,8 @@ SEED_WEIGHT = 40
 class Settings:
     trees: int = 24
     rate: float = 0.3
-    #: Share of the selected candidates of the fold set aside that must be positive.
+    #: Share of the selected wide candidates of the seeds that must be positive.
     precision: float = 0.95
-    folds: int = 5
 
 
 def luhn_ok(digits: Column) -> Column:
@@ -140,11 +142,11 @@ def _meets(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def _counts(found: DataFrame, positive: Column, doc_id: str, folds: int) -> DataFrame:
-    """Candidates per mask, class and whether they are set aside for the threshold."""
-    aside = fold_of(F.col(doc_id), folds) == 0
-    each = found.select(aside.alias("aside"), F.explode(F.transform("_candidates", lambda c: F.struct(c["mask"].alias("mask"), positive(c).alias("positive"), c["kind"].isin(*WIDE_KINDS).alias("wide")))).alias("c"))
-    return each.groupBy("aside", "c.mask", "c.positive", "c.wide").count()
+def _counts(found: DataFrame, positive: Callable[[Column], Column], labelled: Callable[[Column], Column]) -> DataFrame:
+    """Labelled candidates per mask, class and whether their kind is wide."""
+    of = lambda c: F.struct(c["mask"].alias("mask"), positive(c).alias("positive"), c["kind"].isin(*WIDE_KINDS).alias("wide"))
+    each = found.select(F.explode(F.transform(F.filter("_candidates", labelled), of)).alias("c"))
+    return each.groupBy("c.mask", "c.positive", "c.wide").count()
 
 
 @dataclass
@@ -212,9 +214,9 @@ def boost(cells: dict[int, tuple[float, float]], s: Settings) -> Model:
     return model
 
 
-def _calibrate(model: Model, aside: dict[int, tuple[float, float]], precision: float) -> float:
+def _calibrate(model: Model, labelled: dict[int, tuple[float, float]], precision: float) -> float:
     """The least score from which on the wanted share of the candidates is positive; over 1 if there is none."""
-    scored = sorted(((1 / (1 + math.exp(-model.margin(m))), neg, pos) for m, (neg, pos) in aside.items()), reverse=True)
+    scored = sorted(((1 / (1 + math.exp(-model.margin(m))), neg, pos) for m, (neg, pos) in labelled.items()), reverse=True)
     found, n0, n1 = 2.0, 0.0, 0.0
     for k, (p, neg, pos) in enumerate(scored):
         n0, n1 = n0 + neg, n1 + pos
@@ -223,21 +225,27 @@ def _calibrate(model: Model, aside: dict[int, tuple[float, float]], precision: f
     return found
 
 
-def fit(found: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id") -> Model:
-    """The model from candidates (with_candidates), in one aggregation; the driver gets a row per mask, class and fold."""
+def fit(found: DataFrame, settings: Settings | None = None) -> Model:
+    """The model from candidates (with_candidates), in one aggregation; the driver gets a row per mask and class."""
     s = settings or Settings()
     spark = found.sparkSession
     base = F.filter("_candidates", lambda c: c["base"])
-    corpus = _counts(found.withColumn("_base", base), lambda c: F.exists("_base", lambda b: _meets(b, c)), doc_id, s.folds)
+    wide = F.filter("_candidates", lambda c: c["kind"].isin(*WIDE_KINDS))
+    meets = lambda spans: lambda c: F.exists(spans, lambda x: _meets(x, c))
+    corpus = _counts(found.withColumn("_base", base).withColumn("_wide", wide), meets("_base"), lambda c: meets("_base")(c) | ~meets("_wide")(c)).collect()
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(SEEDS)], "doc_id long, marked string").withColumn("text", F.regexp_replace(F.regexp_replace("marked", r"\[\[", ""), r"\]\]", ""))
     mark = F.struct((F.instr("marked", "[[") - 1).cast("long").alias("start"), F.when(F.col("marked").contains("]]"), F.instr("marked", "]]") - 3).otherwise(-1).cast("long").alias("end"))
     seeds = with_candidates(texts.withColumn("_mark", mark))
-    seeds = _counts(seeds.withColumn("doc_id", F.lit(None).cast("long")), lambda c: (F.col("_mark.end") > 0) & _meets(F.col("_mark"), c), "doc_id", s.folds).withColumn("count", F.col("count") * SEED_WEIGHT)
-    seeds = seeds.withColumn("aside", F.explode(F.array(F.lit(False), F.lit(True))))
+    seeds = _counts(seeds, lambda c: (F.col("_mark.end") > 0) & _meets(F.col("_mark"), c), lambda c: F.lit(True)).collect()
     fitted: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
     kept: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for r in corpus.unionByName(seeds).collect():
-        (kept if r["aside"] else fitted)[r["mask"]][r["positive"]] += r["count"]
+    weight = min(1.0, SEED_WEIGHT * sum(r["count"] for r in seeds) / max(1, sum(r["count"] for r in corpus)))
+    for r in corpus:
+        fitted[r["mask"]][r["positive"]] += weight * r["count"]
+    for r in seeds:
+        fitted[r["mask"]][r["positive"]] += SEED_WEIGHT * r["count"]
+        if r["wide"]:
+            kept[r["mask"]][r["positive"]] += SEED_WEIGHT * r["count"]
     model = boost({m: tuple(c) for m, c in fitted.items()}, s)
     model.threshold = _calibrate(model, {m: tuple(c) for m, c in kept.items()}, s.precision)
     return model
@@ -253,10 +261,10 @@ def select(found: DataFrame, model: Model) -> DataFrame:
     return found.drop("pii").withColumn("_base", base).withColumn("_added", added).withColumn("pii", F.transform(spans, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_base", "_added", "_candidates")
 
 
-def find_pii(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def find_pii(docs: DataFrame, settings: Settings | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with `pii`, an array of (kind, start, end) in code points. One pass over the texts; the candidates are written once."""
     found = stored(with_candidates(docs, text) if keep_text else with_candidates(docs, text).drop(text))
-    return select(found, fit(found, settings, doc_id))
+    return select(found, fit(found, settings))
 
 
 def redact(found: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:

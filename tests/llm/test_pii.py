@@ -79,3 +79,16 @@ def test_redact(spark):
     rows = {r.doc_id: r for r in pii.redact(pii.find_pii(df.withColumnRenamed("pii", "extra"))).collect()}
     assert rows[1].redacted == "é [EMAIL], [IP]" and rows[2].redacted is None and rows[3].redacted == "plain" and rows[1].extra == "kept"
     assert pii.digests(df.limit(0)).count() == 0
+
+
+def test_added_spans_do_not_depend_on_corpus_size(spark):
+    planted = ["call 212-555-0187 after six", "IBAN DE89 3704 0044 0532 0130 00 is mine", "SSN 123-45-6789 on file", "jo (at) site (dot) org", "mail a@b.cd or +49 (0) 30-1234567", "see pages 112-119 and 230-241 of 1998", "version 10.2.33.1.7 and 4711"]
+    found = []
+    for times in (5, 500):
+        df = spark.range(len(planted) * times).select(F.col("id").alias("doc_id"), F.element_at(F.array(*[F.lit(x) for x in planted]), (F.col("id") % len(planted) + 1).cast("int")).alias("text"))
+        rows = pii.find_pii(df).groupBy("text").agg(F.collect_set("pii").alias("all")).collect()
+        assert all(len(r["all"]) == 1 for r in rows)
+        found.append({r.text: [(x.kind, x.start, x.end) for x in r["all"][0]] for r in rows})
+    assert found[0] == found[1]
+    assert all(kind in [k for k, *_ in found[1][x]] for kind, x in zip(("number", "code", "number", "contact"), planted, strict=False)), found[1]
+    assert found[1][planted[5]] == []
