@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fold_of, logistic, read
+from .common import chunks, fold_of, logistic, read, stored
 
 #: Cyrillic, Greek, full-width and accented letters, and signs, by the Latin letter they look like.
 LOOKALIKES = {
@@ -170,12 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 total, dense, hits = matcher.sums(text)
                 around = {p for a, b, f in hits for p in (_before(f, a) + f[a:b], f[a:b] + _after(f, b)) if p != f[a:b]}
-                rows.append((total, dense, int(toxic > 0), sorted(around)[:50]))
+                rows.append((total, dense, int(toxic > 0), sorted(around)))
             yield pa.RecordBatch.from_pylist([dict(zip(("total", "dense", "toxic", "around"), r, strict=True)) for r in rows], pa.schema([("total", pa.float64()), ("dense", pa.float64()), ("toxic", pa.int32()), ("around", pa.list_(pa.string()))]))
 
-    rows = taught.filter("part = 2").mapInArrow(run, "total double, dense double, toxic int, around array<string>").collect()  # a third of the sample
-    clean, bad = (Counter(p for r in rows if r.toxic == t for p in r.around) for t in (0, 1))
-    learned = tuple(sorted(p for p, n in clean.items() if n >= 3 and not bad[p]))
+    judged = stored(taught.filter("part = 2").mapInArrow(run, "total double, dense double, toxic int, around array<string>"))  # a third of the sample
+    phrases = judged.select(F.explode("around").alias("phrase"), "toxic").groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad"))
+    learned = tuple(sorted(r.phrase for r in phrases.filter("clean >= 3 AND bad = 0").collect()))
+    rows = judged.select("total", "dense", "toxic").collect()
     if not rows:
         return Model(first.weights, EXCEPTIONS + learned, (-2.0, 1.0, 1.0))
     x = np.array([_inputs(r.total, r.dense) for r in rows])

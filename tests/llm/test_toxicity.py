@@ -33,3 +33,15 @@ def test_odd_rows(spark):
     got = t.score(df.withColumnRenamed("_h", "score"), t.fit(df, labels))
     assert got.count() == df.count() and got.filter("score IS NULL OR predicted IS NULL").count() == 0
     assert t.score(df.limit(0), t.fit(df.limit(0), labels.limit(0))).count() == 0
+
+
+def test_late_phrases_of_long_toxic_documents_count(spark, monkeypatch):
+    """A phrase of three clean documents is no shield if a toxic document has it, however many phrases that one has before."""
+    clean = [(f"{k} one zebra idiot", 0, 2) for k in ("a", "b", "c")]
+    long = " ".join(f"w{i:03d} idiot" for i in range(200)) + " zebra idiot"
+    taught = spark.createDataFrame([*clean, (long, 1, 2)], "text string, toxic int, part int")
+    monkeypatch.setattr(t, "_taught", lambda *_: taught)
+    monkeypatch.setattr(t, "_lexicon", lambda *_: {"idiot": 2.0})
+    assert "zebra idiot" not in t.fit(taught, taught).exceptions
+    monkeypatch.setattr(t, "_taught", lambda *_: taught.filter("toxic = 0"))
+    assert "zebra idiot" in t.fit(taught, taught).exceptions
