@@ -312,6 +312,18 @@ def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     return hashes[new], np.bincount(owner[new], minlength=n)
 
 
+def _ones(h: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each run of hashes; bits are added up in bytes, 255 hashes at a time."""
+    blocks = -(-count // 255)
+    first = np.cumsum(blocks) - blocks
+    start = np.repeat(begin, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    ones = np.empty((len(start), 8, 8), np.int32)
+    for j in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(j)) & np.uint64(0x0101010101010101), start)
+        ones[:, :, j] = lanes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.add.reduceat(ones.reshape(-1, 64), first, axis=0)
+
+
 def _with_sketches(docs: DataFrame, text: str, s: Similar) -> DataFrame:
     """docs with `_set` (a hash of the set of shingles), `_fps` (fingerprints) and `_shingles` (sorted 32-bit hashes)."""
     docs = docs.drop("_set", "_fps", "_shingles")
@@ -329,8 +341,7 @@ def _with_sketches(docs: DataFrame, text: str, s: Similar) -> DataFrame:
                 for k in range(s.fingerprints):
                     with np.errstate(over="ignore"):
                         h = mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-                    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+                    ones = _ones(h, begin, count[filled])
                     fps[filled, k] = np.packbits(2 * ones > count[filled][:, None], axis=1, bitorder="little").view("<u8").ravel()
             ends = np.cumsum(count)
             low = (hashes >> np.uint64(32)).astype("<u4")  # in order, as the hashes are

@@ -141,3 +141,12 @@ def test_similar_pairs_of_hot_keys(spark):
     texts = [" ".join([*base[:k], f"x{rng.random()}", *base[k + 1 :]]) for k in range(100)]
     docs = simhash._with_sketches(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", simhash.Similar())
     assert {len({*simhash.components(simhash.similar_pairs(docs, simhash.Similar(), upto).toDF("a", "b")).select("root").toPandas()["root"]}) for upto in (8192, 10)} == {1}
+
+
+def test_ones():
+    rng = np.random.default_rng(2)
+    count = np.array([1, 254, 255, 256, 1000, 3])
+    h = rng.integers(0, 1 << 64, count.sum(), dtype=np.uint64)
+    got = simhash._ones(h, np.cumsum(count) - count, count)
+    want = [[sum(int(x) >> b & 1 for x in run) for b in range(64)] for run in np.split(h, np.cumsum(count)[:-1])]
+    assert got.tolist() == want
