@@ -35,7 +35,7 @@ CACHE_ENTRIES = 800_000
 
 _PLAIN = re.compile(rb" ?[^\x00-\x20]+\Z")
 #: White space beyond ASCII, and separators that not every library takes for white space: such texts are encoded whole.
-_RARE_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_RARE_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _RARE_LEAD = np.zeros(256, bool)
 _RARE_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ASCII_LETTER = np.zeros(256, bool)
@@ -71,10 +71,10 @@ class Encoder:
         if plain:
             ids = np.array(self.bpe.encode_ordinary(b"\n".join(plain).decode()), "<u4")
             cuts = np.flatnonzero(ids == self.line_end).tolist()
-            assert len(cuts) == len(plain) - 1
-            data = ids.tobytes()
-            for p, a, b in zip(plain, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                self.kept[p] = data[4 * a + 4 : 4 * b]
+            if len(cuts) == len(plain) - 1:  # else a line end went into a longer token: each piece for itself, below
+                data = ids.tobytes()
+                for p, a, b in zip(plain, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                    self.kept[p] = data[4 * a + 4 : 4 * b]
         for p in pieces:
             if p not in self.kept:
                 self.kept[p] = np.array(self.bpe.encode_ordinary(p.decode()), "<u4").tobytes()
@@ -85,11 +85,21 @@ class Encoder:
         odd, buf = set(), np.frombuffer(joined, np.uint8)
         if (_RARE_LEAD[buf].any() and _RARE_SPACE.search(joined)) or any(s in joined for s in self.special):
             odd = {i for i, t in enumerate(texts) if _RARE_SPACE.search(t) or any(s in t for s in self.special)}
+            rest = [b"" if i in odd else t for i, t in enumerate(texts)]  # what is encoded whole is never cut into pieces
+            joined = b"\n".join(rest)
+            buf = np.frombuffer(joined, np.uint8)
+        else:
+            rest = texts
+        out = self._pieces(rest, joined, buf) if len(buf) else [b""] * len(texts)
+        for i in odd:
+            out[i] = np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _pieces(self, texts: list[bytes], joined: bytes, buf: np.ndarray) -> list[bytes]:
+        """The ids of texts, joined by line ends, that hold neither rare white space nor special tokens."""
         sizes = np.fromiter((len(x) for x in texts), np.int64, len(texts))
         begin = np.cumsum(sizes + 1) - sizes - 1
         n = len(buf)
-        if n == 0:
-            return [b""] * len(texts)
         space = SPACE[buf]
         cut = np.zeros(n + 1, bool)
         cut[:-2] = (buf[:-1] == 32) & ~space[1:]
@@ -118,10 +128,7 @@ class Encoder:
         data = flat[np.repeat(where[codes] - (ends - each), each) + np.arange(ends[-1])].tobytes()
         upto = np.concatenate([[0], ends])
         a, b = upto[np.searchsorted(start, begin)], upto[np.searchsorted(start, begin + sizes)]
-        out = [data[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        for i in odd:
-            out[i] = np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        return [data[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
 #: The pre-token pattern of byte-level BPE files.
