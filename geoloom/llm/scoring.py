@@ -1,17 +1,20 @@
 """LM scoring with a hashed maximum-entropy model: n-gram and skip features, class-factored softmax, sparse numpy batches.
 
 Counts. Documents are dealt into chunks of some 32 MB of text and written. Each chunk lists its distinct words once, as
-64-bit hashes with their counts in training documents; a window over the hash sums them up for the whole corpus, and
-the sums go back to the chunks that asked, where they meet the texts again. So the vocabulary, which grows with the
-corpus, is never held in one place, and a word costs a row per chunk, not one per document.
-
-Model. The commonest words (`Settings.classes` times `Settings.width`, and the end) have ids, in classes of like frequency;
-any other word is class 0, inside which its smoothed count gives its probability. P(class | history) and P(word | class,
-history) are softmaxes over hashed features: the word before, the two before, the one before those (a skip), and the
-word before with the third (a skip-gram). Weights start at the shares that all training documents show and are then
-moved by `Settings.rounds` rounds of distributed gradient updates: each task adds up observed less expected counts over
-its part of the positions of every training document (the rounds share all positions out among them), Spark sums them by
-feature, and the driver moves the weights, whose number is fixed by `Settings`.
+64-bit hashes with their counts in training documents; a window over the hash sums them up for the whole corpus (a word
+has a row per chunk at most), and the sums go back to the chunks that asked, where they meet the texts again. So the
+vocabulary, which grows with the corpus, is never held in one place.
+
+Model. Every word has a class. The commonest words, ranked by their full counts, and the end have places of their own
+in the first classes, in order of frequency; all other words are in classes by the size of their count (a power of two
+each), where their hash gives the place, and the share of a word inside its place is its smoothed count; a word that
+training documents lack is one more class. P(class | history) and P(place | class, history) are softmaxes over hashed
+features: the word before, the two before, the one before those (a skip), and the word before with the third (a
+skip-gram), each from the words' own hashes, whatever their frequency. The number of classes and of hashed features grows
+with the vocabulary (`sized`), within bounds that keep what is broadcast small. Without features the model says the
+words' shares in the training documents; the weights of the features start at zero and are moved by `Settings.rounds` rounds of distributed gradient updates: each task adds up
+observed less expected counts over its part of the positions of every training document (the rounds share all positions
+out among them), Spark sums them by feature, and the driver moves the weights.
 
 Null and empty texts are the end token alone. A null id is in the fold of the empty text. Repeated rows are scored each
 for itself. Without training documents all counts are 0 and every token is rare. Other columns are not carried.
@@ -20,7 +23,7 @@ for itself. Without training documents all counts are 0 and every token is rare.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -42,18 +45,39 @@ WORD_FEATURES = (0, 1, 2)
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 31
-    width: int = 33
-    class_bits: int = 13
-    word_bits: int = 14
+    #: Classes and bits of the feature hashes; 0: by the size of the vocabulary.
+    classes: int = 0
+    width: int = 32
+    class_bits: int = 0
+    word_bits: int = 0
+    #: Least and most bits; at the most, the two weight tables have 100 MB.
+    bits_from: int = 13
+    bits_upto: int = 18
     rounds: int = 2
-    step: float = 0.5
+    #: Of the first round; the k-th takes a k-th of it.
+    step: float = 1.0
     prior: float = 5.0
     chunk_bytes: int = 32 << 20
     folds: int = 5
     held_out: int = 1
     block: int = 1 << 15
 
+    @property
+    def head(self) -> int:
+        """Words with a place of their own, the end among them."""
+        return self.classes // 2 * self.width
+
+    @property
+    def unknown(self) -> int:
+        """The place of words that training documents lack."""
+        return (self.classes - 1) * self.width
+
+
+def sized(s: Settings, words: int) -> Settings:
+    """Settings with classes and bits for so many distinct words: both grow with the logarithm, the features with a power of the vocabulary."""
+    bits = min(max(words.bit_length() - 8, s.bits_from), s.bits_upto)
+    return replace(s, classes=s.classes or min(max(words.bit_length() + 10, 24), 48), class_bits=s.class_bits or bits, word_bits=s.word_bits or bits)
+
 
 # ---- counts ----
 
@@ -108,32 +132,79 @@ def _asked(dealt: DataFrame) -> DataFrame:
     return dealt.select("chunk", "text", "training").mapInArrow(run, "chunk long, word long, n long")
 
 
-def _vocabulary(asked: DataFrame, s: Settings) -> np.ndarray:
-    """Hashes of the words that get ids from 1 on, the end first; the commonest, summed over chunks in which they are not rare."""
-    own = asked.groupBy("chunk").agg(F.sum("n").alias("total"))
-    often = asked.join(own, "chunk").filter((F.col("n") > 0) & (F.col("n") * 50 * s.classes * s.width >= F.col("total")) & (F.col("word") != END))
-    best = often.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(s.classes * s.width - 1)
-    return np.array([END, *[r.word for r in best.collect()]])
+def _totals(asked: DataFrame) -> DataFrame:
+    """(chunk, word, c, first): what was asked with the count in all training documents; `first` in one row of each word. Written."""
+    by_word = W.partitionBy("word")
+    return stored(asked.select("chunk", "word", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")), "zstd")
 
 
-def _counted(dealt: DataFrame, asked: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """Per document its numbers and the ids of its tokens; a row with a null `tokens` per chunk has the sums for N and V."""
-    by_word = W.partitionBy("word")
-    totals = asked.select("chunk", "word", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
+def _places(word: np.ndarray, c: np.ndarray, common: np.ndarray, s: Settings) -> np.ndarray:
+    """The place (class times width, and position) of each word. common: the words with places of their own, in order."""
+    if not len(word):
+        return np.zeros(0, np.int64)
+    band = np.clip(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, 0, s.classes - 2 - s.classes // 2)
+    place = s.head + band * s.width + (word.view(np.uint64) % np.uint64(s.width)).astype(np.int64)
+    place[c == 0] = s.unknown
+    order = np.argsort(common)
+    at = np.minimum(np.searchsorted(common[order], word), len(common) - 1)
+    own = common[order][at] == word
+    place[own] = order[at[own]]
+    return place
+
+
+@dataclass
+class Vocabulary:
+    """words: those with places of their own, the end first; mass: smoothed counts of the words of each place; n and v: training tokens and distinct ones."""
+
+    words: np.ndarray
+    mass: np.ndarray
+    n: int
+    v: int
+
+
+def _vocabulary(totals: DataFrame, settings: Settings) -> tuple[Vocabulary, Settings]:
+    once = totals.filter("first").select("word", "c")
+    n, v = (int(x or 0) for x in once.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
+    s = sized(settings, v)
+    best = once.filter((F.col("c") > 0) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(s.head - 1)
+    common = np.array([END, *[r.word for r in best.collect()]])
+    size = s.classes * s.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros(size)
+        for batch in batches:
+            word, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            there = c > 0
+            mass += np.bincount(_places(word[there], c[there], common, s), weights=c[there] + 0.5, minlength=size)
+        at = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[at])], names=["place", "mass"])
+
+    mass = np.zeros(size)
+    for r in once.mapInArrow(run, "place long, mass double").groupBy("place").agg(F.sum("mass").alias("mass")).collect():  # a row per place
+        mass[r.place] = r.mass
+    mass[s.unknown] = 0.5
+    mass[0] = max(mass[0], 0.5)
+    return Vocabulary(common, mass, n, v), s
+
+
+#: A token is 32 bits: the place, and above it a part of the word's hash that stands for the word in features.
+PLACE_BITS = 11
+
+
+def _counted(dealt: DataFrame, totals: DataFrame, vocabulary: Vocabulary, s: Settings) -> DataFrame:
+    """Per document its numbers and its tokens."""
     sent = dealt.sparkSession.sparkContext.broadcast(vocabulary)
     kind = dealt.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("training boolean, tokens long, known long, logs double, rare long, rare_logs double, ids binary, n_total long, n_distinct long, top_total long").fields])
+    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("training boolean, tokens long, known long, logs double, leaf_logs double, ids binary").fields])
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         word, c = (counts.column(n).to_numpy() for n in ("word", "c"))
         by = np.argsort(word)
         word, c = word[by], c[by]
-        ids = np.zeros(len(word), np.uint16)
-        if len(word):
-            at = np.minimum(np.searchsorted(word, sent.value), len(word) - 1)
-            there = word[at] == sent.value
-            ids[at[there]] = np.flatnonzero(there) + 1
+        place = _places(word, c, sent.value.words, s)
+        code = ((word.view(np.uint64) >> np.uint64(32 + PLACE_BITS)).astype(np.uint32) << np.uint32(PLACE_BITS)) | place.astype(np.uint32)
         logs = np.log10(c + 0.5)
+        leaf = np.where((place >= s.head) & (place != s.unknown), logs - np.log10(np.maximum(sent.value.mass[place], 0.5)), 0.0)
         rows: list[pa.Table] = []
         for part in chunks(iter(texts.to_batches())):
             found = Words(raw(part.column("text")), lower=True)
@@ -144,29 +215,21 @@ def _counted(dealt: DataFrame, asked: DataFrame, vocabulary: np.ndarray) -> Data
             tokens = found.count + 1
             known = np.bincount(found.text, weights=c[at] > 0, minlength=n) + (c[end] > 0)
             total = np.bincount(found.text, weights=logs[at], minlength=n) + logs[end]
-            own, rare = ids[at], ids[at] == 0
             last = np.cumsum(tokens)
-            flat = np.empty(last[-1] if n else 0, np.uint16)
+            flat = np.empty(last[-1] if n else 0, np.uint32)
             inner = np.ones(len(flat), bool)
             inner[last - 1] = False
-            flat[inner], flat[~inner] = own, ids[end]
+            flat[inner], flat[~inner] = code[at], code[end]
             data = flat.tobytes()
-            pieces = [data[2 * (b - k) : 2 * b] for b, k in zip(last.tolist(), tokens.tolist(), strict=True)]
-            columns = [
-                part.column("doc_id"), part.column("training"), pa.array(tokens, pa.int64()), pa.array(known.astype(np.int64)), pa.array(total),
-                pa.array(np.bincount(found.text[rare], minlength=n), pa.int64()), pa.array(np.bincount(found.text[rare], weights=logs[at][rare], minlength=n).astype(float)), pa.array(pieces, pa.binary()),
-                *[pa.nulls(n, pa.int64())] * 3,
-            ]
+            pieces = [data[4 * (b - k) : 4 * b] for b, k in zip(last.tolist(), tokens.tolist(), strict=True)]
+            leaves = np.bincount(found.text, weights=leaf[at], minlength=n).astype(float)
+            columns = [part.column("doc_id"), part.column("training"), pa.array(tokens, pa.int64()), pa.array(known.astype(np.int64)), pa.array(total), pa.array(leaves), pa.array(pieces, pa.binary())]
             rows.append(pa.Table.from_arrays(columns, names=schema.names))
-        first = counts.column("first").to_numpy()[by].astype(bool)
-        sums = [int(c[first].sum()), int((c[first] > 0).sum()), int(c[first & (ids > 0)].sum())]
-        nulls = [pa.nulls(1, f.type) for f in rows[0].schema][:8] if rows else None
-        if nulls is None:
-            return pa.Table.from_arrays([texts.column("doc_id").slice(0, 0), *[pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary(), *[pa.int64()] * 3)]], names=schema.names)
-        rows.append(pa.Table.from_arrays([*nulls, *[pa.array([x], pa.int64()) for x in sums]], names=schema.names))
+        if not rows:
+            return pa.Table.from_arrays([texts.column("doc_id").slice(0, 0), *[pa.array([], t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]], names=schema.names)
         return pa.concat_tables(rows)
 
-    found = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, schema)
+    found = dealt.groupBy("chunk").cogroup(totals.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(run, schema)
     return stored(found, "zstd")
 
 
@@ -186,21 +249,21 @@ class Batch:
 
     def __init__(self, ids: list[bytes], s: Settings):
         self.s = s
-        self.id = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
-        size = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
+        token = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
         self.doc = np.repeat(np.arange(len(ids)), size)
-        self.place = np.arange(len(self.id)) - np.repeat(np.cumsum(size) - size, size)
+        self.place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
         before = []
         for k in (1, 2, 3):
-            x = np.full(len(self.id), s.classes * s.width + 1)
-            x[k:] = np.where(self.place[k:] >= k, self.id[:-k], s.classes * s.width + 1) if len(x) > k else x[k:]
+            x = np.full(len(token), 0xFFFFFFFF, np.uint64)
+            x[k:] = np.where(self.place[k:] >= k, token[:-k], np.uint32(0xFFFFFFFF)) if len(x) > k else x[k:]
             before.append(x)
-        a, b, d = (x.astype(np.uint64) for x in before)
-        wide = np.uint64(1 << 16)
+        a, b, d = before
+        wide = np.uint64(0x9E3779B97F4A7C15)
         with np.errstate(over="ignore"):
             self.feature = [mix(x * np.uint64(8) + np.uint64(k)) for k, x in enumerate((a, a * wide + b, b, a * wide + d))]
-        self.cls = np.where(self.id > 0, (self.id - 1) // s.width + 1, 0)
-        self.pos = np.where(self.id > 0, (self.id - 1) % s.width, 0)
+        own = (token & np.uint32((1 << PLACE_BITS) - 1)).astype(np.int64)
+        self.cls, self.pos = own // s.width, own % s.width
 
     def class_buckets(self, at: slice | np.ndarray) -> list[np.ndarray]:
         return [(f[at] >> np.uint64(64 - self.s.class_bits)).astype(np.int64) for f in self.feature]
@@ -226,12 +289,16 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, buckets: list[np.ndarray]) -
 
 
 def _sum_tables(rows: DataFrame, shapes: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
-    """Tables added up by Spark from rows (name, bucket, values); the driver gets a row per bucket."""
+    """Tables added up by Spark from rows (name, bucket, values); the driver gets a row per bucket, by Arrow."""
     width = max(w for _, w in shapes.values())
-    summed = rows.groupBy("name", "bucket").agg(*[F.sum(F.get("values", F.lit(i))).alias(f"v{i}") for i in range(width)]).select("name", "bucket", F.array(*[f"v{i}" for i in range(width)]).alias("values"))
-    out = {k: np.zeros(shape) for k, shape in shapes.items()}
-    for r in summed.collect():  # as many rows as there are buckets
-        out[r.name][r.bucket] = [v or 0.0 for v in r["values"][: shapes[r.name][1]]]
+    summed = rows.groupBy("name", "bucket").agg(*[F.sum(F.get("values", F.lit(i))).cast("float").alias(f"v{i}") for i in range(width)])
+    found = summed.toArrow()  # as many rows as there are buckets
+    name, bucket = (found.column(c).to_numpy() for c in ("name", "bucket"))
+    values = np.stack([found.column(f"v{i}").fill_null(0).to_numpy() for i in range(width)], axis=1) if len(name) else np.zeros((0, width))
+    out = {}
+    for k, shape in shapes.items():
+        out[k] = np.zeros(shape)
+        out[k][bucket[name == k]] = values[name == k][:, : shape[1]]
     return out
 
 
@@ -244,54 +311,35 @@ def _table_rows(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name, np.int32)), pa.array(some, pa.int32()), values], names=["name", "bucket", "values"])
 
 
+#: Names of the tables that a round adds up.
+CLASSES_SEEN, CLASSES_MEANT, WORDS_SEEN, WORDS_MEANT = range(4)
 _TABLE = "name int, bucket int, values array<float>"
 
 
-def fit(counted: DataFrame, s: Settings) -> Model:
-    wide, deep = s.classes + 1, (1 << s.class_bits, 1 << s.word_bits)
+def fit(counted: DataFrame, mass: np.ndarray, s: Settings) -> Model:
+    """mass: smoothed counts of the words of each place, whose shares are what the model says without features."""
     training = counted.filter("training").select("ids")
-    shapes = {0: (deep[0], wide), 1: (deep[1], s.width), 2: (wide, s.width), 3: (1, wide)}
-
-    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {k: np.zeros(shape) for k, shape in shapes.items()}
-        for part in batches:
-            for at in range(0, part.num_rows, 256):
-                b = Batch(part.column("ids").slice(at, 256).to_pylist(), s)
-                known = np.flatnonzero(b.id > 0)
-                for x in b.class_buckets(slice(None)):
-                    tables[0] += np.bincount(x * wide + b.cls, minlength=deep[0] * wide).reshape(tables[0].shape)
-                for x in b.word_buckets(known):
-                    tables[1] += np.bincount(x * s.width + b.pos[known], minlength=deep[1] * s.width).reshape(tables[1].shape)
-                tables[2] += np.bincount(b.cls[known] * s.width + b.pos[known], minlength=wide * s.width).reshape(tables[2].shape)
-                tables[3] += np.bincount(b.cls, minlength=wide)
-        yield from _table_rows(tables)
-
-    seen = _sum_tables(training.mapInArrow(observe, _TABLE), shapes)
-    class_share = (seen[3][0] + 0.5) / (seen[3][0] + 0.5).sum()
-    word_share = (seen[2] + 0.5) / (seen[2] + 0.5).sum(axis=1, keepdims=True)
-    start = lambda table, share, n: (np.log((table + s.prior * share) / (table.sum(axis=1, keepdims=True) + s.prior)) - np.log(share)) / n
-    model = Model(start(seen[0], class_share, N_FEATURES * 0.6), start(seen[1], np.full(s.width, 1 / s.width), len(WORD_FEATURES)), np.log(class_share), np.log(word_share))
-    model.words -= model.words.mean(axis=1, keepdims=True)
-    model.word_bias = model.word_bias * 0.5
+    by_place = np.maximum(mass.reshape(s.classes, s.width), 1e-6)
+    shapes = {CLASSES_SEEN: (1 << s.class_bits, s.classes), CLASSES_MEANT: (1 << s.class_bits, s.classes), WORDS_SEEN: (1 << s.word_bits, s.width), WORDS_MEANT: (1 << s.word_bits, s.width)}
+    model = Model(np.zeros(shapes[CLASSES_SEEN]), np.zeros(shapes[WORDS_SEEN]), np.log(by_place.sum(axis=1) / by_place.sum()), np.log(by_place / by_place.sum(axis=1, keepdims=True)))
     model = _as_float32(model)
     for k in range(s.rounds):
         sent = counted.sparkSession.sparkContext.broadcast(model)
-        names = {0: (deep[0], wide), 1: (deep[1], s.width), 2: (wide, s.width), 3: (1, wide), 4: (deep[0], wide), 5: (deep[1], s.width), 6: (wide, s.width), 7: (1, wide)}
 
-        def expect(batches: Iterator[pa.RecordBatch], k: int = k, sent=sent, names=names) -> Iterator[pa.RecordBatch]:
-            m, tables = sent.value, {j: np.zeros(shape) for j, shape in names.items()}
+        def gradient(batches: Iterator[pa.RecordBatch], k: int = k, sent=sent) -> Iterator[pa.RecordBatch]:
+            tables = {j: np.zeros(shape, np.float32) for j, shape in shapes.items()}
             for part in batches:
                 for at in range(0, part.num_rows, 256):
                     b = Batch(part.column("ids").slice(at, 256).to_pylist(), s)
                     chosen = positions(b, k, s)
                     for a in range(0, len(chosen), s.block):
-                        _add(m, b, chosen[a : a + s.block], tables, wide, s)
+                        _add(sent.value, b, chosen[a : a + s.block], tables)
             yield from _table_rows(tables)
 
-        g = _sum_tables(training.mapInArrow(expect, _TABLE), names)
-        for own, shown, meant in (("classes", 0, 4), ("words", 1, 5), ("word_bias", 2, 6), ("class_bias", 3, 7)):
-            move = s.step * (g[shown] - g[meant]) / (np.maximum(g[shown], g[meant]) + s.prior)
-            setattr(model, own, getattr(model, own) + (move[0] if own == "class_bias" else move))
+        g = _sum_tables(training.mapInArrow(gradient, _TABLE), shapes)
+        for own, seen, meant in (("classes", CLASSES_SEEN, CLASSES_MEANT), ("words", WORDS_SEEN, WORDS_MEANT)):
+            move = s.step / (k + 1) * (g[seen] - g[meant]) / (np.maximum(g[seen], g[meant]) + s.prior)
+            setattr(model, own, getattr(model, own) + move)
         model = _as_float32(model)
     return model
 
@@ -300,59 +348,39 @@ def _as_float32(m: Model) -> Model:
     return Model(*[np.ascontiguousarray(x, np.float32) for x in (m.classes, m.words, m.class_bias, m.word_bias)])
 
 
-def _add(m: Model, b: Batch, at: np.ndarray, tables: dict[int, np.ndarray], wide: int, s: Settings) -> None:
-    """Adds observed (0 to 3) and expected (4 to 7) counts of the tokens at these places."""
-
-    def spread(name: int, bucket: np.ndarray, p: np.ndarray) -> None:
-        table = tables[name]
-        order = np.argsort(bucket, kind="stable")
-        sorted_bucket = bucket[order]
-        begin = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
-        table[sorted_bucket[begin]] += np.add.reduceat(p[order], begin, axis=0)
-
-    buckets = b.class_buckets(at)
-    p = _softmax(m.classes, m.class_bias, buckets)
-    tables[3][0] += np.bincount(b.cls[at], minlength=wide)
-    tables[7][0] += p.sum(axis=0)
-    for x in buckets:
-        tables[0] += np.bincount(x * wide + b.cls[at], minlength=tables[0].size).reshape(tables[0].shape)
-        spread(4, x, p)
-    known = at[b.id[at] > 0]
-    if len(known):
-        buckets = b.word_buckets(known)
-        p = _softmax(m.words, m.word_bias[b.cls[known]], buckets)
-        tables[2] += np.bincount(b.cls[known] * s.width + b.pos[known], minlength=tables[2].size).reshape(tables[2].shape)
-        spread(6, b.cls[known], p)
-        for x in buckets:
-            tables[1] += np.bincount(x * s.width + b.pos[known], minlength=tables[1].size).reshape(tables[1].shape)
-            spread(5, x, p)
+def _add(m: Model, b: Batch, at: np.ndarray, tables: dict[int, np.ndarray]) -> None:
+    """Adds the observed and the expected counts of the tokens at these places."""
+    for p, seen, meant, own, buckets in (
+        (_softmax(m.classes, m.class_bias, x := b.class_buckets(at)), CLASSES_SEEN, CLASSES_MEANT, b.cls[at], x),
+        (_softmax(m.words, m.word_bias[b.cls[at]], y := b.word_buckets(at)), WORDS_SEEN, WORDS_MEANT, b.pos[at], y),
+    ):
+        for bucket in buckets:
+            order = np.argsort(bucket, kind="stable")
+            sorted_bucket = bucket[order]
+            begin = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
+            tables[meant][sorted_bucket[begin]] += np.add.reduceat(p[order], begin, axis=0)
+            np.add.at(tables[seen].ravel(), bucket * p.shape[1] + own, np.float32(1))
 
 
 def log10_of(m: Model, b: Batch, n_docs: int, s: Settings) -> np.ndarray:
-    """Per document the log10 of its classes' and of its known words' probabilities."""
-    logs = np.empty(len(b.id))
-    for a in range(0, len(b.id), s.block):
-        at = np.arange(a, min(a + s.block, len(b.id)))
-        logs[at] = np.log10(_softmax(m.classes, m.class_bias, b.class_buckets(at))[np.arange(len(at)), b.cls[at]])
-        known = at[b.id[at] > 0]
-        if len(known):
-            logs[known] += np.log10(_softmax(m.words, m.word_bias[b.cls[known]], b.word_buckets(known))[np.arange(len(known)), b.pos[known]])
+    """Per document the log10 of the probabilities of its words' classes and places."""
+    logs = np.empty(len(b.cls))
+    for a in range(0, len(logs), s.block):
+        at = np.arange(a, min(a + s.block, len(logs)))
+        rows = np.arange(len(at))
+        logs[at] = np.log10(_softmax(m.classes, m.class_bias, b.class_buckets(at))[rows, b.cls[at]])
+        logs[at] += np.log10(_softmax(m.words, m.word_bias[b.cls[at]], b.word_buckets(at))[rows, b.pos[at]])
     return np.bincount(b.doc, weights=logs, minlength=n_docs)
 
 
 def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    s = settings or Settings()
-    dealt = _dealt(docs, s)
-    asked = stored(_asked(dealt), "zstd")
-    counted = _counted(dealt, asked, _vocabulary(asked, s))
-    sums = counted.filter("tokens IS NULL").agg(F.sum("n_total"), F.sum("n_distinct"), F.sum("top_total")).first()
-    n, v, top = (int(x or 0) for x in sums)
-    counted = counted.filter("tokens IS NOT NULL")
-    model = fit(counted, s)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    unit = float(np.log10(n + 0.5 * (v + 1)))
-    rare_unit = float(np.log10(n - top + 0.5 * (max(0, v - s.classes * s.width) + 1)))
+    dealt = _dealt(docs, settings or Settings())
+    totals = _totals(_asked(dealt))
+    vocabulary, s = _vocabulary(totals, settings or Settings())
+    counted = _counted(dealt, totals, vocabulary, s)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(counted, vocabulary.mass, s))
+    n, unit = vocabulary.n, float(np.log10(vocabulary.n + 0.5 * (vocabulary.v + 1)))
     schema = T.StructType([dealt.schema["doc_id"], *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, base_score double, score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +389,7 @@ def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
                 part = batch.slice(at, 256)
                 b = Batch(part.column("ids").to_pylist(), s)
                 get = lambda name, part=part: part.column(name).to_numpy(zero_copy_only=False)
-                model_logs = log10_of(sent.value, b, part.num_rows, s) + get("rare_logs") - get("rare") * rare_unit
+                model_logs = log10_of(sent.value, b, part.num_rows, s) + get("leaf_logs")
                 held = pa.array(~get("training").astype(bool))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), held, part.column("tokens"), part.column("known"), pa.array(get("logs") - get("tokens") * unit), pa.array(model_logs)], names=schema.names)
 
