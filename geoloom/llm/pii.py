@@ -103,39 +103,81 @@ def _features(kind: Column, match: Column, left: Column, right: Column) -> Colum
 
 
 N_FEATURES = 11
-_CANDIDATE = "struct<kind:string,start:bigint,end:bigint,base:boolean,mask:int>"
+_CANDIDATE = "struct<start:bigint,end:bigint,kind:string,base:boolean,mask:int>"
+_STEPS = "array(1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072, 262144, 524288, 1048576, 2097152, 4194304, 8388608, 16777216)"
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column], back: bool = True) -> Column:
+    """Running results of op from the front (or from the end) of an array of bigint, by doubling steps: no array grows element by element."""
+
+    def step(acc: Column, k: Column) -> Column:
+        near = lambda i: F.get(acc, i - k if back else i + k)
+        return F.when(F.size(acc) > k, F.transform(acc, lambda x, i: F.coalesce(op(x, near(i)), x))).otherwise(acc)
+
+    return F.aggregate(F.expr(_STEPS), values, step)
+
+
+def _largest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
 
 
 def _of_kind(kind: str, text: Column, wide_too: Column) -> Column:
-    """The candidates of one kind in a text: what stands between the matches gives their places."""
+    """The candidates of one kind in a text: what stands between the matches gives their places and their context."""
     needed, pattern = PATTERNS[kind]
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    placed = F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), matches.alias("match")),
-        F.expr("named_struct('at', 0L, 'out', CAST(array() AS array<struct<start:bigint,match:string>>))"),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("long").alias("at"),
-            F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["piece"])).cast("long").alias("start"), x["match"].alias("match"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    base = F.lit(kind in BASE_KINDS)
-    left = lambda c: F.substring(text, F.greatest(c["start"] - 23, F.lit(1)).cast("int"), F.least(c["start"], F.lit(24)).cast("int"))
-    right = lambda c: F.substring(text, (c["start"] + F.length(c["match"]) + 1).cast("int"), F.lit(4))
-    rows = F.transform(placed, lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), (c["start"] + F.length(c["match"])).alias("end"), (base & _valid(kind, c["match"])).alias("base"), _features(F.lit(kind), c["match"], left(c), right(c)).alias("mask")))
+
+    def placed(s: Column) -> Column:
+        steps = F.transform(s["pieces"], lambda p, i: (F.length(p) + F.when(i > 0, F.length(F.get(s["matches"], i - 1))).otherwise(0)).cast("bigint"))
+        ends = F.struct(s["pieces"].alias("pieces"), s["matches"].alias("matches"), _running(steps, lambda x, y: x + y).alias("starts"))
+        return F.get(F.transform(F.array(ends), lambda t: F.transform(t["matches"], lambda m, i: row(t, m, i))), F.lit(0))
+
+    def row(t: Column, m: Column, i: Column) -> Column:
+        left, right, start = F.right(F.get(t["pieces"], i), F.lit(24)), F.left(F.get(t["pieces"], i + 1), F.lit(4)), F.get(t["starts"], i)
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), (F.lit(kind in BASE_KINDS) & _valid(kind, m)).alias("base"), _features(F.lit(kind), m, left, right).alias("mask"))
+
+    found = F.get(F.transform(F.array(F.struct(pieces.alias("pieces"), matches.alias("matches"))), placed), F.lit(0))
     there = text.contains(needed) & wide_too if needed else wide_too
-    return F.when(there, rows).otherwise(F.expr(f"CAST(array() AS array<{_CANDIDATE}>)"))
+    return F.when(there, found).otherwise(F.expr(f"CAST(array() AS array<{_CANDIDATE}>)"))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_candidates`: the spans that any generator proposes. The patterns only run where a digit or a marked at-sign occurs."""
+    """docs with `_candidates`, the spans that any generator proposes, by start, and what each meets. The patterns only run where a digit or a marked at-sign occurs."""
     whole = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     t = F.col("_text")
     digit = t.rlike("[0-9]")
     needs = {"email": t.contains("@"), "contact": t.contains("(at)") | t.contains("[at]") | t.contains("(AT)") | t.contains("[AT]")}
     found = whole.withColumns({f"_{kind}": _of_kind(kind, t, needs.get(kind, digit)) for kind in PATTERNS})
-    return found.withColumn("_candidates", F.concat(*[f"_{kind}" for kind in PATTERNS])).drop("_text", *[f"_{kind}" for kind in PATTERNS])
+    every = F.array_sort(F.concat(*[f"_{kind}" for kind in PATTERNS]))
+    return found.withColumn("_candidates", _with_meetings(every)).drop("_text", *[f"_{kind}" for kind in PATTERNS])
+
+
+def _with_meetings(spans: Column) -> Column:
+    """Spans, sorted by start, with `near_base` and `near_wide`: whether each meets a base span, or a candidate of a wide kind; itself counts.
+
+    One that begins before is met if the running maximum of ends passes the start, one that begins later if the running
+    minimum of starts from the end is below the end: no span is compared with all others.
+    """
+
+    def met(s: Column) -> Column:
+        def reach(test: Callable[[Column], Column], name: str) -> list[Column]:
+            return [
+                _running(F.transform(s["spans"], lambda c: F.when(test(c), c["end"]).otherwise(F.lit(-1).cast("bigint"))), _largest).alias(f"{name}_end"),
+                _running(F.transform(s["spans"], lambda c: F.when(test(c), c["start"]).otherwise(F.lit(1 << 60))), _least, back=False).alias(f"{name}_start"),
+            ]
+
+        def of(r: Column) -> Column:
+            meets = lambda c, i, name: (F.get(r[f"{name}_end"], i) > c["start"]) | (F.get(r[f"{name}_start"], i) < c["end"])
+            return F.transform(r["spans"], lambda c, i: F.struct(*[c[x].alias(x) for x in ("start", "end", "kind", "base", "mask")], meets(c, i, "base").alias("near_base"), meets(c, i, "wide").alias("near_wide")))
+
+        ranges = F.struct(s["spans"].alias("spans"), *reach(lambda c: c["base"], "base"), *reach(lambda c: c["kind"].isin(*WIDE_KINDS), "wide"))
+        return F.get(F.transform(F.array(ranges), of), F.lit(0))
+
+    return F.get(F.transform(F.array(F.struct(spans.alias("spans"))), met), F.lit(0))
 
 
 def _meets(a: Column, b: Column) -> Column:
@@ -229,10 +271,7 @@ def fit(found: DataFrame, settings: Settings | None = None) -> Model:
     """The model from candidates (with_candidates), in one aggregation; the driver gets a row per mask and class."""
     s = settings or Settings()
     spark = found.sparkSession
-    base = F.filter("_candidates", lambda c: c["base"])
-    wide = F.filter("_candidates", lambda c: c["kind"].isin(*WIDE_KINDS))
-    meets = lambda spans: lambda c: F.exists(spans, lambda x: _meets(x, c))
-    corpus = _counts(found.withColumn("_base", base).withColumn("_wide", wide), meets("_base"), lambda c: meets("_base")(c) | ~meets("_wide")(c)).collect()
+    corpus = _counts(found, lambda c: c["near_base"], lambda c: c["near_base"] | ~c["near_wide"]).collect()
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(SEEDS)], "doc_id long, marked string").withColumn("text", F.regexp_replace(F.regexp_replace("marked", r"\[\[", ""), r"\]\]", ""))
     mark = F.struct((F.instr("marked", "[[") - 1).cast("long").alias("start"), F.when(F.col("marked").contains("]]"), F.instr("marked", "]]") - 3).otherwise(-1).cast("long").alias("end"))
     seeds = with_candidates(texts.withColumn("_mark", mark))
@@ -253,12 +292,11 @@ def fit(found: DataFrame, settings: Settings | None = None) -> Model:
 
 def select(found: DataFrame, model: Model) -> DataFrame:
     """found with `pii`: base spans, and wide candidates over the threshold that meet none of them; by kind, then start."""
-    base = F.filter("_candidates", lambda c: c["base"])
     order = {k: i for i, k in enumerate(PATTERNS)}
     rank = F.create_map(*[F.lit(x) for k in order for x in (k, order[k])])
-    added = F.filter("_candidates", lambda c: c["kind"].isin(*WIDE_KINDS) & (model.column(c["mask"]) >= model.threshold) & ~F.exists("_base", lambda b: _meets(b, c)))
-    spans = F.array_sort(F.transform(F.concat("_base", "_added"), lambda c: F.struct(rank[c["kind"]].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    return found.drop("pii").withColumn("_base", base).withColumn("_added", added).withColumn("pii", F.transform(spans, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_base", "_added", "_candidates")
+    chosen = F.filter("_candidates", lambda c: c["base"] | (c["kind"].isin(*WIDE_KINDS) & ~c["near_base"] & (model.column(c["mask"]) >= model.threshold)))
+    spans = F.array_sort(F.transform(chosen, lambda c: F.struct(rank[c["kind"]].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    return found.withColumn("pii", F.transform(spans, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_candidates")
 
 
 def find_pii(docs: DataFrame, settings: Settings | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -267,19 +305,42 @@ def find_pii(docs: DataFrame, settings: Settings | None = None, text: str = "tex
     return select(found, fit(found, settings))
 
 
+#: Code points of a block of text: a cut reads the blocks that it touches, never the text from its beginning.
+BLOCK = 4096
+
+
 def redact(found: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:
     """found (with `pii`) with a copy of the text in which each group of overlapping spans is one `[KIND]`, by its first span."""
-    by_place = F.array_sort(F.transform("pii", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    done = F.aggregate(
-        by_place,
-        F.expr("named_struct('at', 0L, 'out', '')"),
-        lambda acc, c: F.when(c["start"] < acc["at"], F.struct(F.greatest(acc["at"], -c["back"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct((-c["back"]).alias("at"), F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]")).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole))),
-    )
-    return found.withColumn(out, F.when(F.size("pii") == 0, F.col(text)).otherwise(done))
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    whole = F.col(text)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(whole) / BLOCK).cast("int")), lambda i: F.substring(whole, i * BLOCK + 1, F.lit(BLOCK)))
+    spans = F.array_sort(F.transform("pii", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
+
+    def cut(s: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        some = F.array_join(F.slice(s["blocks"], first + 1, F.floor(b / BLOCK).cast("int") - first + 1), "")
+        return F.substring(some, (a % BLOCK + 1).cast("int"), (b - a).cast("int"))
+
+    def groups(s: Column) -> Column:
+        """Where groups of overlapping spans begin: a span that no earlier one reaches."""
+        index = F.sequence(F.lit(0), F.size(s["spans"]) - 1)
+        heads = F.filter(index, lambda i: (i == 0) | (F.get(s["spans"], i)["start"] >= F.get(s["ends"], i - 1)))
+        return bind(F.struct(*[s[x].alias(x) for x in ("blocks", "spans", "ends")], heads.alias("heads")), joined)
+
+    def joined(s: Column) -> Column:
+        n = F.size(s["heads"])
+        last = lambda j: F.get(s["ends"], F.coalesce(F.get(s["heads"], j + 1), F.size(s["spans"])) - 1)
+
+        def part(h: Column, j: Column) -> Column:
+            span = F.get(s["spans"], h)
+            return F.concat(cut(s, F.when(j == 0, F.lit(0).cast("bigint")).otherwise(last(j - 1)), span["start"]), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+
+        rest = F.substring(F.array_join(F.slice(s["blocks"], F.floor(last(n - 1) / BLOCK).cast("int") + 1, F.size(s["blocks"])), ""), (last(n - 1) % BLOCK + 1).cast("int"), F.lit(1 << 30))
+        return F.concat(F.array_join(F.transform(s["heads"], part), ""), rest)
+
+    ends = lambda s: bind(F.struct(s["blocks"].alias("blocks"), s["spans"].alias("spans"), _running(F.transform(s["spans"], lambda c: -c["back"]), _largest).alias("ends")), groups)
+    done = bind(F.struct(blocks.alias("blocks"), spans.alias("spans")), ends)
+    return found.withColumn(out, F.when(F.size("pii") == 0, whole).otherwise(done))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -92,3 +92,40 @@ def test_added_spans_do_not_depend_on_corpus_size(spark):
     assert found[0] == found[1]
     assert all(kind in [k for k, *_ in found[1][x]] for kind, x in zip(("number", "code", "number", "contact"), planted, strict=False)), found[1]
     assert found[1][planted[5]] == []
+
+
+def test_thirty_thousand_matches_in_one_text(spark):
+    """Spans and redaction of a text with very many matches, in seconds: nothing is quadratic in them."""
+    import time
+
+    many = " ".join(f"é{i} u{i}@host.example +1 (988) 555-{i:04d} 10.0.{i % 256}.7" for i in range(10_000))
+    df = spark.createDataFrame([(1, many), (2, "jo (at) site (dot) org " * 1500 + "a@b.cd" * 500)], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in pii.redact(pii.find_pii(df)).collect()}
+    assert time.time() - began < 90
+    assert sorted(f"{s.kind}:{s.start}:{s.end}" for s in rows[1].pii if s.kind in RULES) == sorted(brute(many))
+    for r, text in ((rows[1], many), (rows[2], df.filter("doc_id = 2").first().text)):
+        parts, at, spans = [], 0, sorted((s.start, -s.end, s.kind) for s in r.pii)
+        for start, back, kind in spans:
+            if start >= at:
+                parts += [text[at:start], f"[{kind.upper()}]"]
+            at = max(at, -back)
+        assert r.redacted == "".join(parts) + text[at:]
+
+
+def test_wide_spans_in_a_large_background(spark):
+    """Recall and precision of added spans among a background a hundred times as large, which holds base spans and look-alikes."""
+    good = ["call {n3}-{n3}-{n4} after six", "SSN {n3}-{n2}-{n4} on file", "IBAN DE{n2} {n4} {n4} {n4} {n4} {n2} here", "mail jo{n2} (at) site (dot) org today", "account GB{n2}NWBK{n4}{n4}{n4}{n2} now", "ip fe80::{n4}:{n3}:{n4}:{n2} seen"]
+    bad = ["see pages {n3}-{n3} and {n3}-{n3}", "in {n4}-{n4} they left", "version {n2}.{n2}.{n2}.{n2}.{n1} came", "order {n4}-{n3}-{n2} sent", "scores {n2} {n2} {n2} {n2} again", "table {n1}.{n1} {n1}.{n1} {n1}.{n1} below"]
+    plain = ["mail a{n3}@b.cd or x{n4}@y.org", "server 10.{n2}.{n2}.{n2} answered", "nothing {n4} here {n2}", "phone +49 {n3} {n4}{n2}"]
+    import random
+
+    rng = random.Random(8)
+    fill = lambda t: re.sub(r"\{n(\d)\}", lambda m: str(rng.randrange(10 ** (int(m[1]) - 1), 10 ** int(m[1]))), t)
+    rows = [(i, 1, fill(good[i % 6])) for i in range(120)] + [(1000 + i, 0, fill(bad[i % 6])) for i in range(120)]
+    rows += [(10_000 + i, 2, fill(plain[i % 4])) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, what int, text string")
+    found = {(r.what, r.doc_id): r.added for r in pii.find_pii(df).select("what", "doc_id", F.exists("pii", lambda c: c["kind"].isin(*pii.WIDE_KINDS)).alias("added")).collect()}
+    hit, false = sum(v for (w, _), v in found.items() if w == 1), sum(v for (w, _), v in found.items() if w == 0)
+    assert hit >= 0.9 * 120, hit
+    assert hit >= 0.9 * (hit + false), (hit, false)
