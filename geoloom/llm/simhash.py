@@ -258,13 +258,17 @@ def links(classes: DataFrame, stored_upto: int = STORED_UPTO) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, root) for every node that is not the least of its component, by alternating star contraction."""
+    """(node, root) for every node that is not the least of its component, by alternating star contraction.
+
+    The least neighbours are written before edges meet them: a join of its own, whose hot centres adaptive execution splits,
+    where a join in the stage of the aggregate would have to take all edges of a centre in one task.
+    """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         new = stored(small)
         same = [x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() for x in (now, new)]
@@ -277,8 +281,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 def component_of(classes: DataFrame) -> DataFrame:
     """classes (fp, first) with `component`: the least `first` of each fingerprint's component."""
     roots = components(links(classes))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    rooted = stored(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component")))
     return rooted.join(least, "root").select("fp", "component")
 
 
