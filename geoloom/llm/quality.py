@@ -39,6 +39,8 @@ class Rules:
     min_distinct_share: float = 0.3
     #: A line without end punctuation of at most so many words that has a navigation word fails.
     nav_words_upto: int = 4
+    #: A line is boilerplate if it has a phrase of such for each so many of its words: a long paragraph may mention one.
+    words_a_phrase: int = 40
     #: A text is rejected if more than this share of its bytes stands on failing lines.
     max_lost_share: float = 0.6
 
@@ -46,10 +48,26 @@ class Rules:
 _MARKED = re.compile(rb"(?:[#*$%&<>~^_=+]{2,}|[!?]{2,})")
 _SEPARATOR = {b"|", b"||", b"/", b"\\", b">", b">>", b"<", b"\xc2\xbb", b"\xc2\xab", b"\xe2\x80\xba", b"\xe2\x80\xa2", b"\xc2\xb7", b"-", b"::"}
 _END = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"\xe2\x80\xa6", b"\xe2\x80\x9d", b"\xc2\xbb", b"\xe3\x80\x82")
-_NAV = re.compile(rb"(?i)\b(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to|contact us|about us|sitemap|share|tweet|subscribe|read more|click here|add to cart)\b")
-_BOILERPLATE = re.compile(
-    rb"(?i)all rights reserved|\bcopyright\b|\xc2\xa9|cookie (?:policy|notice|settings)|accept (?:all )?cookies|privacy policy|terms (?:of|and) (?:use|service|conditions)|enable javascript|lorem ipsum|licen[sc]ed under|powered by"
+#: Words of menus and phrases of notices, by language.
+_NAV_WORDS = (
+    "home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to|contact us|about us|sitemap|share|tweet|subscribe|read more|click here|add to cart",
+    "startseite|anmelden|registrieren|suche|weiter|zurück|nach oben|kontakt|über uns|impressum|teilen|abonnieren|mehr lesen|weiterlesen|in den warenkorb",
+    "accueil|connexion|se connecter|s'inscrire|rechercher|suivant|précédent|haut de page|contactez-nous|à propos|plan du site|partager|s'abonner|lire la suite|cliquez ici|ajouter au panier",
+    "inicio|iniciar sesión|registrarse|buscar|siguiente|anterior|volver arriba|contacto|sobre nosotros|mapa del sitio|compartir|suscribirse|leer más|haga clic aquí|añadir al carrito",
 )
+_PHRASES = (
+    r"all rights reserved|\bcopyright\b|©|cookie (?:policy|notice|settings)|accept (?:all )?cookies|privacy policy|terms (?:of|and) (?:use|service|conditions)|enable javascript|lorem ipsum|licen[sc]ed under|released under the|powered by",
+    r"alle rechte vorbehalten|urheberrechtlich geschützt|cookie-(?:richtlinie|einstellungen)|(?:alle )?cookies akzeptieren|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|javascript aktivieren|lizenziert unter|unter der lizenz",
+    r"tous droits réservés|droits d.auteur|politique (?:de cookies|de confidentialité)|accepter (?:tous )?les cookies|mentions légales|conditions (?:d.utilisation|générales)|activer javascript|sous licence|propulsé par",
+    r"todos los derechos reservados|derechos de autor|política de (?:cookies|privacidad)|aceptar (?:todas )?las cookies|aviso legal|(?:términos y condiciones|condiciones de uso)|activar javascript|bajo (?:la )?licencia|con la tecnología de",
+)
+#: A line without any of these has no such phrase.
+_ANCHORS = (
+    "rights", "copyright", "©", "cookie", "privacy", "terms", "javascript", "lorem", "licens", "licenc", "released", "powered", "rechte", "urheber", "datenschutz", "bedingungen",
+    "lizenz", "droits", "confidentialité", "légales", "conditions", "propulsé", "derechos", "privacidad", "aviso", "términos", "condiciones", "tecnología",
+)
+_NAV = re.compile(rf"\b(?:{'|'.join(_NAV_WORDS)})\b", re.IGNORECASE)
+_BOILERPLATE = re.compile("|".join(_PHRASES))
 
 
 def line_rule(line: bytes, rules: Rules) -> str:
@@ -63,11 +81,12 @@ def line_rule(line: bytes, rules: Rules) -> str:
     separators = sum(w in _SEPARATOR for w in words) if b"|" in line or b"/" in line or b">" in line or b"\xc2" in line or b"\xe2" in line or b"-" in line or b":" in line else 0
     if separators >= rules.min_separators and separators > rules.max_separator_share * n:
         return "navigation"
-    if n <= rules.nav_words_upto and not line.rstrip().endswith(_END) and _NAV.search(line):
+    if n <= rules.nav_words_upto and not line.rstrip().endswith(_END) and _NAV.search(line.decode()):
         return "navigation"
     if n >= rules.distinct_from and len(set(words)) < rules.min_distinct_share * n:
         return "repetition"
-    if n <= 40 and _BOILERPLATE.search(line):
+    low = line.decode().lower()
+    if any(a in low for a in _ANCHORS) and len(_BOILERPLATE.findall(low)) * rules.words_a_phrase >= n:
         return "boilerplate"
     return ""
 

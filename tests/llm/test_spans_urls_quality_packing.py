@@ -111,6 +111,18 @@ def test_quality_lines(spark):
     assert quality.line_rule(b"Home | News | About | More", rules) == "navigation"
     assert quality.line_rule(b"*** %%% a### b&&&", rules) == "punctuation"
     assert quality.line_rule("Ein gewöhnlicher Satz, nichts weiter.".encode(), rules) == ""
+    for notice in ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "Released under the MIT License."):
+        assert quality.line_rule(notice.encode(), rules) == "boilerplate", notice
+    for menu in ("Zurück", "Lire la suite", "Iniciar sesión"):
+        assert quality.line_rule(menu.encode(), rules) == "navigation", menu
+    import re
+
+    for phrases in quality._PHRASES:  # each phrase has an anchor
+        for alternative in re.split(r"\|(?![^(]*\))", phrases):
+            plain = re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", alternative.replace("[sc]", "s").replace("\\b", "").replace(".", "'"))
+            assert quality.line_rule(plain.encode(), rules) == "boilerplate", plain
+    legal = "Our privacy policy and the terms of use say that all rights reserved by the owner stay with " + " ".join(f"x{i}" for i in range(80))
+    assert quality.line_rule(legal.encode(), rules) == "boilerplate" and quality.line_rule(b"a law about copyright " + b" ".join(b"w%d" % i for i in range(60)), rules) == ""
     good = "Line %s has a few words all %s own.\n"
     text = "".join(good % (i, i) for i in "abc") + "All rights reserved.\n"
     rows = quality.clean(spark.createDataFrame([(1, text), (2, "All rights reserved. x y z.\n" * 1 + "|| a || b || c\n" * 3 + good % (1, 1))], "doc_id long, text string")).orderBy("doc_id").collect()
