@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon: folded texts, Aho-Corasick, length normalisation and exception phrases.
 
-Folding lower-cases, maps homoglyphs to the letters they look like and digits and signs inside words to letters, and
-drops zero-width characters. The lexicon is learned from labelled documents: words, and beginnings of words of four to
+Folding lower-cases, maps homoglyphs to the letters they look like, and digits and signs that stand for letters to those
+(everywhere in the text), and drops zero-width characters. The lexicon is learned from labelled documents: words, and beginnings of words of four to
 eight letters that stand for whole families, each with the log of its odds ratio as a weight. A document's weights, less
 those inside exception phrases, are summed and divided by its length; a logistic curve over both sums turns them
 into a score. The labelled rows are a bounded sample (`Settings.sample`, by a hash of the id): two thirds make the
@@ -141,8 +141,9 @@ def _lexicon(taught: DataFrame, s: Settings) -> dict[str, float]:
 
     own = taught.filter("part < 2").mapInArrow(run, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
-    best = own.filter((F.col("entry") == "") | ((F.col("toxic") >= s.min_docs) & (rate >= s.min_precision)))
-    rows = [tuple(r) for r in best.orderBy((F.col("entry") != "").cast("int"), F.desc("toxic"), "entry").limit(s.entries + 1).collect()]
+    gain = F.col("toxic") * F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
+    best = own.withColumn("gain", gain).filter((F.col("entry") == "") | ((F.col("toxic") >= s.min_docs) & (rate >= s.min_precision)))
+    rows = [tuple(r) for r in best.orderBy((F.col("entry") != "").cast("int"), F.desc("gain"), "entry").drop("gain").limit(s.entries + 1).collect()]
     if not rows or rows[0][0] != "":
         return {}
     _, n0, n1 = rows[0]
