@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from re import _constants as C
 from re import _parser
 
@@ -107,15 +108,22 @@ def trigram_query(regex: str) -> Query:
     return frozenset(least)
 
 
+@lru_cache(1)
+def _slots(wanted: tuple[str, ...]) -> np.ndarray:
+    """The number of each wanted trigram, by its three bytes; -1 for all others. Kept by a worker for all its segments."""
+    slot = np.full(1 << 24, -1, np.int16)
+    for i, g in enumerate(wanted):
+        slot[int.from_bytes(g.encode(), "big")] = i
+    return slot
+
+
 class Segment:
     """Postings of the queried trigrams over a few texts."""
 
     def __init__(self, texts: list[bytes], wanted: list[str]):
         self.n = len(texts)
         self.number = {g: i for i, g in enumerate(wanted)}
-        slot = np.full(1 << 24, -1, np.int16)
-        for g, i in self.number.items():
-            slot[int.from_bytes(g.encode(), "big")] = i
+        slot = _slots(tuple(wanted))
         data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)].astype(np.uint32)
         starts = np.cumsum([0, *[len(x) + 1 for x in texts[:-1]]])
         got = slot[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]] if len(data) > 2 else np.zeros(0, np.int16)
@@ -169,9 +177,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: s
                     spans[i] += [(m.start(), k, m.end()) for m in scan.finditer(texts[i]) if rule.check is None or rule.check(m)]
             rows = []
             for data, found in zip(texts, spans, strict=True):
-                plain = data.isascii()
-                point = (lambda p: p) if plain or not found else (lambda p, d=data: len(d[:p].decode("utf-8", "replace")))
-                rows.append([{"kind": rules[k].kind, "start": point(a), "end": point(b)} for a, k, b in sorted(found)])
+                if found and not data.isascii():  # bytes that do not continue a character, before each place
+                    before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+                    found = [(int(before[a]), k, int(before[b])) for a, k, b in found]
+                rows.append([{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(found)])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, _ARROW_SPAN)], names=[*part.schema.names, out])
 
     return docs.mapInArrow(run, schema)
