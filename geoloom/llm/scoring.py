@@ -40,7 +40,7 @@ from .common import Words, chunks, fold_of, mix, raw, read, stored
 END = -0x6C6D5F656E640001
 N_FEATURES = 4
 #: The features that choose the word inside its class.
-WORD_FEATURES = (0, 1, 2)
+WORD_FEATURES = (0, 2)
 
 
 @dataclass(frozen=True)
@@ -279,13 +279,21 @@ def positions(b: Batch, k: int, s: Settings) -> np.ndarray:
     return np.flatnonzero((b.place + b.doc + k) % s.rounds == 0)
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
-    x = bias + weights[buckets[0]]
-    for b in buckets[1:]:
-        x += weights[b]
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+#: Rows of a softmax that stay in the processor's cache.
+_ROWS = 2048
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, own: np.ndarray | None, buckets: list[np.ndarray]) -> np.ndarray:
+    """A row of probabilities per position; own: the row of the bias for each position, where it has several."""
+    out = np.empty((len(buckets[0]), weights.shape[1]), weights.dtype)
+    for a in range(0, len(out), _ROWS):
+        x = out[a : a + _ROWS]
+        np.add(weights[buckets[0][a : a + _ROWS]], bias if own is None else bias[own[a : a + _ROWS]], out=x)
+        for b in buckets[1:]:
+            x += weights[b[a : a + _ROWS]]
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+    return out
 
 
 def _sum_tables(rows: DataFrame, shapes: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
@@ -351,11 +359,12 @@ def _as_float32(m: Model) -> Model:
 def _add(m: Model, b: Batch, at: np.ndarray, tables: dict[int, np.ndarray]) -> None:
     """Adds the observed and the expected counts of the tokens at these places."""
     for p, seen, meant, own, buckets in (
-        (_softmax(m.classes, m.class_bias, x := b.class_buckets(at)), CLASSES_SEEN, CLASSES_MEANT, b.cls[at], x),
-        (_softmax(m.words, m.word_bias[b.cls[at]], y := b.word_buckets(at)), WORDS_SEEN, WORDS_MEANT, b.pos[at], y),
+        (_softmax(m.classes, m.class_bias, None, x := b.class_buckets(at)), CLASSES_SEEN, CLASSES_MEANT, b.cls[at], x),
+        (_softmax(m.words, m.word_bias, b.cls[at], y := b.word_buckets(at)), WORDS_SEEN, WORDS_MEANT, b.pos[at], y),
     ):
         for bucket in buckets:
-            order = np.argsort(bucket, kind="stable")
+            short = bucket.astype(np.uint16) if len(tables[seen]) <= 1 << 16 else bucket  # sorted by radix
+            order = np.argsort(short, kind="stable")
             sorted_bucket = bucket[order]
             begin = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
             tables[meant][sorted_bucket[begin]] += np.add.reduceat(p[order], begin, axis=0)
@@ -368,8 +377,8 @@ def log10_of(m: Model, b: Batch, n_docs: int, s: Settings) -> np.ndarray:
     for a in range(0, len(logs), s.block):
         at = np.arange(a, min(a + s.block, len(logs)))
         rows = np.arange(len(at))
-        logs[at] = np.log10(_softmax(m.classes, m.class_bias, b.class_buckets(at))[rows, b.cls[at]])
-        logs[at] += np.log10(_softmax(m.words, m.word_bias[b.cls[at]], b.word_buckets(at))[rows, b.pos[at]])
+        logs[at] = np.log10(_softmax(m.classes, m.class_bias, None, b.class_buckets(at))[rows, b.cls[at]])
+        logs[at] += np.log10(_softmax(m.words, m.word_bias, b.cls[at], b.word_buckets(at))[rows, b.pos[at]])
     return np.bincount(b.doc, weights=logs, minlength=n_docs)
 
 
