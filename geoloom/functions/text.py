@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INT = r"^\s*([+-]?)(?:0[xX]([0-9a-fA-F]+)|0([0-7]+)|([0-9]+))$"
+_INT = r"^\s*([+-]?)(?:0[xX]([0-9a-fA-F]+)|0([0-7]+)|([0-9]+))\z"
 _NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 
 
@@ -31,17 +31,25 @@ def try_int(s: Column) -> Column:
 
 
 def try_double(s: Column) -> Column:
-    """The double that a whole text spells, `inf` and `nan` included; else null."""
-    plain = F.when(s.rlike(_NUMBER + "$"), F.trim(s).try_cast("double"))
-    low = F.lower(F.trim(s))
-    other = F.when(low.rlike(r"^[+]?inf(?:inity)?$"), float("inf")).when(low.rlike(r"^-inf(?:inity)?$"), float("-inf")).when(low.rlike(r"^[+-]?nan$"), float("nan"))
-    return F.coalesce(plain, other, try_int(s).cast("double"))
+    """The double that a whole text spells, `inf`, `nan` and hexadecimal integers included; blanks may lead, nothing may follow. Else null."""
+    plain = F.when(s.rlike(_NUMBER + r"\z"), F.trim(s).try_cast("double"))
+    low = F.lower(s)
+    other = F.when(low.rlike(r"^\s*[+]?inf(?:inity)?\z"), float("inf")).when(low.rlike(r"^\s*-inf(?:inity)?\z"), float("-inf")).when(low.rlike(r"^\s*[+-]?nan\z"), float("nan"))
+    return F.coalesce(_hexadecimal(s, r"\z"), plain, other, try_int(s).cast("double"))
+
+
+def _hexadecimal(s: Column, end: str) -> Column:
+    """The double of a hexadecimal integer."""
+    pattern = rf"^\s*([+-]?)0[xX]([0-9a-fA-F]{{1,15}}){end}"
+    digits = F.conv(F.regexp_extract(s, pattern, 2), 16, 10).try_cast("double")
+    return F.when(s.rlike(pattern), F.when(F.regexp_extract(s, pattern, 1) == "-", -digits).otherwise(digits))
 
 
 def prefix_double(s: Column) -> Column:
-    """The double that a text begins with; null if it begins with none."""
+    """The double that a text begins with; null if it begins with none, or with one that is out of range."""
     found = F.regexp_extract(s, _NUMBER, 0)
-    return F.when(found != "", F.trim(found).try_cast("double"))
+    value = F.when(found != "", F.trim(found).try_cast("double"))
+    return F.coalesce(_hexadecimal(s, "(?![0-9a-fA-F])"), F.when(F.abs(value) != float("inf"), value))
 
 
 def suffix(s: Column) -> Column:

@@ -7,6 +7,7 @@ tables before they are read. Tags are a list of pairs, since keys may repeat; co
 from __future__ import annotations
 
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +23,63 @@ RANK = {"node": 1, "way": 2, "relation": 3, "area": 4}
 WAY_AREA, RELATION_AREA = 2_400_000_000, 3_600_000_000
 
 
+#: What is known of frames of several types: the frame of each. A step on one type then plans that type's tables alone.
+_TYPES: WeakKeyDictionary[DataFrame, dict[str, DataFrame | None]] = WeakKeyDictionary()  # None: the frame itself
+
+
+def typed(df: DataFrame, etype: str) -> DataFrame:
+    """df, noted as elements of one type."""
+    _TYPES[df] = {etype: None}
+    return df
+
+
+def _parts(df: DataFrame) -> dict[str, DataFrame]:
+    return {t: df if one is None else one for t, one in _TYPES[df].items()}
+
+
+def types_of(df: DataFrame) -> list[str] | None:
+    """The types that df has at most; None if that is not known."""
+    return None if df not in _TYPES else list(_TYPES[df])
+
+
+def pick(df: DataFrame, condition: Column | str) -> DataFrame:
+    """The elements for which a condition holds; what is known of the types stays known."""
+    if df not in _TYPES:
+        return df.filter(condition)
+    some = [typed(one.filter(condition), t) for t, one in _parts(df).items()]
+    return both(*some) if some else df
+
+
 def elements(df: DataFrame, etype: str | None = None, *more: str) -> DataFrame:
     """df with all columns of the model, null where it has none, and more of its own."""
     named = df.withColumn("etype", F.lit(etype)) if etype else df
-    return named.select(*[(F.col(c).cast(t) if c in named.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()], *more)
+    out = named.select(*[(F.col(c).cast(t) if c in named.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()], *more)
+    return typed(out, etype) if etype else out
 
 
 def both(*sets: DataFrame) -> DataFrame:
     """All rows of the sets, duplicates included."""
-    return reduce(DataFrame.unionByName, sets)
+    if len(sets) == 1:
+        return sets[0]
+    out, parts = reduce(DataFrame.unionByName, sets), {}
+    if all(x in _TYPES for x in sets):
+        for x in sets:
+            for t, one in _parts(x).items():
+                parts[t] = parts[t].unionByName(one) if t in parts else one
+        _TYPES[out] = parts
+    return out
 
 
 def of_type(df: DataFrame, *etypes: str) -> DataFrame:
-    return df.filter(F.col("etype").isin(*etypes))
+    if df in _TYPES:
+        found = [typed(one, t) for t, one in _parts(df).items() if t in etypes]
+        if found:
+            return both(*found)
+        nothing = df.filter(F.lit(False))
+        _TYPES[nothing] = {}
+        return nothing
+    out = df.filter(F.col("etype").isin(*etypes))
+    return typed(out, etypes[0]) if len(etypes) == 1 else out
 
 
 def tag_list(**tags: Column) -> Column:

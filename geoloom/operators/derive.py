@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as agg
 from ..functions.geometry import point
 from ..model import KEY, degrees, elements, of_type, tag
+from .output import numbered
 
 
 def _pairs(assigned: dict[str, Column]) -> Column:
@@ -34,10 +35,10 @@ def make(df: DataFrame, etype: str, assigned: dict[str, Column]) -> DataFrame:
 
 
 def make_per_group(grouped: DataFrame, etype: str, assigned: dict[str, Column], key: str = "value") -> DataFrame:
-    """One derived element per group (`val`, see sets.grouped): the loop over groups as one groupBy. Ids follow the keys' order."""
+    """One derived element per group (`val`, see sets.grouped): the loop over groups as one groupBy. Ids count up from 1 in the order of the keys."""
     rows = grouped.groupBy("val").agg(*[v.alias(f"v{i}") for i, v in enumerate(assigned.values())])
     tags = F.filter(_pairs({key: F.col("val"), **{k: F.col(f"v{i}") for i, k in enumerate(assigned)}}), lambda t: t["v"] != "")
-    return elements(rows.select(F.xxhash64("val").alias("id"), tags.alias("tags")), etype)
+    return elements(numbered(rows.select(tags.alias("tags"), F.col("val").alias("_val")), "_val", number="id"), etype)
 
 
 def copy_all_keys(df: DataFrame, aggregate=agg.unique) -> DataFrame:
@@ -58,28 +59,43 @@ def timeline(history: DataFrame, etype: str, ids: list[int], version: int | None
     return elements(rows.withColumn("tags", F.filter(_pairs(tags), lambda t: t["v"] != "")), "timeline")
 
 
-def local_vertices(df: DataFrame, nodes: DataFrame, reference: bool = False) -> DataFrame:
-    """Tagged nodes as derived vertices; keys that begin with `_` get one more."""
-    own = of_type(df, "node").filter(F.size("tags") > 0)
+def _local_ids(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, local_id) of the set's nodes and of its ways' nodes that share their place with another: numbered from 1 in each place."""
+    used = of_type(df, "node").select("id").unionByName(of_type(df, "way").select(F.explode("nds").alias("id"))).distinct()
+    place = W.partitionBy("lat_e7", "lon_e7")
+    rows = of_type(nodes, "node").select("id", "lat_e7", "lon_e7").join(used, "id", "left_semi")
+    return rows.select("id", F.count("*").over(place).alias("n"), F.row_number().over(place.orderBy("id")).alias("local_id")).filter("n > 1").drop("n")
+
+
+def local_vertices(df: DataFrame, nodes: DataFrame, every: bool = False) -> DataFrame:
+    """Tagged nodes as derived vertices, or all nodes, with their ids; keys that begin with `_` get one more. Nodes that share a place are told apart by `_local_id`."""
+    own = of_type(df, "node") if every else of_type(df, "node").filter(F.size("tags") > 0)
+    own = own.join(_local_ids(df, nodes), "id", "left")
     moved = F.transform("tags", lambda t: F.struct(F.when(t["k"].startswith("_"), F.concat(F.lit("_"), t["k"])).otherwise(t["k"]).alias("k"), t["v"].alias("v")))
-    extra = {"_local_id": F.lit("1")} | ({"_node_ref": F.col("id").cast("string")} if reference else {})
-    return elements(own.withColumns({"tags": F.concat(_pairs(extra), moved), "geometry": point(degrees(F.col("lat_e7")), degrees(F.col("lon_e7")))}), "vertex")
+    extra = _pairs({"_local_id": F.col("local_id").cast("string")} | ({"_node_ref": F.col("id").cast("string")} if every else {}))
+    tags = F.array_sort(F.concat(F.filter(extra, lambda t: t["v"].isNotNull()), moved))
+    return elements(own.withColumns({"tags": tags, "geometry": point(degrees(F.col("lat_e7")), degrees(F.col("lon_e7")))}), "vertex")
 
 
-def local_links(df: DataFrame) -> DataFrame:
-    """(way, part, nds): ways cut at nodes where sections meet; an inner use of a node counts once, an end twice.
+def local_links(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(way, part, nds): ways cut where sections meet.
 
-    A cut node is used more than once in that sense; a way without an inner cut is one link.
+    An inner use of a node by one of the ways counts once, an end twice, a tagged node of the set once more; ways are cut
+    at inner nodes that count more than once or share their place with another node. A way without such is one link, one
+    with an unknown node is left out.
     """
-    ways = of_type(df, "way").filter(F.size("nds") > 1).select("id", "nds", F.size("nds").alias("n"))
-    uses = ways.select(F.posexplode("nds").alias("pos", "ref"), "n")
-    end = (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)
-    cuts = uses.groupBy("ref").agg(F.sum(F.when(end, 2).otherwise(1)).alias("uses")).filter("uses > 1").select("ref")
-    at = ways.select("id", "n", F.posexplode("nds").alias("pos", "ref")).join(cuts.withColumn("cut", F.lit(True)), "ref", "left")
-    edge = (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)
-    places = at.filter(F.col("cut").isNotNull() | edge).groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    parts = ways.join(places, "id").select("id", "nds", F.posexplode(F.arrays_zip(F.slice("places", F.lit(1), F.size("places") - 1).alias("a"), F.slice("places", F.lit(2), F.size("places") - 1).alias("b"))).alias("part", "p"))
-    return parts.select(F.col("id").alias("way"), (F.col("part") + 1).alias("part"), F.expr("slice(nds, p.a + 1, p.b - p.a + 1)").alias("nds"))
+    all_ways = of_type(df, "way").filter(F.size("nds") > 0).select("id", "nds", F.size("nds").alias("n"))
+    uses = all_ways.select("id", "n", F.posexplode("nds").alias("pos", "ref"))
+    unknown = uses.join(of_type(nodes, "node").select(F.col("id").alias("ref")), "ref", "left_anti").select("id").distinct()
+    ways, end = all_ways.join(unknown, "id", "left_anti"), (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)
+    tagged = of_type(df, "node").filter(F.size("tags") > 0).select(F.col("id").alias("ref"), F.lit(1).alias("times"))
+    often = uses.select("ref", F.when(end, 2).otherwise(1).alias("times")).unionByName(tagged).groupBy("ref").agg(F.sum("times").alias("times")).filter("times > 1").select("ref")
+    cuts = often.unionByName(_local_ids(df, nodes).select(F.col("id").alias("ref"))).distinct().withColumn("cut", F.lit(True))
+    at = ways.select("id", "n", F.posexplode("nds").alias("pos", "ref")).join(cuts, "ref", "left")
+    places = at.filter(F.col("cut").isNotNull() | end).groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    whole = F.when(F.size("places") > 1, F.arrays_zip(F.slice("places", F.lit(1), F.size("places") - 1).alias("a"), F.slice("places", F.lit(2), F.size("places") - 1).alias("b")))
+    parts = ways.join(places, "id").select("id", "nds", F.posexplode_outer(whole).alias("part", "p"))
+    return parts.select(F.col("id").alias("way"), (F.coalesce("part", F.lit(0)) + 1).alias("part"), F.expr("IF(p IS NULL, nds, slice(nds, p.a + 1, p.b - p.a + 1))").alias("nds"))
 
 
 def local_trigraphs(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.text import truthy
-from ..model import KEY, RELATION_AREA, WAY_AREA, closed, degrees, elements, of_type
+from ..model import KEY, RELATION_AREA, WAY_AREA, both, closed, degrees, elements, of_type, pick, typed, types_of
 
 _POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "blank": r"\h", "xdigit": r"\p{XDigit}", "cntrl": r"\p{Cntrl}", "print": r"\p{Print}", "graph": r"\p{Graph}"}
 
@@ -73,12 +73,12 @@ def pair_unlike(key_pattern: str, value_pattern: str, ignore_case: bool = False)
 
 def by_ids(df: DataFrame, ids: Iterable[int]) -> DataFrame:
     wanted = [i for i in ids if i > 0]
-    return df.filter(F.col("id").isin(wanted)) if wanted else df.filter(F.lit(False))
+    return pick(df, F.col("id").isin(wanted) if wanted else F.lit(False))
 
 
 def by_id_range(df: DataFrame, lower: int, upper: int) -> DataFrame:
     """Both ends included."""
-    return df.filter(F.col("id").between(lower, upper))
+    return pick(df, F.col("id").between(lower, upper))
 
 
 def in_set(df: DataFrame, other: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def in_set(df: DataFrame, other: DataFrame) -> DataFrame:
 
 def by_user(df: DataFrame, names: Iterable[str] = (), uids: Iterable[int] = ()) -> DataFrame:
     """Last changed by one of the users."""
-    return df.filter(F.col("user").isin(list(names)) | F.col("uid").isin(list(uids)))
+    return pick(df, F.col("user").isin(list(names)) | F.col("uid").isin(list(uids)))
 
 
 def touched_by(df: DataFrame, history: DataFrame, names: Iterable[str] = (), uids: Iterable[int] = ()) -> DataFrame:
@@ -97,7 +97,7 @@ def touched_by(df: DataFrame, history: DataFrame, names: Iterable[str] = (), uid
 
 
 def newer(df: DataFrame, since: str) -> DataFrame:
-    return df.filter(F.col("ts") >= F.to_timestamp(F.lit(since)))
+    return pick(df, F.col("ts") >= F.to_timestamp(F.lit(since)))
 
 
 def changed(df: DataFrame, history: DataFrame, since: str, until: str | None = None) -> DataFrame:
@@ -109,7 +109,7 @@ def changed(df: DataFrame, history: DataFrame, since: str, until: str | None = N
 
 def where(df: DataFrame, expression: Column) -> DataFrame:
     """Where a text expression is true."""
-    return df.filter(truthy(expression))
+    return pick(df, truthy(expression))
 
 
 # ---- places ----
@@ -132,13 +132,16 @@ def _relations_with(df: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFra
 
 
 def _by_place(df: DataFrame, world: DataFrame, node_test, way_test) -> DataFrame:
-    """Nodes and ways by a test on their places; relations by their node and way members. Only the types that df has matter."""
-    nodes = of_type(world, "node")
-    inner = nodes.filter(node_test(degrees(F.col("lat_e7")), degrees(F.col("lon_e7"))))
-    crossing = with_points(of_type(world, "way"), nodes).filter(way_test(F.col("points")))
-    own_nodes = of_type(df, "node").filter(node_test(degrees(F.col("lat_e7")), degrees(F.col("lon_e7"))))
-    own_ways = with_points(of_type(df, "way"), nodes).filter(way_test(F.col("points"))).drop("points")
-    return own_nodes.unionByName(own_ways).unionByName(_relations_with(of_type(df, "relation"), inner, crossing))
+    """Nodes and ways by a test on their places; relations by their node and way members. Only the types that df has are planned."""
+    place = lambda rows: typed(rows.filter(node_test(degrees(F.col("lat_e7")), degrees(F.col("lon_e7")))), "node")
+    nodes, known = of_type(world, "node"), types_of(df)
+    crossing = lambda rows: typed(with_points(rows, nodes).filter(way_test(F.col("points"))).drop("points"), "way")
+    tests = {
+        "node": lambda: place(of_type(df, "node")), "way": lambda: crossing(of_type(df, "way")),
+        "relation": lambda: typed(_relations_with(of_type(df, "relation"), place(nodes), crossing(of_type(world, "way"))), "relation"), "area": lambda: of_type(df, "area").filter(F.lit(False)),
+    }
+    some = [test() for t, test in tests.items() if known is None or t in known]
+    return both(*some) if some else df
 
 
 def in_box(df: DataFrame, world: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
@@ -156,7 +159,8 @@ def in_box(df: DataFrame, world: DataFrame, south: float, west: float, north: fl
     def node_test(lat: Column, lon: Column) -> Column:
         return g.point_in_box(F.col("lat_e7"), F.col("lon_e7"), south_e7, west_e7, north_e7, east_e7)
 
-    return _by_place(df, world, node_test, way_test).unionByName(of_type(df, "area"))
+    found, known = _by_place(df, world, node_test, way_test), types_of(df)
+    return found if known is not None and "area" not in known else found.unionByName(of_type(df, "area"))
 
 
 def _any_segment(points: Column, south: float, west: float, north: float, east: float) -> Column:
@@ -260,9 +264,10 @@ def areas_of(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def map_to_area(df: DataFrame, areas: DataFrame) -> DataFrame:
-    """The areas made of ways and relations."""
+    """The areas made of ways and relations, and the closed ways themselves, which stand for the areas inside them."""
     wanted = df.select(F.when(F.col("etype") == "way", F.col("id") + WAY_AREA).when(F.col("etype") == "relation", F.col("id") + RELATION_AREA).alias("id"))
-    return areas.join(wanted, "id", "left_semi").select(*areas.columns)
+    made = typed(areas.join(wanted, "id", "left_semi").select(*areas.columns), "area")
+    return both(made, pick(of_type(df, "way"), closed()))
 
 
 def pivot(df: DataFrame, areas: DataFrame) -> DataFrame:

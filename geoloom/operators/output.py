@@ -9,10 +9,12 @@ import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import RANK, degrees, tag
+from ..shared import stored
 
 LEVELS = {
     "ids": (), "skel": ("lat_e7", "lon_e7", "nds", "members"), "tags": ("tags",), "body": ("lat_e7", "lon_e7", "nds", "members", "tags"),
@@ -48,6 +50,15 @@ def ordered(df: DataFrame, by: str = "asc", limit: int | None = None) -> DataFra
     return out if limit is None else out.limit(limit)
 
 
+def numbered(df: DataFrame, *keys: str, number: str = "place") -> DataFrame:
+    """df with the number of each row, from 1, in the order of the keys: rows are dealt out by range and written, and each part counts on from those before."""
+    ranged = stored(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per part of the shuffle
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = ranged.withColumn("_own", F.row_number().over(W.partitionBy("_part").orderBy(*keys)))
+    return own.join(F.broadcast(starts), "_part").withColumn(number, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_part", "_own", "_before")
+
+
 def counts(df: DataFrame) -> DataFrame:
     """One row: how many nodes, ways, relations and areas, and their total; derived elements do not count."""
     of = lambda *t: F.count_if(F.col("etype").isin(*t))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import truthy
 from ..model import KEY, both
-from .traverse import _stored
+from ..shared import stored
 
 
 def union(*sets: DataFrame) -> DataFrame:
@@ -39,9 +39,9 @@ def complete(start: DataFrame, body: Callable[[DataFrame], DataFrame], most: int
     """Adds what the body finds until nothing new appears or so many rounds have passed."""
     if not 1 <= most <= 1_048_576:
         raise ValueError("rounds must be from 1 to 1048576")
-    seen = frontier = _stored(start.dropDuplicates(KEY), "complete")
+    seen = frontier = stored(start.dropDuplicates(KEY), "complete")
     for _ in range(most):
-        new = _stored(difference(body(frontier).dropDuplicates(KEY), seen), "complete")
+        new = stored(difference(body(frontier).dropDuplicates(KEY), seen), "complete")
         if new.isEmpty():
             break
         seen, frontier = seen.unionByName(new), new

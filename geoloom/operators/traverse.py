@@ -1,16 +1,16 @@
 """Traversals along membership: from parents down to members, from members up to parents, and both closures.
 
-Results are distinct elements; a traversal is a semi-join on exploded membership rows. `world` has all elements.
+Results are distinct elements; a traversal is a semi-join on exploded membership rows. `world` has all elements. Steps
+work on (etype, id) alone: a set of keys that several steps use is written once (`kept`), and whole rows are fetched at the end.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEY, both, of_type
+from ..model import KEY, both, of_type, typed, types_of
+from ..shared import stored
 
 
 def edges(df: DataFrame, role: str | None = None) -> DataFrame:
@@ -24,7 +24,20 @@ def edges(df: DataFrame, role: str | None = None) -> DataFrame:
 
 def _fetch(world: DataFrame, keys: DataFrame) -> DataFrame:
     """The elements with these (etype, id)."""
-    return world.join(keys.select(*KEY), KEY, "left_semi")
+    types = types_of(world)
+    if types is None:
+        return world.join(keys.select(*KEY), KEY, "left_semi")
+    found = [typed(of_type(world, t).join(keys.filter(F.col("etype") == t).select("id"), "id", "left_semi").select(*world.columns), t) for t in types]
+    return both(*found) if found else world
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The keys of a set, written once, for several steps to use; its types stay known."""
+    rows, types = stored(df.select(*KEY).distinct(), "keys"), types_of(df)
+    if types is None:
+        return rows
+    parts = [typed(rows.filter(F.col("etype") == t), t) for t in types]
+    return both(*parts) if parts else rows
 
 
 def members(world: DataFrame, parents: DataFrame, types: tuple[str, ...], role: str | None = None, of: str = "relation") -> DataFrame:
@@ -68,43 +81,50 @@ def _counted(world: DataFrame, counts: DataFrame, low: int, high: int | None) ->
 
 def parents(world: DataFrame, children: DataFrame, of: str, child: str, role: str | None = None, positions: tuple[int, ...] = ()) -> DataFrame:
     """Ways or relations (`of`) with a member of type `child` among the children, in a role or at given places of a way."""
+    return _fetch(of_type(world, of), parent_keys(world, of_type(children, child), of, role, positions))
+
+
+def parent_keys(world: DataFrame, children: DataFrame, of: str, role: str | None = None, positions: tuple[int, ...] = ()) -> DataFrame:
+    """The keys of ways or relations with any of the children as a member: one pass over the memberships of that type."""
     own = of_type(world, of)
-    rows = edges(own, role).filter(F.col("type") == child)
+    rows = edges(own, role)
     if positions and of == "way":
-        rows = own.select(*KEY, F.size("nds").alias("n"), F.posexplode("nds").alias("pos", "ref")).filter(_at(positions, F.col("pos") + 1, F.col("n")))
-    met = rows.join(of_type(children, child).select(F.col("id").alias("ref")), "ref", "left_semi")
-    return own.join(met.select(*KEY), KEY, "left_semi")
+        rows = own.select(*KEY, F.size("nds").alias("n"), F.posexplode("nds").alias("pos", "ref"), F.lit("node").alias("type")).filter(_at(positions, F.col("pos") + 1, F.col("n")))
+    known = types_of(children)
+    if known is not None and len(known) == 1:  # a constant type is no key of the join
+        met = rows.filter(F.col("type") == known[0]).join(children.select(F.col("id").alias("ref")), "ref", "left_semi")
+    else:
+        met = rows.join(children.select(F.col("etype").alias("type"), F.col("id").alias("ref")), ["type", "ref"], "left_semi")
+    return typed(met.select(*KEY).distinct(), of)
 
 
 def distinct(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates(KEY)
+    """Each element once; of a single known type, which stays known."""
+    out, types = df.dropDuplicates(KEY), types_of(df)
+    return typed(out, types[0]) if types and len(types) == 1 else out
 
 
-def down(world: DataFrame, df: DataFrame) -> DataFrame:
-    """Ways of the relations, and the nodes of these ways, of the ways and of the relations; the start itself is not returned."""
-    ways = members(world, df, ("way",))
-    nodes = distinct(both(way_nodes(world, both(ways, of_type(df, "way"))), members(world, df, ("node",))))
-    return both(ways, nodes)
+def _keys(of: str, *sets: DataFrame) -> DataFrame:
+    """The keys of all sets, which are of one type, written once."""
+    rows = both(*[of_type(x, of).select(*KEY) for x in sets]) if len(sets) > 1 else of_type(sets[0], of).select(*KEY)
+    return typed(stored(rows.distinct(), "keys"), of)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared checkpoint folder where the session has one, else checkpointed nowhere and kept lazy."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.persist()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def down(world: DataFrame, df: DataFrame) -> DataFrame:
+    """Ways of the relations, and the nodes of these ways, of the ways and of the relations; the start itself is not returned."""
+    ways = _keys("way", members(world, df, ("way",)))
+    sources = of_type(world, "way").join(_keys("way", ways, df).select("id"), "id", "left_semi").select(*world.columns)
+    nodes = _keys("node", way_nodes(world, typed(sources, "way")), members(world, df, ("node",)))
+    return both(_fetch(of_type(world, "way"), ways), _fetch(of_type(world, "node"), nodes))
 
 
 def closure(start: DataFrame, step: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Ids reachable from start(id) along step(source, target), the start included: a frontier per round, cycles end it."""
-    seen = _stored(start.select("id").distinct(), "seen")
+    seen = stored(start.select("id").distinct(), "seen")
     frontier = seen
     for _ in range(most_rounds):
         found = frontier.join(step, frontier["id"] == step["source"]).select(F.col("target").alias("id")).distinct()
-        frontier = _stored(found.join(seen, "id", "left_anti"), "frontier")
+        frontier = stored(found.join(seen, "id", "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -118,24 +138,24 @@ def _relation_steps(world: DataFrame) -> DataFrame:
 
 def down_all(world: DataFrame, df: DataFrame) -> DataFrame:
     """Relations reached by any number of steps, the start included; their ways; and nodes of those, of the start's ways and of the relations."""
-    ids = closure(of_type(df, "relation"), _relation_steps(world))
-    relations = of_type(world, "relation").join(ids, "id", "left_semi").select(*world.columns)
-    ways = members(world, relations, ("way",))
-    nodes = distinct(both(way_nodes(world, both(ways, of_type(df, "way"))), members(world, relations, ("node",))))
-    return both(relations, ways, nodes)
+    ids = stored(closure(of_type(df, "relation"), stored(_relation_steps(world), "steps")), "closure")
+    relations = typed(of_type(world, "relation").join(ids, "id", "left_semi").select(*world.columns), "relation")
+    own = of_type(df, "way")
+    return both(relations, down(world, both(relations, own)))
 
 
 def up(world: DataFrame, df: DataFrame) -> DataFrame:
     """Ways with the nodes; relations with the nodes, with these ways or the start's ways; and the start's relations."""
-    ways = parents(world, df, "way", "node")
-    by_node = parents(world, df, "relation", "node")
-    by_way = parents(world, both(ways, of_type(df, "way")), "relation", "way")
-    return both(ways, distinct(both(by_node, by_way, of_type(df, "relation"))))
+    start = kept(df)
+    ways = _keys("way", parent_keys(world, of_type(start, "node"), "way"))
+    below = both(of_type(start, "node").select(*KEY), of_type(start, "way").select(*KEY), ways)
+    relations = _keys("relation", parent_keys(world, below, "relation"), start)
+    return both(_fetch(of_type(world, "way"), ways), _fetch(of_type(world, "relation"), relations))
 
 
 def up_all(world: DataFrame, df: DataFrame) -> DataFrame:
     """As `up`, and relations that hold any of those relations by any number of steps."""
     first = up(world, df)
-    steps = _relation_steps(world).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    ids = closure(of_type(first, "relation"), steps)
-    return both(of_type(first, "way"), of_type(world, "relation").join(ids, "id", "left_semi").select(*world.columns))
+    steps = stored(_relation_steps(world).select(F.col("target").alias("source"), F.col("source").alias("target")), "steps")
+    ids = stored(closure(of_type(first, "relation"), steps), "closure")
+    return both(of_type(first, "way"), typed(of_type(world, "relation").join(ids, "id", "left_semi").select(*world.columns), "relation"))

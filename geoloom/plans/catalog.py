@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as agg
 from ..functions import geometry as g
 from ..functions import lists, members, text
-from ..model import KEY, both, closed, degrees, of_type, tag
+from ..model import KEY, both, closed, degrees, of_type, pick, tag, typed
 from ..operators import derive, filters, history, output, sets, traverse
 from ..sources import star
 
@@ -66,9 +66,22 @@ def _relations(w: DataFrame) -> DataFrame:
     return of_type(w, "relation")
 
 
+def _final(w: DataFrame) -> DataFrame:
+    """The ways of finished orders."""
+    return pick(_ways(w), filters.has_value("status", "F"))
+
+
+def _thirteen(w: DataFrame) -> DataFrame:
+    """The nodes of one brand."""
+    return pick(_nodes(w), filters.has_value("brand", "Brand#13"))
+
+
+_FINAL, _THIRTEEN = "(SELECT id FROM way WHERE status = 'F')", "(SELECT id FROM node WHERE brand = 'Brand#13')"
+
+
 @query("SELECT n.brand, count(*) AS n FROM node n WHERE n.id IN (SELECT ref FROM waynd JOIN way ON way.id = waynd.way WHERE status = 'F') GROUP BY n.brand")
 def flagship_for_make(w):
-    found = traverse.way_nodes(w, _ways(w).filter(filters.has_value("status", "F")))
+    found = traverse.way_nodes(w, _final(w))
     return sets.grouped(found, tag("brand")).groupBy("val").agg(F.count("*").alias("n")).select(F.col("val").alias("brand"), "n")
 
 
@@ -119,8 +132,9 @@ def filter_item_intersection(w):
 
 @query("SELECT 'way' AS etype, id FROM way WHERE \"user\" IN (SELECT c_name FROM customer WHERE c_custkey IN (3, 4)) OR uid IN (8, 9)")
 def filter_user(spark, d):
-    names = [r.c_name for r in star.table(spark, d, "customer").filter("c_custkey IN (3, 4)").select("c_name").collect()]
-    return ids(filters.by_user(_ways(star.world(spark, d)), names, [8, 9]))
+    w = star.world(spark, d)
+    named = star.table(spark, d, "customer").filter("c_custkey IN (3, 4)").select(F.col("c_name").alias("user"))
+    return ids(sets.union(_ways(w).join(named, "user", "left_semi").select(*w.columns), filters.by_user(_ways(w), uids=[8, 9])))
 
 
 @query("SELECT 'node' AS etype, id FROM ver WHERE NOT deleted AND valid_to IS NULL AND id IN (SELECT id FROM ver WHERE id - 1 IN (1, 2, 3, 50))")
@@ -188,10 +202,9 @@ def bbox_relations(w):
 _METRES = "2 * 20000000.0 / pi() * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-@query(f"SELECT DISTINCT 'node' AS etype, a.id FROM node a, node b WHERE b.brand = 'Brand#13' AND b.id <= 400 AND {_METRES} <= 300000")
+@query(f"SELECT DISTINCT 'node' AS etype, a.id FROM node a, node b WHERE b.brand = 'Brand#13' AND {_METRES} <= 300000")
 def around_set(w):
-    sources = filters.by_id_range(_nodes(w).filter(filters.has_value("brand", "Brand#13")), 1, 400)
-    return ids(filters.around(_nodes(w), sources, 300_000))
+    return ids(filters.around(_nodes(w), _thirteen(w), 300_000))
 
 
 @query(f"SELECT 'node' AS etype, a.id FROM node a, (SELECT 10.0 AS lat, 179.5 AS lon) b WHERE {_METRES} <= 2500000")
@@ -242,9 +255,9 @@ def area_nodes(w):
     return ids(filters.in_areas(_nodes(w), filters.areas_of(w, w)))
 
 
-@query(f"SELECT 'area' AS etype, area + 2400000000 AS id FROM ({_INSIDE}) WHERE id <= 300 GROUP BY area")
+@query(f"SELECT 'area' AS etype, area + 2400000000 AS id FROM ({_INSIDE}) GROUP BY area")
 def is_in(w):
-    return ids(filters.is_in(filters.by_id_range(_nodes(w), 1, 300), filters.areas_of(w, w)))
+    return ids(filters.is_in(_nodes(w), filters.areas_of(w, w)))
 
 
 @query("SELECT 'way' AS etype, id FROM area")
@@ -252,7 +265,7 @@ def pivot(w):
     return ids(filters.pivot(_ways(w), filters.areas_of(w, w)))
 
 
-@query("SELECT 'area' AS etype, id + 2400000000 AS id FROM area")
+@query("SELECT 'area' AS etype, id + 2400000000 AS id FROM area UNION ALL SELECT 'way', way FROM waynd GROUP BY way HAVING min(ref) FILTER (pos = 1) = min(ref) FILTER (pos = n)")
 def map_to_area(w):
     return ids(filters.map_to_area(_ways(w), filters.areas_of(w, w)))
 
@@ -264,108 +277,111 @@ def filter_closed(w):
 
 # ---- traversals ----
 
-_SOME = "id <= 12 OR id BETWEEN 1000000 AND 1000005 OR id BETWEEN 2000000 AND 2000001 OR id BETWEEN 3000000 AND 3000020"
-
-
-def _some(w: DataFrame) -> DataFrame:
-    i = F.col("id")
-    return _relations(w).filter((i <= 12) | i.between(1000000, 1000005) | i.between(2000000, 2000001) | i.between(3000000, 3000020))
-
-
 def _member_query(name: str, types: tuple[str, ...]) -> None:
     def run(w):
-        return ids(traverse.members(w, _some(w), types))
+        return ids(traverse.members(w, w, types))
 
     run.__name__ = f"recurse_{name}"
-    query(f"SELECT DISTINCT type AS etype, ref AS id FROM member WHERE ({_SOME}) AND type IN ({', '.join(map(repr, types))})")(run)
+    query(f"SELECT DISTINCT type AS etype, ref AS id FROM member WHERE type IN ({', '.join(map(repr, types))})")(run)
 
 
 for _name, _types in {"r_r": ("relation",), "r_w": ("way",), "r_n": ("node",), "r_nwr": ("node", "way", "relation"), "r_nw": ("node", "way"), "r_wr": ("way", "relation"), "r_nr": ("node", "relation")}.items():
     _member_query(_name, _types)
 
 
-@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'relation' AND ref <= 40")
+@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'relation'")
 def recurse_br(w):
-    return ids(traverse.parents(w, filters.by_id_range(_relations(w), 1, 40), "relation", "relation"))
+    return ids(traverse.parents(w, _relations(w), "relation", "relation"))
 
 
-@query("SELECT DISTINCT 'node' AS etype, ref AS id FROM waynd WHERE way <= 200")
+@query("SELECT DISTINCT 'node' AS etype, ref AS id FROM waynd WHERE way IN " + _FINAL)
 def recurse_w_n(w):
-    return ids(traverse.way_nodes(w, filters.by_id_range(_ways(w), 1, 200)))
+    return ids(traverse.way_nodes(w, _final(w)))
 
 
-@query("SELECT DISTINCT 'node' AS etype, ref AS id FROM waynd WHERE way <= 200 AND (pos = 1 OR pos = n - 1)")
+@query("SELECT DISTINCT 'node' AS etype, ref AS id FROM waynd WHERE (pos = 1 OR pos = n - 1) AND way IN " + _FINAL)
 def recurse_w_n_positions(w):
-    return ids(traverse.way_nodes(w, filters.by_id_range(_ways(w), 1, 200), (1, -2, 0)))
+    return ids(traverse.way_nodes(w, _final(w), (1, -2, 0)))
 
 
-@query("SELECT 'node' AS etype, ref AS id FROM waynd WHERE way <= 3000 GROUP BY ref HAVING 2 * count(*) - sum(CASE WHEN pos = 1 THEN 1 ELSE 0 END) - sum(CASE WHEN pos = n THEN 1 ELSE 0 END) BETWEEN 3 AND 9")
+@query(f"SELECT 'node' AS etype, ref AS id FROM waynd WHERE way IN {_FINAL} GROUP BY ref HAVING 2 * count(*) - sum(CASE WHEN pos = 1 THEN 1 ELSE 0 END) - sum(CASE WHEN pos = n THEN 1 ELSE 0 END) BETWEEN 15 AND 25")
 def recurse_way_link(w):
-    return ids(traverse.way_link(w, filters.by_id_range(_ways(w), 1, 3000), 3, 9))
+    return ids(traverse.way_link(w, _final(w), 15, 25))
 
 
-@query("SELECT 'node' AS etype, ref AS id FROM waynd WHERE way <= 3000 GROUP BY ref HAVING count(DISTINCT way) BETWEEN 2 AND 5")
+@query(f"SELECT 'node' AS etype, ref AS id FROM waynd WHERE way IN {_FINAL} GROUP BY ref HAVING count(DISTINCT way) BETWEEN 8 AND 12")
 def recurse_way_count(w):
-    return ids(traverse.way_count(w, filters.by_id_range(_ways(w), 1, 3000), 2, 5))
+    return ids(traverse.way_count(w, _final(w), 8, 12))
 
 
-@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'way' AND ref <= 500")
+@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'way' AND ref IN " + _FINAL)
 def recurse_bw(w):
-    return ids(traverse.parents(w, filters.by_id_range(_ways(w), 1, 500), "relation", "way"))
+    return ids(traverse.parents(w, _final(w), "relation", "way"))
 
 
-@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'node' AND ref <= 5")
+@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'node' AND ref IN " + _THIRTEEN)
 def recurse_bn_relations(w):
-    return ids(traverse.parents(w, filters.by_id_range(_nodes(w), 1, 5), "relation", "node"))
+    return ids(traverse.parents(w, _thirteen(w), "relation", "node"))
 
 
-@query("SELECT DISTINCT 'way' AS etype, way AS id FROM waynd WHERE ref <= 20")
+@query("SELECT DISTINCT 'way' AS etype, way AS id FROM waynd WHERE ref IN " + _THIRTEEN)
 def recurse_bn_ways(w):
-    return ids(traverse.parents(w, filters.by_id_range(_nodes(w), 1, 20), "way", "node"))
+    return ids(traverse.parents(w, _thirteen(w), "way", "node"))
 
 
-@query("SELECT DISTINCT 'way' AS etype, way AS id FROM waynd WHERE ref <= 60 AND (pos = 2 OR pos = n)")
+@query("SELECT DISTINCT 'way' AS etype, way AS id FROM waynd WHERE (pos = 2 OR pos = n) AND ref IN " + _THIRTEEN)
 def recurse_bn_positions(w):
-    return ids(traverse.parents(w, filters.by_id_range(_nodes(w), 1, 60), "way", "node", positions=(2, -1)))
+    return ids(traverse.parents(w, _thirteen(w), "way", "node", positions=(2, -1)))
 
 
-@query("SELECT DISTINCT 'way' AS etype, way AS id FROM waynd WHERE ref <= 7 UNION ALL SELECT DISTINCT 'relation', id FROM member WHERE type = 'node' AND ref <= 7")
+@query(f"SELECT DISTINCT 'way' AS etype, way AS id FROM waynd WHERE ref IN {_THIRTEEN} UNION ALL SELECT DISTINCT 'relation', id FROM member WHERE type = 'node' AND ref IN {_THIRTEEN}")
 def recurse_bn_wr(w):
-    start = filters.by_id_range(_nodes(w), 1, 7)
+    start = _thirteen(w)
     return ids(both(traverse.parents(w, start, "way", "node"), traverse.parents(w, start, "relation", "node")))
 
 
-@query(f"SELECT DISTINCT type AS etype, ref AS id FROM member WHERE ({_SOME}) AND role = 'supplier'")
+@query("SELECT DISTINCT type AS etype, ref AS id FROM member WHERE role = 'supplier'")
 def recurse_role(w):
-    return ids(traverse.members(w, _some(w), ("node", "way", "relation"), "supplier"))
+    return ids(traverse.members(w, w, ("node", "way", "relation"), "supplier"))
 
 
-@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'way' AND ref <= 500 AND role = 'O'")
+@query("SELECT DISTINCT 'relation' AS etype, id FROM member WHERE type = 'way' AND role = 'O' AND ref IN (SELECT id FROM way WHERE priority = '1-URGENT')")
 def recurse_backwards_role(w):
-    return ids(traverse.parents(w, filters.by_id_range(_ways(w), 1, 500), "relation", "way", "O"))
+    return ids(traverse.parents(w, pick(_ways(w), filters.has_value("priority", "1-URGENT")), "relation", "way", "O"))
+
+
+_MEMBERS = "(SELECT * FROM member WHERE id IN (SELECT id FROM rel WHERE name LIKE 'Supplier%1' OR name LIKE 'Customer%2'))"
 
 
-@query(f"""SELECT DISTINCT 'way' AS etype, ref AS id FROM member WHERE ({_SOME}) AND type = 'way' UNION ALL
-SELECT 'node', id FROM (SELECT ref AS id FROM member WHERE ({_SOME}) AND type = 'node' UNION SELECT ref FROM waynd WHERE way IN (SELECT ref FROM member WHERE ({_SOME}) AND type = 'way') OR way <= 9)""")
+def _named(w: DataFrame) -> DataFrame:
+    return pick(_relations(w), filters.value_like("name", "^(Supplier.*1|Customer.*2)$"))
+
+
+@query(f"""SELECT DISTINCT 'way' AS etype, ref AS id FROM {_MEMBERS} WHERE type = 'way' UNION ALL
+SELECT 'node', id FROM (SELECT ref AS id FROM {_MEMBERS} WHERE type = 'node' UNION SELECT ref FROM waynd WHERE way IN (SELECT ref FROM {_MEMBERS} WHERE type = 'way') OR way IN {_FINAL})""")
 def recurse_down(w):
-    return ids(traverse.down(w, both(_some(w), filters.by_id_range(_ways(w), 1, 9))))
+    return ids(traverse.down(w, both(_named(w), _final(w))))
+
 
+_REACHED = "reached AS (SELECT id FROM rel WHERE name = 'ASIA' UNION SELECT m.ref FROM reached r JOIN member m ON m.id = r.id AND m.type = 'relation')"
 
-_REACHED = "reached AS (SELECT id FROM rel WHERE id = 2000001 OR id = 3 UNION SELECT m.ref FROM reached r JOIN member m ON m.id = r.id AND m.type = 'relation')"
+
+def _region(w: DataFrame, name: str) -> DataFrame:
+    return pick(_relations(w), filters.has_value("name", name))
 
 
 @query(f""", {_REACHED} SELECT 'relation' AS etype, id FROM reached UNION ALL SELECT DISTINCT 'way', ref FROM member WHERE type = 'way' AND id IN (SELECT id FROM reached) UNION ALL
-SELECT 'node', id FROM (SELECT ref AS id FROM member WHERE type = 'node' AND id IN (SELECT id FROM reached) UNION SELECT ref FROM waynd WHERE way <= 9 OR way IN (SELECT ref FROM member WHERE type = 'way' AND id IN (SELECT id FROM reached)))""")
+SELECT 'node', id FROM (SELECT ref AS id FROM member WHERE type = 'node' AND id IN (SELECT id FROM reached) UNION SELECT ref FROM waynd WHERE way IN {_FINAL} OR way IN (SELECT ref FROM member WHERE type = 'way' AND id IN (SELECT id FROM reached)))""")
 def recurse_down_all(w):
-    return ids(traverse.down_all(w, both(_relations(w).filter("id IN (2000001, 3)"), filters.by_id_range(_ways(w), 1, 9))))
+    return ids(traverse.down_all(w, both(_region(w, "ASIA"), _final(w))))
 
 
-_UP = """up_way AS (SELECT DISTINCT way AS id FROM waynd WHERE ref <= 3),
-up_rel AS (SELECT id FROM member WHERE type = 'node' AND ref <= 3 UNION SELECT id FROM member WHERE type = 'way' AND (ref <= 9 OR ref IN (SELECT id FROM up_way)) UNION SELECT id FROM rel WHERE id = 2000001)"""
+_UP = f"""up_way AS (SELECT DISTINCT way AS id FROM waynd WHERE ref IN {_THIRTEEN}),
+up_rel AS (SELECT id FROM member WHERE type = 'node' AND ref IN {_THIRTEEN} UNION SELECT id FROM member WHERE type = 'way' AND (ref IN {_FINAL} OR ref IN (SELECT id FROM up_way)) UNION SELECT id FROM rel WHERE name = 'ASIA')"""
 
 
 def _up_start(w: DataFrame) -> DataFrame:
-    return both(filters.by_id_range(_nodes(w), 1, 3), filters.by_id_range(_ways(w), 1, 9), _relations(w).filter("id = 2000001"))
+    return both(_thirteen(w), _final(w), _region(w, "ASIA"))
 
 
 @query(f", {_UP} SELECT 'way' AS etype, id FROM up_way UNION ALL SELECT 'relation', id FROM up_rel")
@@ -400,11 +416,11 @@ def set_intersection(w):
     return ids(sets.intersection(_small(w), _nodes(w).filter(filters.has_value("brand", "Brand#22"))))
 
 
-@query("SELECT way AS id, count(DISTINCT brand) AS brands FROM waynd JOIN node ON node.id = ref WHERE way <= 500 GROUP BY way")
+@query(f"SELECT way AS id, count(DISTINCT brand) AS brands FROM waynd JOIN node ON node.id = ref WHERE way IN {_FINAL} GROUP BY way")
 def loop_for_each(w):
     brands = _nodes(w).select(F.col("id").alias("ref"), tag("brand").alias("brand"))
     body = lambda rows: rows.select("loop", F.explode("nds").alias("ref")).join(brands, "ref").groupBy("loop").agg(F.count_distinct("brand").alias("brands")).select("loop.id", "brands")
-    return sets.for_each(filters.by_id_range(_ways(w), 1, 500), body)
+    return sets.for_each(_final(w), body)
 
 
 @query("SELECT k, count(*) AS n FROM (SELECT unnest(['name', 'brand', 'type', 'size']) AS k FROM node UNION ALL SELECT unnest(['status', 'priority']) FROM way) GROUP BY k")
@@ -412,9 +428,9 @@ def loop_for_container(w):
     return sets.grouped(of_type(w, "node", "way"), members.keys(), container=True).groupBy("val").agg(F.count("*").alias("n")).select(F.col("val").alias("k"), "n")
 
 
-@query(f", {_REACHED.replace('id = 2000001 OR id = 3', 'id = 2000002')} SELECT 'relation' AS etype, id FROM reached")
+@query(f", {_REACHED} SELECT 'relation' AS etype, id FROM reached")
 def loop_complete(w):
-    return ids(sets.complete(_relations(w).filter("id = 2000002"), lambda new: traverse.members(w, new, ("relation",))))
+    return ids(sets.complete(_region(w, "ASIA"), lambda new: traverse.members(w, new, ("relation",))))
 
 
 @query("SELECT 'way' AS etype, id FROM way WHERE status = 'F' AND (SELECT count(*) FROM node) > 10 UNION ALL SELECT 'node', id FROM node WHERE (SELECT count(*) FROM node) <= 10")
@@ -425,22 +441,22 @@ def branch_if(w):
 # ---- derived elements ----
 
 
-@query("SELECT id, 'x' || brand AS label, size AS size FROM node WHERE id <= 300")
+@query("SELECT id, 'x' || brand AS label, size AS size FROM node")
 def derive_convert(w):
-    made = derive.convert(filters.by_id_range(_nodes(w), 1, 300), "thing", {"label": F.concat(F.lit("x"), tag("brand"))}, copy_tags=True, drop=("name", "type", "brand"))
+    made = derive.convert(_nodes(w), "thing", {"label": F.concat(F.lit("x"), tag("brand"))}, copy_tags=True, drop=("name", "type", "brand"))
     return made.select("id", tag("label").alias("label"), tag("size").alias("size"))
 
 
-@query("SELECT CAST(count(*) AS VARCHAR) AS n, CAST(sum(CAST(size AS BIGINT)) AS VARCHAR) AS total, CAST(max(CAST(size AS INT)) AS VARCHAR) AS most, min(brand) AS first FROM node WHERE id <= 700")
+@query("SELECT CAST(count(*) AS VARCHAR) AS n, CAST(sum(CAST(size AS BIGINT)) AS VARCHAR) AS total, CAST(max(CAST(size AS INT)) AS VARCHAR) AS most, min(brand) AS first FROM node")
 def derive_make(w):
-    made = derive.make(filters.by_id_range(_nodes(w), 1, 700), "stat", {"n": agg.count("node"), "total": agg.total(tag("size")), "most": agg.largest(tag("size")), "first": agg.smallest(tag("brand"))})
+    made = derive.make(_nodes(w), "stat", {"n": agg.count("node"), "total": agg.total(tag("size")), "most": agg.largest(tag("size")), "first": agg.smallest(tag("brand"))})
     return made.select(*[tag(k).alias(k) for k in ("n", "total", "most", "first")])
 
 
-@query("SELECT brand, CAST(count(*) AS VARCHAR) AS n, CAST(min(CAST(size AS INT)) AS VARCHAR) AS least FROM node GROUP BY brand")
+@query("SELECT row_number() OVER (ORDER BY brand) AS id, brand, CAST(count(*) AS VARCHAR) AS n, CAST(min(CAST(size AS INT)) AS VARCHAR) AS least FROM node GROUP BY brand")
 def derive_make_per_group(w):
     made = derive.make_per_group(sets.grouped(_nodes(w), tag("brand")), "stat", {"n": agg.count("node"), "least": agg.smallest(tag("size"))}, "brand")
-    return made.select(*[tag(k).alias(k) for k in ("brand", "n", "least")])
+    return made.select("id", *[tag(k).alias(k) for k in ("brand", "n", "least")])
 
 
 @query("""SELECT k, CASE WHEN min(v) = max(v) THEN min(v) ELSE '< multiple values found >' END AS v FROM (SELECT 'status' AS k, status AS v FROM way WHERE status = 'F' UNION ALL SELECT 'priority', priority FROM way WHERE status = 'F') GROUP BY k""")
@@ -457,24 +473,39 @@ def derive_timeline(spark, d):
     return made.select(*[tag(k).alias(k) for k in ("ref", "refversion", "created", "expired")])
 
 
-@query("SELECT id, CAST(id AS VARCHAR) AS node_ref, 5 AS n, brand FROM node WHERE id <= 100")
+_SHARED = "(SELECT id, row_number() OVER (PARTITION BY lat_e7, lon_e7 ORDER BY id) AS local_id, count(*) OVER (PARTITION BY lat_e7, lon_e7) AS n FROM near)"
+#: Places of whole degrees, so that many nodes share one.
+_NEAR = "near AS (SELECT id, brand, name, type, size, floor((lat_e7 + 800000000) / 100000000)::BIGINT * 100000000 - 800000000 AS lat_e7, floor((lon_e7 + 1790000000) / 100000000)::BIGINT * 100000000 - 1790000000 AS lon_e7 FROM node)"
+
+
+def _near(w: DataFrame) -> DataFrame:
+    """The world with nodes moved to places of ten whole degrees, so that many share one."""
+    moved = {c: (F.floor((F.col(c) + low) / 100_000_000) * 100_000_000 - low).cast("bigint") for c, low in (("lat_e7", 800_000_000), ("lon_e7", 1_790_000_000))}
+    return both(typed(_nodes(w).withColumns(moved), "node"), _ways(w), _relations(w))
+
+
+@query(f", {_NEAR} SELECT near.id, CAST(near.id AS VARCHAR) AS node_ref, CASE WHEN n > 1 THEN CAST(local_id AS VARCHAR) ELSE '' END AS local_id, CASE WHEN n > 1 THEN 5 ELSE 4 END AS n, brand FROM near JOIN {_SHARED} s ON s.id = near.id")
 def derive_local_vertices(w):
-    made = derive.local_vertices(filters.by_id_range(_nodes(w), 1, 100), w, reference=True)
-    return made.select("id", tag("_node_ref").alias("node_ref"), (F.size("tags") - 1).alias("n"), tag("brand").alias("brand"))
+    near = _near(w)
+    made = derive.local_vertices(_nodes(near), near, every=True)
+    return made.select("id", tag("_node_ref").alias("node_ref"), tag("_local_id").alias("local_id"), (F.size("tags") - 1).alias("n"), tag("brand").alias("brand"))
+
 
+_LINKS = """SELECT x.way, CAST(part AS BIGINT) AS part, string_agg(CAST(x.ref AS VARCHAR), ' ' ORDER BY x.pos) AS nds FROM (
+  SELECT way, pos, ref, part FROM p WHERE pos < n OR n = 1 UNION ALL SELECT p.way, p.pos, p.ref, q.part FROM p JOIN p q ON q.way = p.way AND q.pos = p.pos - 1 WHERE p.cut OR p.pos = p.n) x GROUP BY x.way, part"""
 
-@query("""SELECT way, count(*) AS links, CAST(sum(nodes) AS BIGINT) AS nodes FROM (
-  SELECT way, part, count(*) + 1 AS nodes FROM (
-    SELECT x.way, x.pos, sum(CASE WHEN x.pos = 1 OR c.ref IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY x.way ORDER BY x.pos) AS part FROM waynd x
-    LEFT JOIN (SELECT ref FROM waynd WHERE way <= 900 AND n > 1 GROUP BY ref HAVING sum(CASE WHEN pos = 1 OR pos = n THEN 2 ELSE 1 END) > 1) c ON c.ref = x.ref
-    WHERE x.way <= 900 AND x.n > 1 AND x.pos < x.n) GROUP BY way, part) GROUP BY way""")
+
+@query(f""", cuts AS (SELECT ref FROM (SELECT ref, CASE WHEN pos = 1 OR pos = n THEN 2 ELSE 1 END AS times FROM waynd WHERE way IN {_FINAL} UNION ALL SELECT id, 1 FROM node WHERE brand = 'Brand#13') GROUP BY ref HAVING sum(times) > 1),
+p AS (SELECT w.way, w.pos, w.ref, w.n, c.ref IS NOT NULL AND w.pos > 1 AND w.pos < w.n AS cut, sum(CASE WHEN w.pos = 1 OR c.ref IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.way ORDER BY w.pos) AS part FROM waynd w LEFT JOIN cuts c ON c.ref = w.ref WHERE w.way IN {_FINAL})
+{_LINKS}""")
 def derive_local_links(w):
-    return derive.local_links(filters.by_id_range(_ways(w), 1, 900)).groupBy("way").agg(F.count("*").alias("links"), F.sum(F.size("nds")).alias("nodes"))
+    links = derive.local_links(both(_final(w), _thirteen(w)), w)
+    return links.select("way", F.col("part").cast("bigint").alias("part"), F.array_join(F.transform("nds", lambda n: n.cast("string")), " ").alias("nds"))
 
 
-@query("SELECT id AS relation, pos, type, ref, role, previous, next FROM (SELECT *, row_number() OVER w AS pos, lag(ref) OVER w AS previous, lead(ref) OVER w AS next FROM member WHERE id BETWEEN 1000000 AND 2000010 WINDOW w AS (PARTITION BY id ORDER BY type, ref, role))")
+@query("SELECT id AS relation, pos, type, ref, role, previous, next FROM (SELECT *, row_number() OVER w AS pos, lag(ref) OVER w AS previous, lead(ref) OVER w AS next FROM member WINDOW w AS (PARTITION BY id ORDER BY type, ref, role))")
 def derive_local_trigraphs(w):
-    rows = derive.local_trigraphs(filters.by_id_range(_relations(w), 1000000, 2000010))
+    rows = derive.local_trigraphs(_relations(w))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -581,15 +612,15 @@ def expression_lists(w):
 
 @query("""SELECT 'way' AS etype, way.id, '2' AS tags, CAST(count(ref) AS VARCHAR) AS members, CAST(count(DISTINCT ref) AS VARCHAR) AS distinct_members, CASE WHEN count(ref) > 0 AND min(ref) FILTER (pos = 1) = min(ref) FILTER (pos = n) THEN '1' ELSE '0' END AS closed, '0' AS suppliers
 FROM way LEFT JOIN waynd ON waynd.way = way.id GROUP BY way.id UNION ALL
-SELECT 'relation', rel.id, '1', CAST(count(ref) AS VARCHAR), CAST(count(DISTINCT (type, ref)) AS VARCHAR), 'NaW', CAST(count(ref) FILTER (role = 'supplier') AS VARCHAR) FROM rel LEFT JOIN member ON member.id = rel.id WHERE rel.id < 3000000 GROUP BY rel.id""")
+SELECT 'relation', rel.id, CASE WHEN rel.id >= 3000000 THEN '2' ELSE '1' END, CAST(count(ref) AS VARCHAR), CAST(count(DISTINCT (type, ref)) AS VARCHAR), 'NaW', CAST(count(ref) FILTER (role = 'supplier') AS VARCHAR) FROM rel LEFT JOIN member ON member.id = rel.id GROUP BY rel.id""")
 def expression_members(w):
-    rows = of_type(w, "way", "relation").filter((F.col("etype") == "way") | (F.col("id") < 3000000))
+    rows = of_type(w, "way", "relation")
     return rows.select(*KEY, members.count_tags().alias("tags"), members.count_members().alias("members"), members.count_distinct_members().alias("distinct_members"), members.is_closed().alias("closed"), members.count_by_role("supplier", "relation").alias("suppliers"))
 
 
-@query("SELECT id, string_agg(row_number || ':' || type || ':' || ref || ':' || role, ';' ORDER BY row_number) AS list FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY type, ref, role) AS row_number FROM member WHERE id >= 1000000 AND id < 3000000) GROUP BY id")
+@query("SELECT id, string_agg(row_number || ':' || type || ':' || ref || ':' || role, ';' ORDER BY row_number) AS list FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY type, ref, role) AS row_number FROM member) GROUP BY id")
 def expression_per_member(w):
-    rows = filters.by_id_range(_relations(w), 1000000, 2999999).filter(F.size("members") > 0)
+    rows = _relations(w).filter(F.size("members") > 0)
     return rows.select("id", members.per_member(lambda m, i: F.concat_ws(":", i.cast("string"), m["type"], m["ref"].cast("string"), m["role"])).alias("list"))
 
 
@@ -606,9 +637,9 @@ def expression_meta(w):
 _STEP = _METRES.replace("a.lat", "alat").replace("b.lat", "blat").replace("a.lon", "alon").replace("b.lon", "blon")
 
 
-@query(f"SELECT way.id, round(coalesce(sum(CASE WHEN seg.way IS NOT NULL THEN {_STEP} END), 0) / 1000, 2) AS km FROM way LEFT JOIN seg ON seg.way = way.id WHERE way.id <= 3000 GROUP BY way.id")
+@query(f"SELECT way.id, round(coalesce(sum(CASE WHEN seg.way IS NOT NULL THEN {_STEP} END), 0) / 1000, 2) AS km FROM way LEFT JOIN seg ON seg.way = way.id GROUP BY way.id")
 def geometry_length(w):
-    return filters.with_points(filters.by_id_range(_ways(w), 1, 3000), w).select("id", F.round(g.length("points") / 1000, 2).alias("km"))
+    return filters.with_points(_ways(w), w).select("id", F.round(g.length("points") / 1000, 2).alias("km"))
 
 
 @query("SELECT way AS id, printf('%.7f', (min(lat) + max(lat)) / 2) AS lat, printf('%.7f', (min(lon) + max(lon)) / 2) AS lon, min(lat) AS minlat, min(lon) AS minlon, max(lat) AS maxlat, max(lon) AS maxlon FROM waynd JOIN node ON node.id = ref GROUP BY way")
@@ -623,9 +654,9 @@ _VECTOR = {"x": "sin(radians({0}lat))", "y": "cos(radians({0}lat)) * sin(radians
 @query("""SELECT way AS id, round(sum(abs(turn)), 2) AS turns FROM (SELECT way, degrees(acos(greatest(-1.0, least(1.0, (ux * vx + uy * vy + uz * vz) / sqrt((ux * ux + uy * uy + uz * uz) * (vx * vx + vy * vy + vz * vz)))))) AS turn,
 (ux * ux + uy * uy + uz * uz) * (vx * vx + vy * vy + vz * vz) AS size FROM (
 SELECT way, y0 * z1 - z0 * y1 AS ux, z0 * x1 - x0 * z1 AS uy, x0 * y1 - y0 * x1 AS uz, y1 * z2 - z1 * y2 AS vx, z1 * x2 - x1 * z2 AS vy, x1 * y2 - y1 * x2 AS vz FROM (
-SELECT w.way, {} FROM waynd w JOIN waynd w1 ON w1.way = w.way AND w1.pos = w.pos + 1 JOIN waynd w2 ON w2.way = w.way AND w2.pos = w.pos + 2 JOIN node a ON a.id = w.ref JOIN node b ON b.id = w1.ref JOIN node c ON c.id = w2.ref WHERE w.way <= 2000))) WHERE size > 1e-40 GROUP BY way""".format(", ".join(f"{e.format(t + '.')} AS {k}{i}" for i, t in enumerate("abc") for k, e in _VECTOR.items())))
+SELECT w.way, {} FROM waynd w JOIN waynd w1 ON w1.way = w.way AND w1.pos = w.pos + 1 JOIN waynd w2 ON w2.way = w.way AND w2.pos = w.pos + 2 JOIN node a ON a.id = w.ref JOIN node b ON b.id = w1.ref JOIN node c ON c.id = w2.ref))) WHERE size > 1e-40 GROUP BY way""".format(", ".join(f"{e.format(t + '.')} AS {k}{i}" for i, t in enumerate("abc") for k, e in _VECTOR.items())))
 def geometry_angles(w):
-    rows = filters.with_points(filters.by_id_range(_ways(w), 1, 2000).filter("size(nds) > 2"), w)
+    rows = filters.with_points(pick(_ways(w), "size(nds) > 2"), w)
     p, n = F.col("points"), F.size("points")
     turns = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.abs(g.angle(F.get(p, i - 1), F.get(p, i), F.get(p, i + 1))))
     one = rows.select("id", F.explode(turns).alias("turn")).filter("turn IS NOT NULL")
@@ -651,10 +682,10 @@ def aggregate_empty_set(w):
     return _nodes(w).filter("id < 0").agg(agg.total(size).alias("sum"), agg.smallest(size).alias("min"), agg.unique(size).alias("u"), agg.value_set(size).alias("set"), agg.count("node").alias("n")).withColumn("name", F.lit("none"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS parts, sum(lat) AS lat FROM node WHERE id <= 50")
+@query("SELECT CAST(count(*) AS BIGINT) AS parts, round(sum(lat), 6) AS lat FROM node WHERE brand = 'Brand#13'")
 def aggregate_gather(w):
-    points = filters.by_id_range(_nodes(w), 1, 50).agg(agg.gather(g.point(degrees(F.col("lat_e7")), degrees(F.col("lon_e7")))).alias("parts"))
-    return points.select(F.size("parts").cast("bigint").alias("parts"), F.aggregate(F.flatten("parts"), F.lit(0.0), lambda a, p: a + p["lat"]).alias("lat"))
+    points = _thirteen(w).agg(agg.gather(g.point(degrees(F.col("lat_e7")), degrees(F.col("lon_e7")))).alias("parts"))
+    return points.select(F.size("parts").cast("bigint").alias("parts"), F.round(F.aggregate(F.flatten("parts"), F.lit(0.0), lambda a, p: a + p["lat"]), 6).alias("lat"))
 
 
 # ---- output ----
@@ -681,12 +712,10 @@ def _spread_sql(x: str) -> str:
     return x
 
 
-@query(f"SELECT id, z, row_number() OVER (ORDER BY z, id) AS place FROM (SELECT id, {_spread_sql('((lat_e7 + 910000000)::BIGINT >> 16) & 65535')} | ({_spread_sql('((lon_e7 + 1800000000)::BIGINT >> 16) & 65535')} << 1) AS z FROM node WHERE id <= 200)")
+@query(f"SELECT id, z, row_number() OVER (ORDER BY z, id) AS place FROM (SELECT id, {_spread_sql('((lat_e7 + 910000000)::BIGINT >> 16) & 65535')} | ({_spread_sql('((lon_e7 + 1800000000)::BIGINT >> 16) & 65535')} << 1) AS z FROM node)")
 def output_by_place(w):
-    from pyspark.sql import Window
-
-    rows = filters.by_id_range(_nodes(w), 1, 200).withColumn("z", output.z_order(F.col("lat_e7"), F.col("lon_e7")))
-    return rows.select("id", "z", F.row_number().over(Window.orderBy("z", "id")).cast("bigint").alias("place"))
+    rows = _nodes(w).select("id", output.z_order(F.col("lat_e7"), F.col("lon_e7")).alias("z"))
+    return output.numbered(rows, "z", "id").select("id", "z", "place")
 
 
 @query("SELECT 'node' || chr(9) || id || chr(9) || printf('%.7f', lat) || chr(9) || brand || chr(9) || '' AS value FROM node")
@@ -719,9 +748,9 @@ def output_popup(w):
     return output.popup_lines(_nodes(w), [("Thirteen", "name", filters.has_value("brand", "Brand#13")), ("Large", "brand", filters.has_value("size", "50"))])
 
 
-@query("SELECT way AS id, count(*) AS shown FROM waynd x WHERE way <= 500 AND EXISTS (SELECT 1 FROM waynd y JOIN node ON node.id = y.ref WHERE y.way = x.way AND abs(y.pos - x.pos) <= 1 AND lat BETWEEN -10 AND 20 AND lon BETWEEN -50 AND 60) GROUP BY way")
+@query("SELECT way AS id, count(*) AS shown FROM waynd x WHERE EXISTS (SELECT 1 FROM waynd y JOIN node ON node.id = y.ref WHERE y.way = x.way AND abs(y.pos - x.pos) <= 1 AND lat BETWEEN -10 AND 20 AND lon BETWEEN -50 AND 60) GROUP BY way")
 def output_clipped_geometry(w):
-    rows = output.clipped(filters.with_points(filters.by_id_range(_ways(w), 1, 500), w), *_BOX)
+    rows = output.clipped(filters.with_points(_ways(w), w), *_BOX)
     return rows.select("id", F.size(F.filter("points", lambda p: p.isNotNull())).cast("bigint").alias("shown")).filter("shown > 0")
 
 
@@ -731,7 +760,8 @@ UNION ALL SELECT 'relation', id FROM (SELECT m.id FROM member m JOIN node n ON n
   UNION SELECT m.id FROM member m WHERE m.type = 'way' AND m.ref IN (SELECT way FROM waynd JOIN node n ON n.id = ref WHERE n.lat BETWEEN -10 AND 0 AND n.lon BETWEEN 0 AND 9))""")
 def map_call(w):
     """A map's content: nodes of a box, ways through them with all their nodes, and relations of both."""
-    inside = filters.in_box(_nodes(w), w, -10.0, 0.0, 0.0, 9.0)
-    ways = traverse.parents(w, inside, "way", "node")
-    relations = both(traverse.parents(w, inside, "relation", "node"), traverse.parents(w, ways, "relation", "way"))
-    return ids(sets.union(inside, ways, traverse.way_nodes(w, ways), relations))
+    inside = traverse.kept(filters.in_box(_nodes(w), w, -10.0, 0.0, 0.0, 9.0))
+    ways = traverse.kept(traverse.parent_keys(w, inside, "way"))
+    relations = traverse.parent_keys(w, both(ids(inside), ids(ways)), "relation")
+    sources = typed(_ways(w).join(ways.select("id"), "id", "left_semi").select(*w.columns), "way")
+    return both(sets.union(ids(inside), ids(traverse.way_nodes(w, sources))), ids(ways), relations)

@@ -64,6 +64,7 @@ def test_places(world):
     assert keys(filters.in_polygon(n, world, [(9.9, 0.9), (9.9, 1.15), (10.2, 1.15), (10.2, 0.9)])) == of("node", 1, 2, 4, 5)
     areas = filters.areas_of(world, world)
     assert keys(areas) == {("area", 2_400_000_013)} and keys(filters.in_areas(n, areas)) == of("node", 1, 2, 4, 5)
+    assert keys(filters.map_to_area(world, areas)) == of("area", 2_400_000_013) | of("way", 13)
     assert keys(filters.pivot(world, areas)) == of("way", 13) and keys(world.filter("etype = 'way'").filter(closed())) == of("way", 13)
     assert keys(filters.is_in(n.filter("id = 6"), areas)) == set()
 
@@ -74,9 +75,47 @@ def test_sets_and_branches(world):
     assert keys(sets.when(a, F.lit("0"), lambda: a, lambda: b)) == keys(b)
 
 
-def test_links(world):
-    rows = {(r.way, r.part): r.nds for r in derive.local_links(world).collect()}
+def test_links(spark, world):
+    rows = {(r.way, r.part): r.nds for r in derive.local_links(world.filter("etype = 'way'"), world).collect()}
     assert rows[15, 1] == [7, 8] and rows[11, 1] == [1, 2] and rows[11, 2] == [2, 3] and rows[12, 1] == [3, 6, 5]
+    alone = derive.local_links(world.filter("id = 12"), world).collect()
+    assert [(r.part, r.nds) for r in alone] == [(1, [3, 6, 5, 4, 1])]
+    tagged = derive.local_links(world.filter("(etype = 'way' AND id = 11) OR (etype = 'node' AND id = 2)"), world).collect()
+    assert sorted(r.nds for r in tagged) == [[1, 2], [2, 3]]
+    missing = world.filter("NOT (etype = 'node' AND id = 6)")
+    assert {r.way for r in derive.local_links(world.filter("etype = 'way'"), missing).collect()} == {11, 13, 15}
+
+
+def test_vertices_that_share_a_place(spark):
+    pairs = "tags array<struct<k:string,v:string>>"
+    nodes = elements(spark.createDataFrame([(1, 5, 5, [("_a", "x")]), (2, 5, 5, []), (3, 5, 6, [("a", "y")])], f"id long, lat_e7 long, lon_e7 long, {pairs}"), "node")
+    found = {r.id: [(t.k, t.v) for t in r.tags] for r in derive.local_vertices(nodes, nodes, every=True).collect()}
+    assert found == {1: [("__a", "x"), ("_local_id", "1"), ("_node_ref", "1")], 2: [("_local_id", "2"), ("_node_ref", "2")], 3: [("_node_ref", "3"), ("a", "y")]}
+    assert {r.id for r in derive.local_vertices(nodes, nodes).collect()} == {1, 3}
+
+
+def test_a_traversal_reads_each_table_few_times(spark):
+    """Steps share written keys, and a step on one type does not plan the tables of the others."""
+    from geoloom.plans import catalog
+
+    for name in ("recurse_up", "map_call", "recurse_down"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= 20, (name, plan.count("Relation ["))
+
+
+def test_types_stay_known(world):
+    from geoloom.model import of_type, pick, types_of
+
+    assert types_of(world) == ["node", "way", "relation"] and types_of(of_type(world, "way")) == ["way"] and types_of(world.filter("id > 0")) is None
+    some = pick(world, "id < 12")
+    assert types_of(some) == ["node", "way", "relation"] and keys(some) == of("node", *range(1, 9)) | of("way", 11)
+    assert keys(of_type(of_type(world, "way"), "node")) == set() and keys(of_type(world, "way", "node")) == of("node", *range(1, 9)) | of("way", 11, 12, 13, 14, 15)
+    assert keys(both(of_type(world, "way"), of_type(world, "relation"))) == of("way", 11, 12, 13, 14, 15) | of("relation", 21, 22, 23)
+
+
+def test_numbers_in_order(spark):
+    rows = output.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")), "x").collect()
+    assert all(r.place == r.x + 1 for r in rows)
 
 
 def test_output(world):

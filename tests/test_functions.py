@@ -80,3 +80,20 @@ def test_geometry(spark):
     assert tuple(row.center) == (1.0, 1.0) and row.sides == 4 and row.ring == 4
     assert {tuple(x) for x in row.hull} == {(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)} and row.hull[0] == row.hull[-1]
     assert abs(row.left) == pytest.approx(90, abs=0.1) and row.none is None
+
+
+def test_numbers_reach_the_end_of_a_text(spark):
+    """Blanks may lead, nothing may follow; hexadecimal prefixes count, and a prefix out of range is none."""
+    a = F.col("a")
+    rows = [("inf ",), ("nan ",), ("5\n",), (" 5",), ("0x1f m",), ("1e400",), ("1e400 m",), ("-0x10",), (" inf",)]
+    got = values(spark, [(x, "") for (x,) in rows], text.try_double(a), text.try_int(a), text.number(a))
+    assert [r[0] for r in got] == [None, None, None, 5.0, None, float("inf"), None, -16.0, float("inf")]
+    assert [r[1] for r in got] == [None, None, None, 5, None, None, None, -16, None]
+    assert got[4][2] == "31" and got[6][2] == "NaN"
+
+
+def test_blank_entries(spark):
+    """A blank entry is an entry of its own."""
+    a, b = F.col("a"), F.col("b")
+    got = values(spark, [("x; ", "y"), ("x;;y", " ;x"), ("", "a")], lists.union(a, b), lists.intersection(a, b), lists.contains(F.lit(""), a))
+    assert [tuple(r) for r in got] == [(" ;x;y", "", "1"), (" ;x;y", " ;x", "1"), ("a", "", "0")]
