@@ -286,11 +286,14 @@ _ROWS = 2048
 def _softmax(weights: np.ndarray, bias: np.ndarray, own: np.ndarray | None, buckets: list[np.ndarray]) -> np.ndarray:
     """A row of probabilities per position; own: the row of the bias for each position, where it has several."""
     out = np.empty((len(buckets[0]), weights.shape[1]), weights.dtype)
+    more = np.empty((min(_ROWS, len(out)), weights.shape[1]), weights.dtype)
     for a in range(0, len(out), _ROWS):
         x = out[a : a + _ROWS]
-        np.add(weights[buckets[0][a : a + _ROWS]], bias if own is None else bias[own[a : a + _ROWS]], out=x)
+        y = more[: len(x)]
+        np.take(weights, buckets[0][a : a + _ROWS], axis=0, out=x, mode="clip")  # a mode, as the default one copies
+        x += bias if own is None else np.take(bias, own[a : a + _ROWS], axis=0, out=y, mode="clip")
         for b in buckets[1:]:
-            x += weights[b[a : a + _ROWS]]
+            x += np.take(weights, b[a : a + _ROWS], axis=0, out=y, mode="clip")
         np.exp(x, out=x)
         x /= x.sum(axis=1, keepdims=True)
     return out
@@ -362,12 +365,13 @@ def _add(m: Model, b: Batch, at: np.ndarray, tables: dict[int, np.ndarray]) -> N
         (_softmax(m.classes, m.class_bias, None, x := b.class_buckets(at)), CLASSES_SEEN, CLASSES_MEANT, b.cls[at], x),
         (_softmax(m.words, m.word_bias, b.cls[at], y := b.word_buckets(at)), WORDS_SEEN, WORDS_MEANT, b.pos[at], y),
     ):
+        moved = np.empty_like(p)
         for bucket in buckets:
             short = bucket.astype(np.uint16) if len(tables[seen]) <= 1 << 16 else bucket  # sorted by radix
             order = np.argsort(short, kind="stable")
             sorted_bucket = bucket[order]
             begin = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]])
-            tables[meant][sorted_bucket[begin]] += np.add.reduceat(p[order], begin, axis=0)
+            tables[meant][sorted_bucket[begin]] += np.add.reduceat(np.take(p, order, axis=0, out=moved, mode="clip"), begin, axis=0)
             np.add.at(tables[seen].ravel(), bucket * p.shape[1] + own, np.float32(1))
 
 
