@@ -329,9 +329,9 @@ def _ones(h: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _with_sketches(docs: DataFrame, text: str, s: Similar) -> DataFrame:
-    """docs with `_set` (a hash of the set of shingles), `_fps` (fingerprints) and `_shingles` (sorted 32-bit hashes)."""
-    docs = docs.drop("_set", "_fps", "_shingles")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType()), T.StructField("_fps", T.BinaryType()), T.StructField("_shingles", T.BinaryType())])
+    """docs with `_set` (a hash of the set of shingles) and `_fps` (fingerprints)."""
+    docs = docs.drop("_set", "_fps")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType()), T.StructField("_fps", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text, 1 << 20):
@@ -347,14 +347,24 @@ def _with_sketches(docs: DataFrame, text: str, s: Similar) -> DataFrame:
                         h = mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
                     ones = _ones(h, begin, count[filled])
                     fps[filled, k] = np.packbits(2 * ones > count[filled][:, None], axis=1, bitorder="little").view("<u8").ravel()
-            ends = np.cumsum(count)
-            low = (hashes >> np.uint64(32)).astype("<u4")  # in order, as the hashes are
-            sets = [low[b - n : b].tobytes() for b, n in zip(ends.tolist(), count.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.view(np.int64)), pa.array([x.tobytes() for x in fps.astype("<u8")], pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.view(np.int64)), pa.array([x.tobytes() for x in fps.astype("<u8")], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _with_shingles(texts: DataFrame, s: Similar) -> DataFrame:
+    """(_set, _shingles) of rows (_set, text): the sorted upper halves of the shingles' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", 1 << 20):
+            hashes, count = shingle_sets(raw(part.column("text")), s.shingle)
+            low = (hashes >> np.uint64(32)).astype("<u4")  # in order, as the hashes are
+            sets = [low[b - n : b].tobytes() for b, n in zip(np.cumsum(count).tolist(), count.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("_set"), pa.array(sets, pa.binary())], names=["_set", "_shingles"])
+
+    return texts.select("_set", "text").mapInArrow(run, "_set long, _shingles binary")
+
+
 def key_places(n: int, s: Similar) -> np.ndarray:
     """A row of bits per key. Keys widen with the number of sets, so that buckets stay small, and their number keeps the wanted recall."""
     bits = max(16, n.bit_length() - 6)
@@ -454,11 +464,12 @@ def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     return with_x.join(shingles.select(F.col("_set").alias("v"), F.col("_shingles").alias("_y")), "v").select("u", "v", "_x", "_y").mapInArrow(run, "u long, v long")
 
 
-def similar_components(sketches: DataFrame, s: Similar) -> DataFrame:
-    """(node, root) of sets that verified pairs connect. Pairs inside a component that others connect already need no look at their shingles."""
+def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar) -> DataFrame:
+    """(node, root) of sets that verified pairs connect; texts: (_row, text) of all rows, of which only those that pairs name are cut into shingles. Pairs inside a component that others connect already need no look at their shingles."""
     pairs = stored(similar_pairs(sketches, s))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("_set")).distinct()
-    shingles = stored(sketches.select("_set", "_shingles").join(ends, "_set", "left_semi"))
+    named = sketches.select("_set", "_row").join(ends, "_set", "left_semi")
+    shingles = stored(_with_shingles(texts.join(named, "_row"), s))
     one = verified(pairs.groupBy("u").agg(F.min("v").alias("v")), shingles, s.least)
     roots = components(one.select(F.col("u").alias("a"), F.col("v").alias("b")))
     to = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
@@ -470,14 +481,14 @@ def similar_components(sketches: DataFrame, s: Similar) -> DataFrame:
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Similar | None = None) -> DataFrame:
     """docs with one row, that with the least id, of each component of texts whose shingle sets are similar. Which rows go is settled on row numbers, without texts."""
     s = settings or Similar()
-    rows = stored(_with_sketches(docs, text, s).withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored(_with_sketches(docs, text, s).withColumn("_row", F.monotonically_increasing_id()), "zstd")
     least = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row")))
     classes = stored(rows.groupBy("_set").agg(least.alias("first")))
-    sketches = stored(rows.select("_row", "_set", "_fps", "_shingles").join(classes.select(F.col("first.row").alias("_row")), "_row", "left_semi").drop("_row"))
-    roots = similar_components(sketches, s)
+    sketches = stored(rows.select("_row", "_set", "_fps").join(classes.select(F.col("first.row").alias("_row")), "_row", "left_semi"))
+    roots = similar_components(sketches, rows.select("_row", F.col(text).alias("text")), s)
     rooted = classes.join(roots, classes["_set"] == roots["node"], "left").select("first", F.coalesce("root", "_set").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row", "_set", "_fps", "_shingles")
+    return rows.join(kept, "_row", "left_semi").drop("_row", "_set", "_fps")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
