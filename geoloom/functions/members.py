@@ -60,7 +60,7 @@ def is_closed() -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def length(points: str = "points") -> Column:
@@ -68,6 +68,16 @@ def length(points: str = "points") -> Column:
     return fixed(g.length(points), 3)
 
 
+def shape_length(shapes: str = "shapes") -> Column:
+    """Metres of an element of any type with its shapes: 0 of a node, the sum over its members of a relation."""
+    return fixed(F.aggregate(F.transform(shapes, g.length), F.lit(0.0), lambda a, x: a + x), 3)
+
+
+def shape() -> Column:
+    """The geometry of an element with its shapes, for derived elements."""
+    return F.filter("shapes", lambda s: F.size(s) > 0)
+
+
 def lat(points: str = "points") -> Column:
     """The middle of the box, seven decimals; NaN without a place."""
     return F.coalesce(fixed(g.center(g.bounds(points))["lat"], 7), F.lit("NaN"))
@@ -84,10 +94,15 @@ def per_member(expression: Callable[[Column, Column], Column]) -> Column:
     return F.coalesce(F.array_join(F.transform(rows, lambda m, i: expression(m, i + 1)), ";"), F.lit(""))
 
 
-def vertex_angles(points: str = "points") -> Column:
-    """Turns in degrees at the inner vertices, and at the end of a closed way, three decimals; NaN where a segment has no length."""
+def per_vertex(expression: Callable[[Column, Column, Column, Column], Column], points: str = "points") -> Column:
+    """A text from each inner vertex of a way, and from the end of a closed one, joined by semicolons. expression(before, at, after, place) gets points and 2, 3, ..."""
     p, n = F.col(points), F.size(points)
-    inner = F.transform(F.sequence(F.lit(1), n - 2), lambda i: g.angle(F.get(p, i - 1), F.get(p, i), F.get(p, i + 1)))
-    last = F.when(F.get(p, F.lit(0)) == F.get(p, n - 1), F.array(g.angle(F.get(p, n - 2), F.get(p, n - 1), F.get(p, F.lit(1)))))
-    all_of = F.concat(inner, F.coalesce(last, F.expr("CAST(array() AS array<double>)")))
-    return F.when(n > 2, F.array_join(F.transform(all_of, lambda a: F.coalesce(fixed(a, 3), F.lit("NaN"))), ";")).otherwise("")
+    after = lambda i: F.when(i < n - 1, F.get(p, i + 1)).otherwise(F.get(p, F.lit(1)))
+    end = F.when(F.get(p, F.lit(0)) == F.get(p, n - 1), n - 1).otherwise(n - 2)
+    texts = F.transform(F.sequence(F.lit(1), end), lambda i: expression(F.get(p, i - 1), F.get(p, i), after(i), i + 1))
+    return F.when(n > 2, F.array_join(texts, ";")).otherwise("")
+
+
+def vertex_angles(points: str = "points") -> Column:
+    """Turns in degrees at the vertices, three decimals; NaN where a segment has no length."""
+    return per_vertex(lambda before, at, after, _: F.coalesce(fixed(g.angle(before, at, after), 3), F.lit("NaN")), points)

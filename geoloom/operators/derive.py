@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +49,24 @@ def copy_all_keys(df: DataFrame, aggregate=agg.unique) -> DataFrame:
     return rows.groupBy("k").agg(aggregate(F.col("v")).alias("v"))
 
 
+def convert_each(df: DataFrame, etype: str, each: Callable[[Column, Column], Column], assigned: dict[str, Column] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """One derived element per element, with each of its keys under a value made by each(key, value). Assigned keys win, dropped keys and empty values are left out."""
+    assigned = assigned or {}
+    rest = F.filter("tags", lambda t: ~t["k"].isin([*assigned, *drop]))
+    made = F.transform(rest, lambda t: F.struct(t["k"].alias("k"), each(t["k"], t["v"]).alias("v")))
+    return elements(df.withColumn("tags", F.filter(F.concat(_pairs(assigned), made), lambda t: t["v"] != "")), etype)
+
+
+def make_each(df: DataFrame, etype: str, assigned: dict[str, Column] | None = None, drop: tuple[str, ...] = (), aggregate=agg.unique) -> DataFrame:
+    """One derived element from a whole set, with an aggregate of every key of the set. Assigned aggregates win, dropped keys and empty values are left out."""
+    assigned = assigned or {}
+    rows = copy_all_keys(df, aggregate).filter(~F.col("k").isin([*assigned, *drop]))
+    if assigned:
+        own = df.agg(*[v.alias(f"v{i}") for i, v in enumerate(assigned.values())])
+        rows = rows.unionByName(own.select(F.explode(_pairs({k: F.col(f"v{i}") for i, k in enumerate(assigned)})).alias("t")).select("t.k", "t.v"))
+    return elements(rows.filter("v <> ''").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("tags")).withColumn("id", F.lit(1)), etype)
+
+
 def timeline(history: DataFrame, etype: str, ids: list[int], version: int | None = None) -> DataFrame:
     """A derived element per version: reference, version, when it was made and when it expired."""
     rows = history.filter((F.col("etype") == etype) & F.col("id").isin(ids))

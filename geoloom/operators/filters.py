@@ -124,7 +124,7 @@ def with_points(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(lists, KEY, "left").withColumn("points", F.coalesce("points", F.expr("CAST(array() AS array<struct<lat:double,lon:double>>)")))
 
 
-def _relations_with(df: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
+def relations_with(df: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """The relations that have one of the nodes or ways as a member."""
     met = nodes.select(F.lit("node").alias("type"), F.col("id").alias("ref")).unionByName(ways.select(F.lit("way").alias("type"), F.col("id").alias("ref")))
     edges = of_type(df, "relation").select("etype", "id", F.explode("members").alias("m")).select("etype", "id", "m.type", "m.ref")
@@ -138,7 +138,7 @@ def _by_place(df: DataFrame, world: DataFrame, node_test, way_test) -> DataFrame
     crossing = lambda rows: typed(with_points(rows, nodes).filter(way_test(F.col("points"))).drop("points"), "way")
     tests = {
         "node": lambda: place(of_type(df, "node")), "way": lambda: crossing(of_type(df, "way")),
-        "relation": lambda: typed(_relations_with(of_type(df, "relation"), place(nodes), crossing(of_type(world, "way"))), "relation"), "area": lambda: of_type(df, "area").filter(F.lit(False)),
+        "relation": lambda: typed(relations_with(of_type(df, "relation"), place(nodes), crossing(of_type(world, "way"))), "relation"), "area": lambda: of_type(df, "area").filter(F.lit(False)),
     }
     some = [test() for t, test in tests.items() if known is None or t in known]
     return both(*some) if some else df

@@ -87,25 +87,64 @@ _SPECIAL = {
 }
 
 
-def stamp(c: str) -> Column:
+def stamp(c: str | Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def csv_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A text column per key or `::` property; empty where an element has none."""
-    return df.select(*[F.coalesce(_SPECIAL[c]() if c in _SPECIAL else tag(c), F.lit("")).alias(c) for c in columns])
+    """A text column per key or `::` property; empty where an element has none. With `center` (see with_box), ways and relations have its place."""
+    special = dict(_SPECIAL)
+    if "center" in df.columns:
+        for c, e7, part in (("::lat", "lat_e7", "center.lat"), ("::lon", "lon_e7", "center.lon")):
+            special[c] = lambda e7=e7, part=part: F.format_string("%.7f", F.coalesce(degrees(F.col(e7)), F.col(part)))
+        for c in ("::lat", "::lon"):
+            special[c] = lambda made=special[c]: F.when(F.col("lat_e7").isNotNull() | F.col("center.lat").isNotNull(), made())
+    return df.select(*[F.coalesce(special[c]() if c in special else F.lit(None) if c in _COUNTED else tag(c), F.lit("")).alias(c) for c in columns])
+
+
+def _quoted(c: Column, separator: str) -> Column:
+    return F.when(c.rlike('[",\n\r]') | c.contains(separator), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
 def csv_lines(df: DataFrame, columns: list[str], separator: str = "\t") -> DataFrame:
     """One line per element; fields with the separator, a quote or a line end are quoted."""
-    quoted = lambda c: F.when(c.rlike('[",\n\r]') | c.contains(separator), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     table = csv_columns(df, columns)
-    return table.select(F.concat_ws(separator, *[quoted(F.col(f"`{c}`")) for c in columns]).alias("value"))
+    return table.select(F.concat_ws(separator, *[_quoted(F.col(f"`{c}`"), separator) for c in columns]).alias("value"))
+
+
+#: The columns that only a row of counts fills, with its field.
+_COUNTED = {"::count": "total", "::count:nodes": "nodes", "::count:ways": "ways", "::count:relations": "relations", "::count:areas": "areas"}
+
+
+def csv_counts(df: DataFrame, columns: list[str], separator: str = "\t") -> DataFrame:
+    """The line of a set's counts: the `::count` columns, and the type and number of a derived element."""
+    own = {"::id": F.lit("0"), "::type": F.lit("count"), "::otype": F.lit("4")} | {c: F.col(n).cast("string") for c, n in _COUNTED.items()}
+    tags = {"nodes", "ways", "relations", "areas", "total"}
+    return counts(df).select(F.concat_ws(separator, *[own.get(c, F.col(c).cast("string") if c in tags else F.lit("")) for c in columns]).alias("value"))
+
+
+def csv_header(df: DataFrame, columns: list[str], separator: str = "\t") -> DataFrame:
+    """The header as one row, for a file of its own before those of the lines: `::` properties begin with @."""
+    names = [f"@{c[2:]}" if c.startswith("::") else c for c in columns]
+    return df.sparkSession.range(1).select(F.concat_ws(separator, *[_quoted(F.lit(n), separator) for n in names]).alias("value"))
 
 
-def json_lines(df: DataFrame, detail: str = "body") -> DataFrame:
-    """One JSON object per element, as Spark's writers of text or a reader of lines want it."""
+def _shown_shape(df: DataFrame, shape: str | None) -> None:
+    if shape not in (None, "bounds", "center", "geometry"):
+        raise ValueError(f"unknown shape: {shape}")
+    if shape and not {"shapes", "points"} <= set(df.columns):
+        raise ValueError("take shapes.with_shapes first")
+
+
+def json_lines(df: DataFrame, detail: str = "body", shape: str | None = None) -> DataFrame:
+    """One JSON object per element, as Spark's writers of text or a reader of lines want it.
+
+    shape: `bounds`, `center` or `geometry` (bounds and all places) of elements that shapes.with_shapes has placed; nodes always show their place then.
+    """
+    _shown_shape(df, shape)
     shown = LEVELS[detail]
+    if shape:
+        return df.select(F.to_json(F.struct(*_json_with_shape(shown, shape))).alias("value"))
     parts = [F.col("etype").alias("type"), F.col("id")]
     if "lat_e7" in shown:
         parts += [degrees(F.col("lat_e7")).alias("lat"), degrees(F.col("lon_e7")).alias("lon")]
@@ -114,34 +153,106 @@ def json_lines(df: DataFrame, detail: str = "body") -> DataFrame:
     if "nds" in shown:
         parts += [F.col("nds").alias("nodes"), F.col("members")]
     if "tags" in shown:
-        parts.append(F.when(F.size("tags") > 0, F.map_from_entries(F.transform(F.array_distinct(F.transform("tags", lambda t: t["k"])), lambda k: F.struct(k, F.get(F.filter("tags", lambda t: t["k"] == k), F.lit(0))["v"])))).alias("tags"))
+        parts.append(_tag_map())
     return df.select(F.to_json(F.struct(*parts)).alias("value"))
 
 
+def _tag_map() -> Column:
+    first = lambda k: F.struct(k, F.get(F.filter("tags", lambda t: t["k"] == k), F.lit(0))["v"])
+    return F.when(F.size("tags") > 0, F.map_from_entries(F.transform(F.array_distinct(F.transform("tags", lambda t: t["k"])), first))).alias("tags")
+
+
+def _json_with_shape(shown: tuple[str, ...], shape: str) -> list[Column]:
+    node, way, relation = (F.col("etype") == t for t in ("node", "way", "relation"))
+    box = g.bounds("points")
+    parts = [F.col("etype").alias("type"), F.col("id"), F.when(node, degrees(F.col("lat_e7"))).alias("lat"), F.when(node, degrees(F.col("lon_e7"))).alias("lon")]
+    if "version" in shown:
+        parts += [stamp("ts").alias("timestamp"), F.col("version"), F.col("changeset"), F.col("user"), F.col("uid")]
+    parts.append(F.when(~node, g.center(box)).alias("center") if shape == "center" else F.when(~node, box).alias("bounds"))
+    geometry = shape == "geometry"
+    if "nds" in shown:
+        parts.append(F.when(F.size("nds") > 0, F.col("nds")).alias("nodes"))
+    if geometry:
+        parts.append(F.when(way, F.get("shapes", F.lit(0))).alias("geometry"))
+    if "nds" in shown:
+        at = lambda m, s: F.when(m["type"] == "node", F.get(s, F.lit(0)))
+        placed = lambda m, s: F.struct(m["type"].alias("type"), m["ref"].alias("ref"), m["role"].alias("role"), at(m, s)["lat"].alias("lat"), at(m, s)["lon"].alias("lon"), F.when(m["type"] == "way", s).alias("geometry"))
+        members = F.zip_with("members", "shapes", placed) if geometry else F.col("members")
+        parts.append(F.when(relation & (F.size("members") > 0), members).alias("members"))
+    return [*parts, _tag_map()] if "tags" in shown else parts
+
+
 def escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def xml_lines(df: DataFrame, detail: str = "body") -> DataFrame:
-    """One XML element per row; header and footer are the caller's, since files are written in parts."""
+def _attribute(name: str, c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f' {name}="'), escape(c.cast("string")), F.lit('"')), F.lit(""))
+
+
+def _place_attributes(p: Column) -> Column:
+    """lat and lon of a point; nothing where it is unknown."""
+    both_of = F.concat(F.lit(' lat="'), F.format_string("%.7f", p["lat"]), F.lit('" lon="'), F.format_string("%.7f", p["lon"]), F.lit('"'))
+    return F.when(p["lat"].isNotNull(), both_of).otherwise("")
+
+
+def _xml_element(get, detail: str, shape: str | None = None) -> Column:
+    """The text of one element; get(name) is the column that holds a property."""
     shown = LEVELS[detail]
-    attribute = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), escape(c.cast("string")), F.lit('"')), F.lit(""))
-    head = [F.lit("<"), F.col("etype"), attribute("id", F.col("id"))]
-    if "lat_e7" in shown:
-        head += [attribute("lat", F.format_string("%.7f", degrees(F.col("lat_e7")))), attribute("lon", F.format_string("%.7f", degrees(F.col("lon_e7"))))]
-        head[-2:] = [F.when(F.col("lat_e7").isNotNull(), c).otherwise("") for c in head[-2:]]
+    node = F.col("etype") == "node"
+    e7 = F.struct(degrees(get("lat_e7")).alias("lat"), degrees(get("lon_e7")).alias("lon")) if "lat_e7" in shown or shape else None
+    head = [F.lit("<"), F.col("etype"), _attribute("id", F.col("id"))]
+    if e7 is not None:
+        head.append(_place_attributes(e7))
     if "version" in shown:
-        head += [attribute("version", F.col("version")), attribute("timestamp", stamp("ts")), attribute("changeset", F.col("changeset")), attribute("uid", F.col("uid")), attribute("user", F.col("user"))]
+        head += [_attribute("version", get("version")), _attribute("timestamp", stamp(get("ts"))), _attribute("changeset", get("changeset")), _attribute("uid", get("uid")), _attribute("user", get("user"))]
     inner = []
+    if shape in ("bounds", "geometry"):
+        box = g.bounds(get("points"))
+        inner.append(F.when(~node & box.isNotNull(), F.concat(F.lit("<bounds"), *[_attribute(n, F.format_string("%.7f", box[n])) for n in ("minlat", "minlon", "maxlat", "maxlon")], F.lit("/>"))))
+    elif shape == "center":
+        middle = g.center(g.bounds(get("points")))
+        inner.append(F.when(~node & middle["lat"].isNotNull(), F.concat(F.lit("<center"), _place_attributes(middle), F.lit("/>"))))
     if "nds" in shown:
-        inner.append(F.array_join(F.transform("nds", lambda n: F.concat(F.lit('<nd ref="'), n.cast("string"), F.lit('"/>'))), ""))
-        inner.append(F.array_join(F.transform("members", lambda m: F.concat(F.lit('<member type="'), m["type"], F.lit('" ref="'), m["ref"].cast("string"), F.lit('" role="'), escape(m["role"]), F.lit('"/>'))), ""))
+        line = F.get(get("shapes"), F.lit(0)) if shape == "geometry" else None
+        at = (lambda i: _place_attributes(F.get(line, i))) if line is not None else (lambda i: F.lit(""))
+        inner.append(F.array_join(F.transform(get("nds"), lambda n, i: F.concat(F.lit('<nd ref="'), n.cast("string"), F.lit('"'), at(i), F.lit("/>"))), ""))
+        named = lambda m: F.concat(F.lit('<member type="'), m["type"], F.lit('" ref="'), m["ref"].cast("string"), F.lit('" role="'), escape(m["role"]), F.lit('"'))
+        if shape == "geometry":
+            nodes = lambda s: F.array_join(F.transform(s, lambda p: F.concat(F.lit("<nd"), _place_attributes(p), F.lit("/>"))), "")
+            placed = lambda m, s: F.when((m["type"] == "way") & (F.size(s) > 0), F.concat(named(m), F.lit(">"), nodes(s), F.lit("</member>"))).otherwise(F.concat(named(m), F.when(m["type"] == "node", _place_attributes(F.get(s, F.lit(0)))).otherwise(""), F.lit("/>")))
+            members = F.zip_with(get("members"), get("shapes"), placed)
+            inner.append(F.when(F.col("etype") == "relation", F.array_join(members, "")))
+        else:
+            inner.append(F.array_join(F.transform(get("members"), lambda m: F.concat(named(m), F.lit("/>"))), ""))
     if "tags" in shown:
-        inner.append(F.array_join(F.transform("tags", lambda t: F.concat(F.lit('<tag k="'), escape(t["k"]), F.lit('" v="'), escape(t["v"]), F.lit('"/>'))), ""))
+        inner.append(F.array_join(F.transform(get("tags"), lambda t: F.concat(F.lit('<tag k="'), escape(t["k"]), F.lit('" v="'), escape(t["v"]), F.lit('"/>'))), ""))
     body = F.concat_ws("", *inner) if inner else F.lit("")
-    return df.select(F.concat(*head, F.when(body == "", "/>").otherwise(F.concat(F.lit(">"), body, F.lit("</"), F.col("etype"), F.lit(">")))).alias("value"))
+    return F.concat(*head, F.when(body == "", "/>").otherwise(F.concat(F.lit(">"), body, F.lit("</"), F.col("etype"), F.lit(">"))))
+
+
+def xml_lines(df: DataFrame, detail: str = "body", shape: str | None = None) -> DataFrame:
+    """One XML element per row; header and footer are the caller's, since files are written in parts. shape as for JSON."""
+    _shown_shape(df, shape)
+    return df.select(_xml_element(F.col, detail, shape).alias("value"))
+
+
+def xml_diff_lines(found: DataFrame, detail: str = "body", augmented: bool = False) -> DataFrame:
+    """One action per row of history.difference: create shows the new state, modify both, delete the old one.
+
+    augmented: a deleted element is shown as new without content, visible if it exists and has only left the result.
+    """
+    old, new = (_xml_element(lambda c, side=side: F.col(f"{side}.{c}"), detail) for side in ("old", "new"))
+    action = F.col("action")
+    left = F.concat(F.lit("<"), F.col("etype"), _attribute("id", F.col("id")), F.when(action == "push_away", ' visible="true"/>').otherwise(' visible="false"/>'))
+    gone = F.concat(F.lit("<new>"), left, F.lit("</new>")) if augmented else F.lit("")
+    text = (
+        F.when(action == "create", F.concat(F.lit('<action type="create">'), new)).when(action == "modify", F.concat(F.lit('<action type="modify"><old>'), old, F.lit("</old><new>"), new, F.lit("</new>")))
+        .otherwise(F.concat(F.lit('<action type="delete"><old>'), old, F.lit("</old>"), gone))
+    )
+    return found.select(F.concat(text, F.lit("</action>")).alias("value"))
 
 
 def template_lines(df: DataFrame, template: str) -> DataFrame:

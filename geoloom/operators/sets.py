@@ -51,3 +51,8 @@ def complete(start: DataFrame, body: Callable[[DataFrame], DataFrame], most: int
 def when(test: DataFrame, expression: Column, yes: Callable[[], DataFrame], no: Callable[[], DataFrame]) -> DataFrame:
     """A branch on the driver: expression is an aggregate over the set `test`."""
     return yes() if test.agg(truthy(expression).alias("t")).first().t else no()
+
+
+def with_property(df: DataFrame, name: str, other: DataFrame, aggregate: Column) -> DataFrame:
+    """df with a value over another set as a column: a scalar subquery of one aggregate."""
+    return df.withColumn(name, other.agg(aggregate.alias("v")).scalar())

@@ -1,8 +1,9 @@
 """Operators on a small hand-built world: tags with repeated and empty keys, cycles, empty ways, the antimeridian."""
 
 import pytest
+from geoloom.functions import members
 from geoloom.model import COLUMNS, both, closed, elements, tag
-from geoloom.operators import derive, filters, history, output, sets, traverse
+from geoloom.operators import derive, filters, history, output, sets, shapes, traverse
 from geoloom.sources import osm
 from geoloom.streaming.changes import Versions, merge, stream_changes
 from pyspark.sql import functions as F
@@ -156,3 +157,41 @@ def test_late_versions_are_dropped(spark):
     rows = [(1, 1, "2020-01-01"), (1, 2, "2020-03-01"), (1, 3, "2020-02-01")]
     changes = elements(spark.createDataFrame(rows, "id long, version int, ts string").withColumns({"ts": F.to_timestamp("ts"), "deleted": F.lit(False)}), "node", "deleted")
     assert sorted(r.version for r in history.versions(changes).collect()) == [1, 3]
+
+
+def test_shapes_and_documents(spark, world):
+    pairs = "tags array<struct<k:string,v:string>>"
+    more = spark.createDataFrame([(31, [("way", 13, "outer"), ("node", 1, "")], [("n", "x")]), (32, [("way", 11, ""), ("way", 99, "")], [])], f"id long, members array<struct<type:string,ref:long,role:string>>, {pairs}")
+    all_of = both(world, elements(more, "relation"))
+    placed = {(r.etype, r.id): r for r in shapes.with_shapes(all_of, all_of).collect()}
+    assert [len(s) for s in placed["relation", 31].shapes] == [5, 1] and len(placed["relation", 31].points) == 6
+    assert [len(s) for s in placed["relation", 32].shapes] == [3, 0] and placed["way", 14].points == [] and placed["relation", 22].shapes == [[]]
+    areas = shapes.relation_areas(all_of, all_of)
+    assert [(r.id, len(r.geometry)) for r in areas.collect()] == [(3_600_000_031, 1)]
+    assert keys(shapes.in_areas(all_of.filter("id < 20 AND etype <> 'relation'"), all_of, areas)) >= of("node", 1, 2, 4, 5) | of("way", 11, 12, 13)
+    assert not keys(shapes.in_areas(all_of.filter("id = 15"), all_of, areas))
+    own = filters.areas_of(all_of, all_of)
+    assert keys(shapes.is_in(shapes.literal_point(all_of, 10.05, 1.05), own, all_of)) == of("area", 2_400_000_013) | of("way", 13)
+    one = lambda kind, i: shapes.with_shapes(all_of.filter((F.col("etype") == kind) & (F.col("id") == i)), all_of)
+    assert output.xml_lines(one("way", 15), "skel", "geometry").first().value == '<way id="15"><bounds minlat="0.0000000" minlon="-179.9000000" maxlat="0.0000000" maxlon="179.9000000"/><nd ref="7" lat="0.0000000" lon="179.9000000"/><nd ref="8" lat="0.0000000" lon="-179.9000000"/></way>'
+    assert output.xml_lines(one("way", 14), "skel", "center").first().value == '<way id="14"/>'
+    assert '"center":{"lat":0.0,"lon":0.0}' in output.json_lines(one("way", 15), "body", "center").first().value
+    assert output.csv_header(all_of, ["::id", "a,b"], ",").first().value == '@id,"a,b"'
+    assert output.csv_counts(all_of, ["::type", "::count", "::count:relations"]).first().value == "count\t18\t5"
+    with pytest.raises(ValueError, match="with_shapes"):
+        output.json_lines(all_of, "body", "center")
+    angles = one("way", 11).select(members.vertex_angles().alias("a"), members.per_vertex(lambda a, b, c, i: i.cast("string")).alias("i")).first()
+    assert len(angles.a.split(";")) == 1 and angles.i == "2" and one("way", 13).select(members.per_vertex(lambda a, b, c, i: i.cast("string")).alias("i")).first().i == "2;3;4;5"
+
+
+def test_differences_as_documents(spark):
+    pairs = "tags array<struct<k:string,v:string>>"
+    state = lambda rows: elements(spark.createDataFrame(rows, f"id long, {pairs}"), "node")
+    old, new = state([(1, [("a", "1")]), (2, []), (3, [])]), state([(1, [("a", "2")]), (4, [])])
+    found = history.difference(old, new, state([(1, []), (2, []), (4, [])]))
+    lines = {r.value for r in output.xml_diff_lines(found, "tags", augmented=True).collect()}
+    assert lines == {
+        '<action type="modify"><old><node id="1"><tag k="a" v="1"/></node></old><new><node id="1"><tag k="a" v="2"/></node></new></action>', '<action type="create"><node id="4"/></action>',
+        '<action type="delete"><old><node id="2"/></old><new><node id="2" visible="true"/></new></action>', '<action type="delete"><old><node id="3"/></old><new><node id="3" visible="false"/></new></action>',
+    }
+    assert '<action type="delete"><old><node id="3"/></old></action>' in {r.value for r in output.xml_diff_lines(found, "tags").collect()}
