@@ -68,9 +68,14 @@ def length(points: str = "points") -> Column:
     return fixed(g.length(points), 3)
 
 
-def shape_length(shapes: str = "shapes") -> Column:
+def shape_metres(shapes: str = "shapes") -> Column:
     """Metres of an element of any type with its shapes: 0 of a node, the sum over its members of a relation."""
-    return fixed(F.aggregate(F.transform(shapes, g.length), F.lit(0.0), lambda a, x: a + x), 3)
+    return F.aggregate(F.transform(shapes, g.length), F.lit(0.0), lambda a, x: a + x)
+
+
+def shape_length(shapes: str = "shapes") -> Column:
+    """The same as text, three decimals."""
+    return fixed(shape_metres(shapes), 3)
 
 
 def shape() -> Column:

@@ -10,7 +10,7 @@ from ..functions import members, text
 from ..model import KEY, degrees, of_type, pick, tag
 from ..operators import derive, filters, history, output, sets, shapes
 from ..sources import star
-from .catalog import _AREA_SIDES, _BOX, _CROSS, _FINAL, _HOLDS, _IN_BOX, _INSIDE, _ODD, _ON, _SINCE, _STEP, _TWO, _UNTIL, _WAY_BOX, QUERIES, SQL, _final, _nodes, _relations, _thirteen, _ways, ids, query  # noqa: F401
+from .catalog import _AREA_SIDES, _BOX, _CROSS, _FINAL, _IN_BOX, _INSIDE, _ODD, _ON, _SINCE, _STEP, _TWO, _UNTIL, _WAY_BOX, QUERIES, SQL, _final, _nodes, _relations, _thirteen, _ways, ids, query  # noqa: F401
 
 # ---- output ----
 
@@ -144,7 +144,7 @@ def derive_relation_areas(w):
 @query(f""", len AS (SELECT way, sum({_STEP}) AS m FROM seg GROUP BY way) SELECT 'node' AS etype, id, 0.0::DOUBLE AS km FROM node UNION ALL SELECT 'way', id, round(coalesce(m, 0) / 1000, 2) FROM way LEFT JOIN len ON way = id UNION ALL
 SELECT 'relation', rel.id, round(coalesce(sum(m), 0) / 1000, 2) FROM rel LEFT JOIN member ON member.id = rel.id AND type = 'way' LEFT JOIN len ON way = ref GROUP BY rel.id""")
 def expression_length(w):
-    return shapes.with_shapes(w, w).select(*KEY, F.round(members.shape_length().cast("double") / 1000, 2).alias("km"))
+    return shapes.with_shapes(w, w).select(*KEY, F.round(members.shape_metres() / 1000, 2).alias("km"))
 
 
 @query(f", {_POINTS} SELECT etype, id, coalesce(printf('%.7f', (minlat + maxlat) / 2), 'NaN') AS lat, coalesce(printf('%.7f', (minlon + maxlon) / 2), 'NaN') AS lon FROM boxes UNION ALL SELECT 'node', id, printf('%.7f', lat), printf('%.7f', lon) FROM node")
