@@ -68,7 +68,8 @@ def in_ring(lat: Column, lon: Column, segments: Column, border: bool = True) ->
 
 def bounds(points: Column | str) -> Column:
     """struct(minlat, minlon, maxlat, maxlon) of a list of points; null if it is empty."""
-    lat, lon = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["lon"])
+    points = F.col(points) if isinstance(points, str) else points
+    lat, lon = points["lat"], points["lon"]
     return F.when(F.size(points) > 0, F.struct(F.array_min(lat).alias("minlat"), F.array_min(lon).alias("minlon"), F.array_max(lat).alias("maxlat"), F.array_max(lon).alias("maxlon")))
 
 

@@ -117,11 +117,13 @@ def where(df: DataFrame, expression: Column) -> DataFrame:
 
 def with_points(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ways with `points`, the places of their nodes in order; a way without any has an empty list."""
-    at = df.select("etype", "id", F.posexplode("nds").alias("pos", "ref"))
-    placed = nodes.filter(F.col("etype") == "node").select(F.col("id").alias("ref"), degrees(F.col("lat_e7")).alias("lat"), degrees(F.col("lon_e7")).alias("lon"))
-    lists = at.join(placed, "ref").groupBy("etype", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))).alias("points"))
-    lists = lists.withColumn("points", F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))))
-    return df.join(lists, KEY, "left").withColumn("points", F.coalesce("points", F.expr("CAST(array() AS array<struct<lat:double,lon:double>>)")))
+    key = ["id"] if types_of(df) == ["way"] else KEY  # a constant type is no key of the join
+    at = df.select(*key, F.posexplode("nds").alias("pos", "ref"))
+    place = F.struct(degrees(F.col("lat_e7")).alias("lat"), degrees(F.col("lon_e7")).alias("lon"))
+    placed = nodes.filter(F.col("etype") == "node").select(F.col("id").alias("ref"), place.alias("p"))
+    lists = at.join(placed, "ref").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "p")))["p"].alias("points"))
+    out = df.join(lists, key, "left").select(*df.columns, F.coalesce("points", F.expr("CAST(array() AS array<struct<lat:double,lon:double>>)")).alias("points"))
+    return typed(out, "way") if key == ["id"] else out
 
 
 def relations_with(df: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:

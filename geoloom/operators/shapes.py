@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import RELATION_AREA, WAY_AREA, both, closed, degrees, elements, of_type, pick, typed, types_of
+from ..shared import stored
 from . import derive, filters
 
 _NO_SHAPES = "CAST(array() AS array<array<struct<lat:double,lon:double>>>)"
@@ -74,25 +75,52 @@ def _cut(segments: DataFrame, size: float) -> DataFrame:
     return by_column.withColumn("row", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
 
 
-def ways_in_areas(ways: DataFrame, world: DataFrame, areas: DataFrame, size: float = 5.0) -> DataFrame:
-    """Ways with a node inside an area or on its border, and ways that cross a side: an equi-join of segments on the cells they pass."""
+def inside(points: DataFrame, areas: DataFrame, size: float = 5.0) -> DataFrame:
+    """The ids of the nodes inside any of the areas, borders included.
+
+    A cell that no side of an area passes is wholly in or out of it, so its middle decides for all its nodes, and a node in
+    a covered cell needs no test. The others meet the areas whose sides pass their cell. Cells are as many as the grid has at most.
+    """
+    cell = ["row", "column"]
+    lat, lon = degrees(F.col("lat_e7")), degrees(F.col("lon_e7"))
+    own = of_type(points, "node").select("id", lat.alias("lat"), lon.alias("lon"), F.floor(lat / size).alias("row"), F.floor(lon / size).alias("column"))
+    cells = filters._cells(areas, size)
+    passed = _cut(areas.select(F.col("id").alias("area"), F.explode(F.flatten(F.transform("geometry", g.pairs))).alias("s")), size).select("area", *cell).distinct()
+    middle = lambda c: (F.col(c) + 0.5) * size
+    whole = cells.join(passed, ["area", *cell], "left_anti").filter(g.in_ring(middle("row"), middle("column"), F.col("sides"), False)).select(*cell).distinct()
+    whole = stored(whole, "cells")
+    partly = cells.join(passed, ["area", *cell], "left_semi").select(*cell, "sides")
+    rest = own.join(F.broadcast(whole), cell, "left_anti").join(partly, cell)
+    return own.join(F.broadcast(whole), cell, "left_semi").select("id").unionByName(rest.filter(g.in_ring(F.col("lat"), F.col("lon"), F.col("sides"))).select("id")).distinct()
+
+
+def ways_in_areas(ways: DataFrame, world: DataFrame, areas: DataFrame, size: float = 5.0, nodes: DataFrame | None = None) -> DataFrame:
+    """Ways with a node inside an area or on its border, and ways that cross a side. nodes: the ids of `inside`, if they are known.
+
+    Only ways without such a node need their segments, and of these only the cells that any side passes, which are as many
+    as the grid has at most; then an equi-join on those cells.
+    """
     own = of_type(ways, "way")
-    inside = filters.covering(of_type(world, "node"), areas, size).select("id").distinct()
-    uses = own.select("id", F.explode("nds").alias("ref")).join(inside.select(F.col("id").alias("ref")), "ref", "left_semi").select("id")
-    segments = filters.with_points(own, world).select("id", F.explode(g.pairs("points")).alias("s"))
-    sides = areas.select(F.explode(F.flatten(F.transform("geometry", g.pairs))).alias("s"))
-    met = _cut(segments, size).join(_cut(sides, size).select("row", "column", F.col("s").alias("t")), ["row", "column"])
-    found = uses.unionByName(met.filter(filters.crosses(F.col("s"), F.col("t"))).select("id")).distinct()
-    return typed(own.join(found, "id", "left_semi").select(*ways.columns), "way")
+    met = stored(inside(of_type(world, "node"), areas, size), "inside") if nodes is None else nodes
+    uses = stored(own.select("id", F.explode("nds").alias("ref")).join(met.select(F.col("id").alias("ref")), "ref", "left_semi").select("id").distinct(), "uses")
+    rest = typed(own.join(uses, "id", "left_anti").select(*ways.columns), "way")
+    segments = filters.with_points(rest, world).select("id", F.explode(g.pairs("points")).alias("s"))
+    sides = stored(_cut(areas.select(F.explode(F.flatten(F.transform("geometry", g.pairs))).alias("s")), size).select("row", "column", F.col("s").alias("t")), "sides")
+    near = _cut(segments, size).join(F.broadcast(sides.select("row", "column").distinct()), ["row", "column"], "left_semi")
+    crossing = near.join(sides, ["row", "column"]).filter(filters.crosses(F.col("s"), F.col("t"))).select("id").distinct()
+    return typed(own.join(uses.unionByName(crossing), "id", "left_semi").select(*ways.columns), "way")
 
 
 def in_areas(df: DataFrame, world: DataFrame, areas: DataFrame) -> DataFrame:
     """Elements of any type in areas: nodes and ways by their places, relations by their node and way members."""
     known = types_of(df)
-    nodes = lambda rows: typed(filters.in_areas(of_type(rows, "node"), areas).select(*df.columns), "node")
+    if known == ["node"]:
+        return typed(filters.in_areas(df, areas).select(*df.columns), "node")
+    areas = stored(areas.select("id", "geometry"), "areas")
+    met = stored(inside(of_type(world, "node"), areas), "inside")
     tests = {
-        "node": lambda: nodes(df), "way": lambda: ways_in_areas(of_type(df, "way"), world, areas),
-        "relation": lambda: typed(filters.relations_with(of_type(df, "relation"), nodes(world), ways_in_areas(of_type(world, "way"), world, areas)).select(*df.columns), "relation"),
+        "node": lambda: typed(filters.in_areas(of_type(df, "node"), areas).select(*df.columns), "node"), "way": lambda: ways_in_areas(of_type(df, "way"), world, areas, nodes=met),
+        "relation": lambda: typed(filters.relations_with(of_type(df, "relation"), met, ways_in_areas(of_type(world, "way"), world, areas, nodes=met)).select(*df.columns), "relation"),
     }
     return both(*[test() for t, test in tests.items() if known is None or t in known])
 
