@@ -376,7 +376,8 @@ def key_places(n: int, s: Similar) -> np.ndarray:
 
 
 def _similar_rows(sketches: DataFrame, places: np.ndarray) -> DataFrame:
-    """(key, set, fp, fp2): a row per key of each set."""
+    """(key, set, fp, fp2): a row per key of each set; and root, if sketches have one."""
+    roots = [c for c in sketches.columns if c == "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, bits = places.shape
@@ -388,21 +389,25 @@ def _similar_rows(sketches: DataFrame, places: np.ndarray) -> DataFrame:
                 flat = np.unpackbits(fps, axis=1, bitorder="little")
                 wide = fps.view("<i8")
                 own = part.column("_set").to_numpy(zero_copy_only=False)
+                rest = [part.column(c) for c in roots]
                 for k in range(n):
                     key = (flat[:, places[k]] * weights).sum(axis=1) * n + k
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, own, np.ascontiguousarray(wide[:, 0]), np.ascontiguousarray(wide[:, 1]))], names=["key", "set", "fp", "fp2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, own, np.ascontiguousarray(wide[:, 0]), np.ascontiguousarray(wide[:, 1]))] + rest, names=["key", "set", "fp", "fp2", *roots])
 
-    return sketches.select("_set", "_fps").mapInArrow(run, "key long, set long, fp long, fp2 long")
+    return sketches.select("_set", "_fps", *roots).mapInArrow(run, "key long, set long, fp long, fp2 long" + "".join(f", {c} long" for c in roots))
 
 
-def similar_sorted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows (key, salt, side, set, fp, fp2) in this order: of each looking row its least and its nearest partner. Side 0 stores, 1 looks, 2 does both."""
+def similar_sorted(batches: Iterator[pa.RecordBatch], most: int, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) from rows (key, salt, side, set, fp, fp2, root) in this order. Side 0 stores, 1 looks, 2 does both.
+
+    Of each looking row its least and its nearest partner, and (a, a) where it has others; with `whole`, all its partners of another root.
+    """
     held: list[np.ndarray] | None = None
     for batch in batches:
-        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "salt", "side", "set", "fp", "fp2")]
+        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "salt", "side", "set", "fp", "fp2", "root")]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        key, salt, side, own, fp, fp2 = now
+        key, salt, side, own, fp, fp2, root = now
         edge = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
         begin, group = np.flatnonzero(edge), np.cumsum(edge) - 1
         each = np.add.reduceat((side != 1).astype(np.int64), begin)[group]
@@ -417,11 +422,15 @@ def similar_sorted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.
             x = np.repeat(rows, n)
             y = np.repeat(begin[group[rows]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             far = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)).astype(np.int16) + np.bitwise_count((fp2[x] ^ fp2[y]).view(np.uint64))
-            good = np.flatnonzero((far <= most) & (own[x] != own[y]))
+            good = np.flatnonzero((far <= most) & (root[x] != root[y]))
             if not len(good):
                 continue
             x, y, far = x[good], own[y[good]], far[good]
-            pairs = []
+            if whole:
+                yield pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(y)], names=["a", "b"])
+                continue
+            more = np.unique(own[x[2:][x[2:] == x[:-2]]])  # rows stand together: the third of a row is one too many
+            pairs = [(more, more)]
             for order in (np.lexsort((y, x)), np.lexsort((y, far, x))):
                 first = order[np.r_[True, x[order][1:] != x[order][:-1]]]
                 pairs.append((own[x[first]], y[first]))
@@ -433,21 +442,27 @@ def similar_sorted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.
         held[2] = np.zeros(len(stay), side.dtype)
 
 
-def similar_pairs(sketches: DataFrame, s: Similar, stored_upto: int = STORED_UPTO) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of sets that share a key and whose first two fingerprints are near; similarity is not yet verified."""
-    places = key_places(sketches.count(), s)
+def _similar_found(sketches: DataFrame, places: np.ndarray, s: Similar, stored_upto: int, whole: bool) -> DataFrame:
+    """Distinct (u, v), u >= v, of what similar_sorted returns for sets that share a key, and have `root` where `whole` asks for it."""
     hot = _similar_rows(sketches, places).groupBy("key").count().filter(F.col("count") > stored_upto).select("key", F.ceil(F.col("count") / stored_upto).cast("int").alias("chunks"))
     rows = _similar_rows(sketches, places).join(F.broadcast(hot), "key", "left")
     deal = lambda salt, side: F.struct(salt.cast("int").alias("salt"), F.lit(side).cast("byte").alias("side"))
     store = F.array(deal(F.pmod(F.xxhash64("set"), F.col("chunks")), 0))
     look = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: deal(i, 1))
     dealt = F.explode(F.when(F.col("chunks").isNull(), F.array(deal(F.lit(0), 2))).otherwise(F.concat(store, look)))
-    rows = rows.select("key", dealt.alias("d"), "set", "fp", "fp2").select("key", "d.salt", "d.side", "set", "fp", "fp2")
+    rows = rows.select("key", dealt.alias("d"), "set", "fp", "fp2", *(["root"] if whole else [])).select("key", "d.salt", "d.side", "set", "fp", "fp2", *(["root"] if whole else []))
     most = s.most_bits
-    found = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(lambda batches: similar_sorted(batches, most), "a long, b long")
+    sorted_rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side")
+    found = sorted_rows.withColumn("root", F.col("root" if whole else "set")).mapInArrow(lambda batches: similar_sorted(batches, most, whole), "a long, b long")
     return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
+def similar_pairs(sketches: DataFrame, s: Similar, stored_upto: int = STORED_UPTO) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of sets that share a key and whose first two fingerprints are near, for each set in a key its least and its nearest partner; similarity is not yet verified."""
+    places = key_places(sketches.count(), s)
+    return _similar_found(sketches, places, s, stored_upto, False).filter("u > v")
+
+
 def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose sets of shingles have at least this Jaccard similarity."""
 
@@ -466,7 +481,9 @@ def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
 
 def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar) -> DataFrame:
     """(node, root) of sets that verified pairs connect; texts: (_row, text) of all rows, of which only those that pairs name are cut into shingles. Pairs inside a component that others connect already need no look at their shingles."""
-    pairs = stored(similar_pairs(sketches, s))
+    places = key_places(sketches.count(), s)
+    found = stored(_similar_found(sketches, places, s, STORED_UPTO, False))
+    pairs, crowded = found.filter("u > v"), found.filter("u = v").select(F.col("u").alias("_set"))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("_set")).distinct()
     named = sketches.select("_set", "_row").join(ends, "_set", "left_semi")
     shingles = stored(_with_shingles(texts.join(named, "_row"), s))
@@ -474,7 +491,10 @@ def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar) -> Dat
     roots = components(one.select(F.col("u").alias("a"), F.col("v").alias("b")))
     to = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     apart = pairs.join(to("u"), "u", "left").join(to("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
-    more = verified(apart.select("u", "v"), shingles, s.least)
+    # a pair that neither side named has two sides with further partners: all pairs among these, but for those that are connected already
+    full = sketches.join(crowded, "_set", "left_semi").join(roots, F.col("_set") == F.col("node"), "left").select("_set", "_fps", F.coalesce("root", "_set").alias("root"))
+    rest = _similar_found(stored(full), places, s, STORED_UPTO, True)
+    more = verified(stored(apart.select("u", "v").unionAll(rest).distinct()), shingles, s.least)
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more.select("u", "v")))
 
 
