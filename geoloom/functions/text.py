@@ -27,7 +27,13 @@ def try_int(s: Column) -> Column:
     part = lambda i: F.regexp_extract(s, _INT, i)
     size = F.when(part(2) != "", F.conv(part(2), 16, 10)).when(part(3) != "", F.conv(part(3), 8, 10)).otherwise(part(4))
     decimal = s.rlike(_INT) & ~(s.rlike(r"^\s*[+-]?0[0-9]") & ~s.rlike(r"^\s*[+-]?0[0-7]+$"))
-    return F.when(decimal, F.concat(F.when(part(1) == "-", "-").otherwise(""), size).try_cast("bigint"))
+    rest = F.when(decimal, F.concat(F.when(part(1) == "-", "-").otherwise(""), size).try_cast("bigint"))
+    return F.when(_plain(s), s.try_cast("bigint")).otherwise(rest)
+
+
+def _plain(s: Column) -> Column:
+    """Whether a text is an integer as it is shown: most are, and need no pattern."""
+    return F.coalesce(s.try_cast("bigint").cast("string") == s, F.lit(False))
 
 
 def try_double(s: Column) -> Column:
@@ -35,7 +41,7 @@ def try_double(s: Column) -> Column:
     plain = F.when(s.rlike(_NUMBER + r"\z"), F.trim(s).try_cast("double"))
     low = F.lower(s)
     other = F.when(low.rlike(r"^\s*[+]?inf(?:inity)?\z"), float("inf")).when(low.rlike(r"^\s*-inf(?:inity)?\z"), float("-inf")).when(low.rlike(r"^\s*[+-]?nan\z"), float("nan"))
-    return F.coalesce(_hexadecimal(s, r"\z"), plain, other, try_int(s).cast("double"))
+    return F.when(_plain(s), s.try_cast("bigint").cast("double")).otherwise(F.coalesce(_hexadecimal(s, r"\z"), plain, other, try_int(s).cast("double")))
 
 
 def _hexadecimal(s: Column, end: str) -> Column:
