@@ -200,6 +200,9 @@ def around(nodes: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
 
     Cells have the height of the radius, so a source meets its own row of cells and the next ones; within a row it meets
     the columns that the radius spans at that latitude. The exact distance decides.
+
+    Nodes that share a cell of half the radius with a source are near it without a test, so only nodes in cells without one
+    meet sources, of which there are then few about: the tests grow with the nodes, not with nodes times sources.
     """
     if radius < 0:
         raise ValueError("radius is negative")
@@ -220,8 +223,17 @@ def around(nodes: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
     near = near.withColumn("_column", F.explode(F.array_distinct(F.transform(F.sequence(first.cast("bigint"), last.cast("bigint")), lambda c: F.pmod(c, n))))).distinct()
     close = g.distance(lat, lon, F.col("_lat"), F.col("_lon")) <= radius
     same = (F.abs(lat - F.col("_lat")) < 1e-7) & (F.abs(lon - F.col("_lon")) < 1e-7)
-    found = own.join(near, ["_row", "_column"]).filter(close | same).select(*KEY).distinct()
-    return nodes.join(found, KEY, "left_semi")
+    half, cell = 0.49 * radius / 10_000_000.0 * 90.0, ["_half", "_place"]
+    if half < 1e-4:  # too small for cells
+        found = own.join(near, ["_row", "_column"]).filter(close | same).select(*KEY).distinct()
+        return nodes.join(found, KEY, "left_semi")
+    low = lambda r: F.least(F.abs(r * half), F.abs((r + 1) * half))
+    across = F.greatest(F.lit(1), F.ceil(F.cos(F.radians(F.least(low(F.col("_half")), F.lit(90.0)))) * 360.0 / half))
+    halved = lambda df: df.withColumn("_half", F.floor(lat / half)).withColumn("_place", F.least(F.floor((lon + 180.0) / 360.0 * across), across - 1))
+    full = halved(of_type(sources, "node").select("lat_e7", "lon_e7")).select(*cell).distinct()
+    sure = halved(own).join(full, cell, "left_semi").select(*KEY)
+    found = halved(own).join(full, cell, "left_anti").join(near, ["_row", "_column"]).filter(close | same).select(*KEY).distinct()
+    return nodes.join(sure.unionByName(found), KEY, "left_semi")
 
 
 def around_line(df: DataFrame, line: list[tuple[float, float]], radius: float) -> DataFrame:

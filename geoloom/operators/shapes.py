@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -39,7 +40,7 @@ def with_shapes(df: DataFrame, world: DataFrame) -> DataFrame:
         lines = filters.with_points(of_type(world, "way").join(edges.filter("type = 'way'").select(F.col("ref").alias("id")), "id", "left_semi"), nodes)
         parts = nodes.select(F.lit("node").alias("type"), F.col("id").alias("ref"), F.array(_place()).alias("part")).unionByName(lines.select(F.lit("way").alias("type"), F.col("id").alias("ref"), F.col("points").alias("part")))
         found = edges.join(parts, ["type", "ref"], "left").select("id", F.struct("pos", F.coalesce("part", F.expr(_NO_POINTS)).alias("part")).alias("x"))
-        lists = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]).alias("shapes"))
+        lists = found.groupBy("id").agg(F.sort_array(F.collect_list("x"))["part"].alias("shapes"))
         placed = own.join(lists, "id", "left").withColumn("shapes", F.coalesce("shapes", F.expr(_NO_SHAPES)))
         return placed.withColumn("points", F.flatten("shapes"))
 
@@ -48,6 +49,89 @@ def with_shapes(df: DataFrame, world: DataFrame) -> DataFrame:
     return both(*[f().select(*columns) for t, f in made.items() if known is None or t in known])
 
 
+def _box(rows: DataFrame, south: str, west: str, north: str, east: str) -> DataFrame:
+    least, most = (south, west), (north, east)
+    return rows.groupBy("id").agg(*[F.min(c).alias(n) for c, n in zip(least, ("south", "west"), strict=True)], *[F.max(c).alias(n) for c, n in zip(most, ("north", "east"), strict=True)])
+
+
+def with_bounds(df: DataFrame, world: DataFrame) -> DataFrame:
+    """df with `bounds` of all its places as with_shapes has them, null without any: by least and greatest values alone, so that no list of places is made."""
+    nodes, known = of_type(world, "node").filter("lat_e7 IS NOT NULL"), types_of(df)
+    box = F.struct(*[degrees(F.col(c)).alias(n) for c, n in (("south", "minlat"), ("west", "minlon"), ("north", "maxlat"), ("east", "maxlon"))])
+    placed = lambda own, boxes: own.join(boxes, "id", "left").select(*df.columns, F.when(F.col("south").isNotNull(), box).alias("bounds"))
+    kept = {}
+
+    def boxes_of(ways: DataFrame) -> DataFrame:
+        at = ways.select("id", F.explode("nds").alias("ref")).join(nodes.select(F.col("id").alias("ref"), "lat_e7", "lon_e7"), "ref")
+        return _box(at, "lat_e7", "lon_e7", "lat_e7", "lon_e7")
+
+    def of_ways() -> DataFrame:
+        own, every = of_type(df, "way"), of_type(world, "way")
+        if own is every and (known is None or "relation" in known):  # relations ask for the same boxes
+            kept["way"] = stored(boxes_of(every), "boxes")
+        return placed(own, kept.get("way") or boxes_of(own))
+
+    def of_relations() -> DataFrame:
+        own = of_type(df, "relation")
+        edges = own.select("id", F.explode("members").alias("m")).select("id", "m.type", "m.ref").distinct()
+        ways = kept.get("way") or boxes_of(of_type(world, "way").join(edges.filter("type = 'way'").select(F.col("ref").alias("id")), "id", "left_semi"))
+        sides = ("south", "west", "north", "east")
+        points = nodes.select(F.col("id").alias("ref"), F.col("lat_e7").alias("south"), F.col("lon_e7").alias("west"), F.col("lat_e7").alias("north"), F.col("lon_e7").alias("east"))
+        of = lambda t, parts: edges.filter(F.col("type") == t).join(parts, "ref").select("id", *sides)
+        return placed(own, _box(of("node", points).unionByName(of("way", ways.withColumnRenamed("id", "ref"))), *sides))
+
+    def of_nodes() -> DataFrame:
+        own = F.struct(degrees(F.col("lat_e7")).alias("minlat"), degrees(F.col("lon_e7")).alias("minlon"), degrees(F.col("lat_e7")).alias("maxlat"), degrees(F.col("lon_e7")).alias("maxlon"))
+        return of_type(df, "node").select(*df.columns, F.when(F.col("lat_e7").isNotNull(), own).alias("bounds"))
+
+    made = {"node": of_nodes, "way": of_ways, "relation": of_relations}
+    return both(*[f() for t, f in made.items() if known is None or t in known])
+
+
+def with_metres(df: DataFrame, world: DataFrame) -> DataFrame:
+    """df with `metres`: 0 of a node, the length of a way, and of a relation the sum over its way members; no list of places is made."""
+    nodes, known = of_type(world, "node"), types_of(df)
+    kept = {}
+
+    def lengths(ways: DataFrame) -> DataFrame:
+        placed = nodes.select(F.col("id").alias("ref"), degrees(F.col("lat_e7")).alias("lat"), degrees(F.col("lon_e7")).alias("lon"))
+        line = W.partitionBy("id").orderBy("pos")
+        rows = ways.select("id", F.posexplode("nds").alias("pos", "ref")).join(placed, "ref").drop("ref").withColumns({"lat2": F.lead("lat").over(line), "lon2": F.lead("lon").over(line)})
+        return rows.groupBy("id").agg(F.sum(g.distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("metres"))
+
+    placed = lambda own, found: own.join(found, "id", "left").select(*df.columns, F.coalesce("metres", F.lit(0.0)).alias("metres"))
+
+    def of_ways() -> DataFrame:
+        own, every = of_type(df, "way"), of_type(world, "way")
+        if own is every and (known is None or "relation" in known):  # relations ask for the same lengths
+            kept["way"] = stored(lengths(every), "lengths")
+        return placed(own, kept.get("way") or lengths(own))
+
+    def of_relations() -> DataFrame:
+        own = of_type(df, "relation")
+        edges = own.select("id", F.explode("members").alias("m")).filter("m.type = 'way'").select("id", "m.ref")
+        ways = kept.get("way") or lengths(of_type(world, "way").join(edges.select(F.col("ref").alias("id")), "id", "left_semi"))
+        return placed(own, edges.join(ways.withColumnRenamed("id", "ref"), "ref").groupBy("id").agg(F.sum("metres").alias("metres")))
+
+    made = {"node": lambda: of_type(df, "node").select(*df.columns, F.lit(0.0).alias("metres")), "way": of_ways, "relation": of_relations}
+    return both(*[f() for t, f in made.items() if known is None or t in known])
+
+
+def turns(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, pos, turn) of each inner place of the ways: the signed turn in degrees, null where a segment has no length."""
+    lat, lon = F.radians(degrees(F.col("lat_e7"))), F.radians(degrees(F.col("lon_e7")))
+    placed = of_type(nodes, "node").select(F.col("id").alias("ref"), F.sin(lat).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), (F.cos(lat) * F.cos(lon)).alias("z"))
+    line = W.partitionBy("id").orderBy("pos")
+    rows = of_type(ways, "way").select("id", F.posexplode("nds").alias("pos", "ref")).join(placed, "ref").drop("ref")
+    rows = rows.withColumns({f"{c}{i}": f(c).over(line) for i, f in ((0, F.lag), (2, F.lead)) for c in "xyz"}).filter("x0 IS NOT NULL AND x2 IS NOT NULL")
+    cross = lambda a, b: {"x": f"y{a} * z{b} - z{a} * y{b}", "y": f"z{a} * x{b} - x{a} * z{b}", "z": f"x{a} * y{b} - y{a} * x{b}"}
+    rows = rows.select("id", "pos", *[F.col(c).alias(f"{c}{i}") if i == 1 else c for i, c in ((0, "x0"), (0, "y0"), (0, "z0"), (1, "x"), (1, "y"), (1, "z"), (2, "x2"), (2, "y2"), (2, "z2"))])
+    rows = rows.select("id", "pos", "x1", "y1", "z1", *[F.expr(e).alias(f"u{c}") for c, e in cross(0, 1).items()], *[F.expr(e).alias(f"v{c}") for c, e in cross(1, 2).items()])
+    sized = rows.select("id", "pos", F.expr("sqrt((ux * ux + uy * uy + uz * uz) * (vx * vx + vy * vy + vz * vz))").alias("size"), F.expr("ux * vx + uy * vy + uz * vz").alias("dot"), F.expr("x1 * (uy * vz - uz * vy) + y1 * (uz * vx - ux * vz) + z1 * (ux * vy - uy * vx)").alias("side"))
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("dot", "size"))))) * F.when(F.col("side") < 0, -1.0).otherwise(1.0)
+    return sized.select("id", "pos", F.when(F.col("size") > 1e-20, angle).alias("turn"))
+
+
 def relation_areas(df: DataFrame, world: DataFrame) -> DataFrame:
     """Areas of the relations whose way members close: every end is met an even number of times and every way is known.
 

@@ -30,3 +30,38 @@ def test_ways_are_planned_without_customers_where_names_are_not_used(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     ways = star.ways(spark, DATA)
     assert "c_name" in plan(ways.select("id", "user")) and "c_custkey" not in plan(ways.select("id", F.size("nds")))
+
+
+def test_nodes_near_sources_with_and_without_shared_cells(spark):
+    w = _grid(spark)
+    nodes = w.filter("etype = 'node'")
+    places = {r.id: (r.lat_e7 / 1e7, r.lon_e7 / 1e7) for r in nodes.collect()}
+    sources = [i for i in places if i % 97 == 0 or i == 90008]
+    from math import asin, cos, pi, radians, sin, sqrt
+
+    def metres(a, b):
+        (p, q), (r, s) = a, b
+        x = sin(radians(r - p) / 2) ** 2 + cos(radians(p)) * cos(radians(r)) * sin(radians(s - q) / 2) ** 2
+        return 2 * 2e7 / pi * asin(min(1.0, sqrt(x)))
+
+    for radius in (90_000, 260_000):
+        near = {i for i, at in places.items() if any(metres(at, places[j]) <= radius for j in sources)}
+        found = filters.around(nodes, nodes.filter(F.col("id").isin(*sources)), radius)
+        assert {r.id for r in found.collect()} == near and len(sources) < len(near)
+    assert "_half" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bounds_lengths_and_turns_without_lists_of_places(spark):
+    w = _grid(spark)
+    relations = elements(spark.createDataFrame([(5, [("way", 1, ""), ("node", 90007, ""), ("way", 2, "")]), (6, [])], "id long, members array<struct<type:string,ref:long,role:string>>"), "relation")
+    small = both(w.filter("etype <> 'node' OR id > 90000"), relations)
+    w = both(w, relations)
+    rows = lambda df, *c: {(r.etype, r.id): r for r in df.select("etype", "id", *c).collect()}
+    from geoloom.functions import geometry, members
+
+    listed = rows(shapes.with_shapes(small, w), geometry.bounds("points").alias("bounds"), members.shape_metres().alias("metres"))
+    boxes, lengths = rows(shapes.with_bounds(small, w), "bounds"), rows(shapes.with_metres(small, w), "metres")
+    assert boxes.keys() == listed.keys() == lengths.keys() and len(boxes) == 13
+    assert all(boxes[k].bounds == listed[k].bounds and abs(lengths[k].metres - listed[k].metres) < 1e-6 for k in listed)
+    turned = shapes.turns(w.filter("etype = 'way'"), w.filter("etype = 'node'")).collect()
+    assert [(r.id, r.pos) for r in sorted(turned)] == [(1, 1), (1, 2), (1, 3)] and all(abs(abs(r.turn) - 90) < 3 for r in turned)
