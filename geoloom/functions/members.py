@@ -83,13 +83,17 @@ def shape() -> Column:
     return F.filter("shapes", lambda s: F.size(s) > 0)
 
 
-def lat(points: str = "points") -> Column:
-    """The middle of the box, seven decimals; NaN without a place."""
-    return F.coalesce(fixed(g.center(g.bounds(points))["lat"], 7), F.lit("NaN"))
+def lat(points: str | None = "points") -> Column:
+    """The middle of the box, seven decimals; NaN without a place. Without points, of the column `bounds`."""
+    return F.coalesce(fixed(_middle(points)["lat"], 7), F.lit("NaN"))
 
 
-def lon(points: str = "points") -> Column:
-    return F.coalesce(fixed(g.center(g.bounds(points))["lon"], 7), F.lit("NaN"))
+def lon(points: str | None = "points") -> Column:
+    return F.coalesce(fixed(_middle(points)["lon"], 7), F.lit("NaN"))
+
+
+def _middle(points: str | None) -> Column:
+    return g.center(g.bounds(points) if points else F.col("bounds"))
 
 
 def per_member(expression: Callable[[Column, Column], Column]) -> Column:

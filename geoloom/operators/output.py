@@ -132,8 +132,8 @@ def csv_header(df: DataFrame, columns: list[str], separator: str = "\t") -> Data
 def _shown_shape(df: DataFrame, shape: str | None) -> None:
     if shape not in (None, "bounds", "center", "geometry"):
         raise ValueError(f"unknown shape: {shape}")
-    if shape and not {"shapes", "points"} <= set(df.columns):
-        raise ValueError("take shapes.with_shapes first")
+    if shape and not {"shapes", "points"} <= set(df.columns) and not (shape != "geometry" and "bounds" in df.columns):
+        raise ValueError("take shapes.with_shapes first, or shapes.with_bounds for bounds and centres")
 
 
 def json_lines(df: DataFrame, detail: str = "body", shape: str | None = None) -> DataFrame:
@@ -144,7 +144,7 @@ def json_lines(df: DataFrame, detail: str = "body", shape: str | None = None) ->
     _shown_shape(df, shape)
     shown = LEVELS[detail]
     if shape:
-        return df.select(F.to_json(F.struct(*_json_with_shape(shown, shape))).alias("value"))
+        return df.select(F.to_json(F.struct(*_json_with_shape(shown, shape, F.col("bounds") if "points" not in df.columns else g.bounds("points")))).alias("value"))
     parts = [F.col("etype").alias("type"), F.col("id")]
     if "lat_e7" in shown:
         parts += [degrees(F.col("lat_e7")).alias("lat"), degrees(F.col("lon_e7")).alias("lon")]
@@ -162,9 +162,8 @@ def _tag_map() -> Column:
     return F.when(F.size("tags") > 0, F.map_from_entries(F.transform(F.array_distinct(F.transform("tags", lambda t: t["k"])), first))).alias("tags")
 
 
-def _json_with_shape(shown: tuple[str, ...], shape: str) -> list[Column]:
+def _json_with_shape(shown: tuple[str, ...], shape: str, box: Column) -> list[Column]:
     node, way, relation = (F.col("etype") == t for t in ("node", "way", "relation"))
-    box = g.bounds("points")
     parts = [F.col("etype").alias("type"), F.col("id"), F.when(node, degrees(F.col("lat_e7"))).alias("lat"), F.when(node, degrees(F.col("lon_e7"))).alias("lon")]
     if "version" in shown:
         parts += [stamp("ts").alias("timestamp"), F.col("version"), F.col("changeset"), F.col("user"), F.col("uid")]

@@ -47,23 +47,22 @@ boxes AS (SELECT keys.etype, keys.id, min(lat) AS minlat, min(lon) AS minlon, ma
 _EDGES = ("minlat", "minlon", "maxlat", "maxlon")
 
 
-def _parsed(rows, **paths):
-    """Fields of JSON lines: etype and id, and numbers at paths."""
-    at = lambda p: F.get_json_object("value", f"$.{p}")
-    return rows.select(at("type").alias("etype"), at("id").cast("bigint").alias("id"), *[at(p).cast("double").alias(n) for n, p in paths.items()])
+def _parsed(rows, shape, *columns):
+    """Columns of JSON lines; shape: their fields. A line is read once."""
+    return rows.select(F.from_json("value", f"type string, id bigint, {shape}").alias("x")).select(F.col("x.type").alias("etype"), "x.id", *columns)
 
 
 @query(f", {_POINTS} SELECT * FROM boxes")
 def output_json_bounds(w):
-    rows = shapes.with_shapes(of_type(w, "way", "relation"), w)
-    return _parsed(output.json_lines(rows, "body", "bounds"), **{e: f"bounds.{e}" for e in _EDGES})
+    rows = shapes.with_bounds(of_type(w, "way", "relation"), w)
+    box = ", ".join(f"{e}: double" for e in _EDGES)
+    return _parsed(output.json_lines(rows, "body", "bounds"), f"bounds struct<{box}>", *[f"x.bounds.{e}" for e in _EDGES])
 
 
 @query(f", {_POINTS} SELECT etype, id, (minlat + maxlat) / 2 AS lat, (minlon + maxlon) / 2 AS lon FROM boxes UNION ALL SELECT 'node', id, lat, lon FROM node")
 def output_json_center(w):
-    found = output.json_lines(shapes.with_shapes(w, w), "tags", "center")
-    both_of = _parsed(found, lat="lat", lon="lon", center_lat="center.lat", center_lon="center.lon")
-    return both_of.select(*KEY, F.coalesce("lat", "center_lat").alias("lat"), F.coalesce("lon", "center_lon").alias("lon"))
+    found = output.json_lines(shapes.with_bounds(w, w), "tags", "center")
+    return _parsed(found, "lat double, lon double, center struct<lat: double, lon: double>", *[F.coalesce(f"x.{c}", f"x.center.{c}").alias(c) for c in ("lat", "lon")])
 
 
 @query("SELECT way AS id, '[' || string_agg('{\"lat\":' || lat || ',\"lon\":' || lon || '}', ',' ORDER BY pos) || ']' AS geometry, '[' || string_agg(ref, ',' ORDER BY pos) || ']' AS nodes FROM waynd JOIN node ON node.id = ref GROUP BY way")
@@ -144,12 +143,12 @@ def derive_relation_areas(w):
 @query(f""", len AS (SELECT way, sum({_STEP}) AS m FROM seg GROUP BY way) SELECT 'node' AS etype, id, 0.0::DOUBLE AS km FROM node UNION ALL SELECT 'way', id, round(coalesce(m, 0) / 1000, 2) FROM way LEFT JOIN len ON way = id UNION ALL
 SELECT 'relation', rel.id, round(coalesce(sum(m), 0) / 1000, 2) FROM rel LEFT JOIN member ON member.id = rel.id AND type = 'way' LEFT JOIN len ON way = ref GROUP BY rel.id""")
 def expression_length(w):
-    return shapes.with_shapes(w, w).select(*KEY, F.round(members.shape_metres() / 1000, 2).alias("km"))
+    return shapes.with_metres(w, w).select(*KEY, F.round(F.col("metres") / 1000, 2).alias("km"))
 
 
 @query(f", {_POINTS} SELECT etype, id, coalesce(printf('%.7f', (minlat + maxlat) / 2), 'NaN') AS lat, coalesce(printf('%.7f', (minlon + maxlon) / 2), 'NaN') AS lon FROM boxes UNION ALL SELECT 'node', id, printf('%.7f', lat), printf('%.7f', lon) FROM node")
 def expression_lat_lon(w):
-    return shapes.with_shapes(w, w).select(*KEY, members.lat().alias("lat"), members.lon().alias("lon"))
+    return shapes.with_bounds(w, w).select(*KEY, members.lat(None).alias("lat"), members.lon(None).alias("lon"))
 
 
 @query("""SELECT way AS id, string_agg(pos || ':' || printf('%.3f', lat), ';' ORDER BY pos) AS list FROM waynd x JOIN node ON node.id = ref
