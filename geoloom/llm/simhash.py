@@ -17,7 +17,10 @@ so no link is lost. Components come from rounds of star contraction, each writte
 
 `near_dedup` has settings of its own: sets of five-word shingles with a similarity of 0.8 or more. Such pairs differ in some
 ten bits of 64, out of reach of the Golay keys; several fingerprints are cut into many exact segments instead, and a pair
-that shares one links only if the Jaccard similarity of its shingle sets, counted in full, is high enough.
+that shares one links only if the Jaccard similarity of its shingle sets, counted in full, is high enough. Sets with many
+partners are never written as pairs: those that candidates connect are a cluster, and pairs are verified inside blocks of a
+cluster, to each of which its sets bring their shingles once; a block returns only edges that connect what was apart. Larger
+clusters first meet in parts; then only sets outside the largest component found so far meet all others.
 
 Null and empty texts have fingerprint zero, linked like any other. Texts shorter than a shingle are one shingle.
 Repeated rows are ties; of rows with one id and text, `near_dedup` keeps one. A null id counts only where a component
@@ -33,7 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +50,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift, bits
 STORED_UPTO = 8192
 #: Pairs that are compared at once.
 BLOCK = 1 << 21
+#: Sets of shingles, and bytes of them, of which all pairs are verified in one block.
+SETS_UPTO, BYTES_UPTO = 256, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -400,9 +405,11 @@ def _similar_rows(sketches: DataFrame, places: np.ndarray) -> DataFrame:
 def similar_sorted(batches: Iterator[pa.RecordBatch], most: int, whole: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) from rows (key, salt, side, set, fp, fp2, root) in this order. Side 0 stores, 1 looks, 2 does both.
 
-    Of each looking row its least and its nearest partner, and (a, a) where it has others; with `whole`, all its partners of another root.
+    Of each looking row its least and its nearest partner, and (a, a) where it has others; with `whole`, edges that connect all its partners of another root.
     """
     held: list[np.ndarray] | None = None
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
     for batch in batches:
         now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "salt", "side", "set", "fp", "fp2", "root")]
         if held is not None:
@@ -427,19 +434,24 @@ def similar_sorted(batches: Iterator[pa.RecordBatch], most: int, whole: bool = F
                 continue
             x, y, far = x[good], own[y[good]], far[good]
             if whole:
-                yield pa.RecordBatch.from_arrays([pa.array(own[x]), pa.array(y)], names=["a", "b"])
+                edges.append(_roots(own[x], y))
+                if sum(len(a) for a, _ in edges) > BLOCK >> 3:
+                    edges = [_roots(*(np.concatenate(e) for e in zip(*edges, strict=True)))]
+                    if len(edges[0][0]) > BLOCK >> 4:
+                        yield out(*edges.pop())
                 continue
             more = np.unique(own[x[2:][x[2:] == x[:-2]]])  # rows stand together: the third of a row is one too many
             pairs = [(more, more)]
             for order in (np.lexsort((y, x)), np.lexsort((y, far, x))):
                 first = order[np.r_[True, x[order][1:] != x[order][:-1]]]
                 pairs.append((own[x[first]], y[first]))
-            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield out(*(np.concatenate(p) for p in zip(*pairs, strict=True)))
         last = begin[-1]
         stay = np.flatnonzero(side[last:] != 1) + last
         held = [x[stay] for x in now]
         held[2] = np.zeros(len(stay), side.dtype)
+    if edges:
+        yield out(*_roots(*(np.concatenate(e) for e in zip(*edges, strict=True))))
 
 
 def _similar_found(sketches: DataFrame, places: np.ndarray, s: Similar, stored_upto: int, whole: bool) -> DataFrame:
@@ -479,7 +491,98 @@ def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     return with_x.join(shingles.select(F.col("_set").alias("v"), F.col("_shingles").alias("_y")), "v").select("u", "v", "_x", "_y").mapInArrow(run, "u long, v long")
 
 
-def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar) -> DataFrame:
+def block_links(side: np.ndarray, own: np.ndarray, root: np.ndarray, fps: np.ndarray, sets: list[bytes], s: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what similar pairs of a block connect and roots do not. Side 0 meets side 1, and rows of side 2 each other."""
+    size = np.array([len(x) >> 2 for x in sets])
+    _, code, times = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True, return_counts=True)
+    there = times[code] > 1  # a shingle of one set is in no pair
+    count = np.bincount(np.repeat(np.arange(len(size)), size)[there], minlength=len(size))
+    code, begin = code[there], np.cumsum(count) - count
+    label, marked = np.unique(root, return_inverse=True)[1], np.zeros(len(times), bool)
+    a, b = [], []
+    for x in np.flatnonzero(side != 1).tolist():
+        near = (label != label[x]) & (side == 1 if side[x] == 0 else np.arange(len(size)) > x) & (np.minimum(size, size[x]) >= s.least * np.maximum(size, size[x]) - 1e-9)
+        y = np.flatnonzero(near)
+        y = y[np.bitwise_count(fps[y] ^ fps[x]).sum(axis=1, dtype=np.int64) <= s.most_bits]
+        if not len(y):
+            continue
+        mine, n = code[begin[x] : begin[x] + count[x]], count[y]
+        marked[mine] = True
+        shared = np.r_[0, np.cumsum(marked[code[np.repeat(begin[y] - (np.cumsum(n) - n), n) + np.arange(n.sum())]])]
+        marked[mine] = False
+        both = shared[np.cumsum(n)] - shared[np.cumsum(n) - n]
+        y = y[both >= s.least * (size[x] + size[y] - both) - 1e-9]
+        if len(y):
+            met, first = np.unique(label[y], return_index=True)
+            a.append(np.full(len(first), own[x]))
+            b.append(own[y[first]])
+            label[np.isin(label, met)] = label[x]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def blocks_sorted(batches: Iterator[pa.RecordBatch], s: Similar) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of block_links from rows (cluster, i, j, side, _set, root, _fps, _shingles) that are sorted by the first three."""
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        side, own, root = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("side", "_set", "root"))
+        fps = np.frombuffer(b"".join(rows.column("_fps").to_pylist()), "<u8").reshape(len(own), -1)[:, :2]
+        a, b = block_links(side, own, root, fps, rows.column("_shingles").to_pylist(), s)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "i", "j")])
+        begin = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("cluster", "i", "j")] != key[:, 0].tolist():
+            yield run(pa.concat_batches(held))
+            held = []
+        for at, to in zip(begin, begin[1:], strict=False):
+            yield run(pa.concat_batches([*held, batch.slice(at, to - at)]))
+            held = []
+        held.append(batch.slice(begin[-1]))
+    if held:
+        yield run(pa.concat_batches(held))
+
+
+def _block_edges(rows: DataFrame, s: Similar) -> DataFrame:
+    columns = ["cluster", "i", "j", "side", "_set", "root", "_fps", "_shingles"]
+    dealt = rows.select(*columns).repartitionByRange("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return dealt.mapInArrow(lambda batches: blocks_sorted(batches, s), "u long, v long")
+
+
+def _chunks(sets_upto: int, where: Column) -> Column:
+    """How many chunks the rows of a group take for which a condition holds."""
+    return F.ceil(F.greatest(F.count_if(where) / sets_upto, F.coalesce(F.sum(F.when(where, F.length("_shingles"))), F.lit(0)) / BYTES_UPTO)).cast("int")
+
+
+def cluster_links(clustered: DataFrame, roots: DataFrame, s: Similar, sets_upto: int = SETS_UPTO) -> DataFrame:
+    """Edges (u, v) that connect all similar pairs inside clusters, from rows (cluster, _set, root, _fps, _shingles).
+
+    Every row first meets those of its chunk, which is all of most clusters. Of larger ones, the rows that are not in the
+    cluster's largest component then meet all rows, chunk by chunk; rows inside that component need no look at each other.
+    """
+    large = stored(clustered.groupBy("cluster").agg(_chunks(sets_upto, F.lit(True)).alias("parts")).filter("parts > 1"))
+    chunk = lambda parts: F.pmod(F.xxhash64("_set"), parts).cast("int")
+    first = clustered.join(F.broadcast(large), "cluster", "left").withColumn("i", chunk(F.coalesce("parts", F.lit(1)))).withColumns({"j": F.col("i"), "side": F.lit(2)})
+    found = stored(_block_edges(first, s))
+    if large.isEmpty():
+        return found
+    now = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)).withColumnsRenamed({"node": "_set", "root": "now"})
+    rows = clustered.join(F.broadcast(large.select("cluster")), "cluster", "left_semi").join(now, "_set", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+    most = rows.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    rows = stored(rows.join(F.broadcast(most), "cluster").withColumn("inner", F.col("root") == F.col("most")))
+    sizes = rows.groupBy("cluster").agg(_chunks(sets_upto, ~F.col("inner")).alias("outer_parts"), _chunks(sets_upto, F.col("inner")).alias("inner_parts")).filter("outer_parts > 0")
+    outer, inner = F.col("outer_parts"), F.col("inner_parts")
+    rows = rows.join(F.broadcast(sizes), "cluster").withColumn("own", F.when(F.col("inner"), outer + chunk(inner)).otherwise(chunk(outer)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inner"), outer).otherwise(outer + inner) - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)})
+    return found.unionAll(_block_edges(rows, s))
+
+
+def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar, sets_upto: int = SETS_UPTO) -> DataFrame:
     """(node, root) of sets that verified pairs connect; texts: (_row, text) of all rows, of which only those that pairs name are cut into shingles. Pairs inside a component that others connect already need no look at their shingles."""
     places = key_places(sketches.count(), s)
     found = stored(_similar_found(sketches, places, s, STORED_UPTO, False))
@@ -490,12 +593,16 @@ def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar) -> Dat
     one = verified(pairs.groupBy("u").agg(F.min("v").alias("v")), shingles, s.least)
     roots = components(one.select(F.col("u").alias("a"), F.col("v").alias("b")))
     to = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    of = lambda side: crowded.select(F.col("_set").alias(side), F.lit(True).alias(f"{side}_crowded"))
     apart = pairs.join(to("u"), "u", "left").join(to("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    apart = apart.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("u_crowded IS NULL OR v_crowded IS NULL").select("u", "v")
     # a pair that neither side named has two sides with further partners: all pairs among these, but for those that are connected already
-    full = sketches.join(crowded, "_set", "left_semi").join(roots, F.col("_set") == F.col("node"), "left").select("_set", "_fps", F.coalesce("root", "_set").alias("root"))
-    rest = _similar_found(stored(full), places, s, STORED_UPTO, True)
-    more = verified(stored(apart.select("u", "v").unionAll(rest).distinct()), shingles, s.least)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more.select("u", "v")))
+    full = stored(sketches.join(crowded, "_set", "left_semi").join(roots, F.col("_set") == F.col("node"), "left").select("_set", "_fps", F.coalesce("root", "_set").alias("root")))
+    clusters = components(_similar_found(full, places, s, STORED_UPTO, True).toDF("a", "b"))
+    inside = clusters.select(F.col("node").alias("_set"), F.col("root").alias("cluster"))
+    inside = inside.unionAll(inside.select(F.col("cluster").alias("_set"), "cluster").distinct())
+    more = cluster_links(stored(full.join(inside, "_set").join(shingles, "_set")), roots, s, sets_upto)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified(apart, shingles, s.least)).unionAll(more))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Similar | None = None) -> DataFrame:
