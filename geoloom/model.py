@@ -33,6 +33,28 @@ def typed(df: DataFrame, etype: str) -> DataFrame:
     return df
 
 
+#: The memberships of frames of one type as rows, of their elements and maybe of others.
+_LINKS: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
+
+
+def linked(df: DataFrame, links: DataFrame | None) -> DataFrame:
+    """df of one type, noted with memberships (id, type, ref, role) in any order, repeats and other ids allowed: steps without a need of order read them, and no lists are made."""
+    if links is not None:
+        _LINKS[df] = links
+    return df
+
+
+def links_of(df: DataFrame) -> DataFrame | None:
+    """The noted memberships of a frame, those of elements that it has not included; None if none are noted."""
+    return _LINKS.get(df)
+
+
+def among(df: DataFrame, ids: DataFrame, etype: str) -> DataFrame:
+    """The elements of one type with any of the ids; what is known of them stays known."""
+    own = of_type(df, etype)
+    return linked(typed(own.join(ids.select("id"), "id", "left_semi").select(*df.columns), etype), links_of(own))
+
+
 def _parts(df: DataFrame) -> dict[str, DataFrame]:
     return {t: df if one is None else one for t, one in _TYPES[df].items()}
 
@@ -46,7 +68,7 @@ def pick(df: DataFrame, condition: Column | str) -> DataFrame:
     """The elements for which a condition holds; what is known of the types stays known."""
     if df not in _TYPES:
         return df.filter(condition)
-    some = [typed(one.filter(condition), t) for t, one in _parts(df).items()]
+    some = [linked(typed(one.filter(condition), t), links_of(one)) for t, one in _parts(df).items()]
     return both(*some) if some else df
 
 

@@ -1,7 +1,7 @@
 """Traversals along membership: from parents down to members, from members up to parents, and both closures.
 
 Results are distinct elements; a traversal is a semi-join on exploded membership rows. `world` has all elements. Steps
-work on (etype, id) alone: a set of keys that several steps use is written once (`kept`), and whole rows are fetched at the end.
+work on (etype, id) alone, and on memberships as rows where a source notes them: a set of keys that several steps use is written once (`kept`), and whole rows are fetched at the end.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEY, both, of_type, typed, types_of
+from ..model import KEY, among, both, links_of, of_type, typed, types_of
 from ..shared import stored
 
 
@@ -22,6 +22,16 @@ def edges(df: DataFrame, role: str | None = None) -> DataFrame:
     return nodes.unionByName(members)
 
 
+def _links(df: DataFrame, of: str, role: str | None = None, every: bool = False) -> DataFrame:
+    """(etype, id, type, ref, role) of the elements of one type, repeats allowed: from noted rows if there are any. every: rows of other ids may be among them."""
+    own = of_type(df, of)
+    rows = links_of(own)
+    if rows is None:
+        return edges(own, role).drop("pos")
+    rows = (rows if role is None else rows.filter(F.col("role") == role)).select(F.lit(of).alias("etype"), "id", "type", "ref", "role")
+    return rows if every else rows.join(own.select("id"), "id", "left_semi")
+
+
 def _fetch(world: DataFrame, keys: DataFrame) -> DataFrame:
     """The elements with these (etype, id)."""
     types = types_of(world)
@@ -42,15 +52,15 @@ def kept(df: DataFrame) -> DataFrame:
 
 def members(world: DataFrame, parents: DataFrame, types: tuple[str, ...], role: str | None = None, of: str = "relation") -> DataFrame:
     """Members of given types of the parents of one type."""
-    found = edges(of_type(parents, of), role).filter(F.col("type").isin(*types)).select(F.col("type").alias("etype"), F.col("ref").alias("id"))
+    found = _links(parents, of, role).filter(F.col("type").isin(*types)).select(F.col("type").alias("etype"), F.col("ref").alias("id"))
     return _fetch(of_type(world, *types), found)
 
 
 def way_nodes(world: DataFrame, ways: DataFrame, positions: tuple[int, ...] = ()) -> DataFrame:
     """Nodes of ways, or those at given places: from 1 on, from -1 backwards; 0 stands for none."""
-    rows = of_type(ways, "way").select(F.size("nds").alias("n"), F.posexplode("nds").alias("pos", "ref"))
+    rows = _links(ways, "way")
     if positions:
-        rows = rows.filter(_at(positions, F.col("pos") + 1, F.col("n")))
+        rows = of_type(ways, "way").select(F.size("nds").alias("n"), F.posexplode("nds").alias("pos", "ref")).filter(_at(positions, F.col("pos") + 1, F.col("n")))
     return _fetch(of_type(world, "node"), rows.select(F.lit("node").alias("etype"), F.col("ref").alias("id")))
 
 
@@ -87,7 +97,7 @@ def parents(world: DataFrame, children: DataFrame, of: str, child: str, role: st
 def parent_keys(world: DataFrame, children: DataFrame, of: str, role: str | None = None, positions: tuple[int, ...] = ()) -> DataFrame:
     """The keys of ways or relations with any of the children as a member: one pass over the memberships of that type."""
     own = of_type(world, of)
-    rows = edges(own, role)
+    rows = _links(own, of, role, every=True)
     if positions and of == "way":
         rows = own.select(*KEY, F.size("nds").alias("n"), F.posexplode("nds").alias("pos", "ref"), F.lit("node").alias("type")).filter(_at(positions, F.col("pos") + 1, F.col("n")))
     known = types_of(children)
@@ -95,7 +105,8 @@ def parent_keys(world: DataFrame, children: DataFrame, of: str, role: str | None
         met = rows.filter(F.col("type") == known[0]).join(children.select(F.col("id").alias("ref")), "ref", "left_semi")
     else:
         met = rows.join(children.select(F.col("etype").alias("type"), F.col("id").alias("ref")), ["type", "ref"], "left_semi")
-    return typed(met.select(*KEY).distinct(), of)
+    found = met.select(*KEY).distinct()
+    return typed(found if links_of(own) is None else found.join(own.select("id"), "id", "left_semi").select(*KEY), of)
 
 
 def distinct(df: DataFrame) -> DataFrame:
@@ -113,8 +124,8 @@ def _keys(of: str, *sets: DataFrame) -> DataFrame:
 def down(world: DataFrame, df: DataFrame) -> DataFrame:
     """Ways of the relations, and the nodes of these ways, of the ways and of the relations; the start itself is not returned."""
     ways = _keys("way", members(world, df, ("way",)))
-    sources = of_type(world, "way").join(_keys("way", ways, df).select("id"), "id", "left_semi").select(*world.columns)
-    nodes = _keys("node", way_nodes(world, typed(sources, "way")), members(world, df, ("node",)))
+    sources = among(world, _keys("way", ways, df), "way")
+    nodes = _keys("node", way_nodes(world, sources), members(world, df, ("node",)))
     return both(_fetch(of_type(world, "way"), ways), _fetch(of_type(world, "node"), nodes))
 
 
@@ -132,14 +143,14 @@ def closure(start: DataFrame, step: DataFrame, most_rounds: int = 1000) -> DataF
 
 
 def _relation_steps(world: DataFrame) -> DataFrame:
-    rows = of_type(world, "relation").select(F.col("id").alias("source"), F.explode("members").alias("m")).filter(F.col("m.type") == "relation")
-    return rows.select("source", F.col("m.ref").alias("target")).distinct()
+    rows = _links(world, "relation").filter(F.col("type") == "relation")
+    return rows.select(F.col("id").alias("source"), F.col("ref").alias("target")).distinct()
 
 
 def down_all(world: DataFrame, df: DataFrame) -> DataFrame:
     """Relations reached by any number of steps, the start included; their ways; and nodes of those, of the start's ways and of the relations."""
     ids = stored(closure(of_type(df, "relation"), stored(_relation_steps(world), "steps")), "closure")
-    relations = typed(of_type(world, "relation").join(ids, "id", "left_semi").select(*world.columns), "relation")
+    relations = among(world, ids, "relation")
     own = of_type(df, "way")
     return both(relations, down(world, both(relations, own)))
 

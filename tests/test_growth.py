@@ -65,3 +65,22 @@ def test_bounds_lengths_and_turns_without_lists_of_places(spark):
     assert all(boxes[k].bounds == listed[k].bounds and abs(lengths[k].metres - listed[k].metres) < 1e-6 for k in listed)
     turned = shapes.turns(w.filter("etype = 'way'"), w.filter("etype = 'node'")).collect()
     assert [(r.id, r.pos) for r in sorted(turned)] == [(1, 1), (1, 2), (1, 3)] and all(abs(abs(r.turn) - 90) < 3 for r in turned)
+
+
+def test_traversals_read_memberships_as_rows(spark):
+    """No lists of nodes or members are made for steps that need no order; elements that are missing have no members."""
+    from geoloom.model import both, links_of, of_type, pick
+    from geoloom.operators import traverse
+    from geoloom.sources import star
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    w = star.world(spark, "/root/testdata/sf0.001")
+    some = pick(of_type(w, "way"), "id % 7 = 0")
+    assert "collect_list" not in plan(traverse.way_nodes(w, some).select("id")) and "collect_list" not in plan(traverse.parent_keys(w, some, "relation"))
+    bare = both(*[x.filter("id % 3 > 0").transform(lambda y, t=t: elements(y, t)) for t in ("node", "way", "relation") for x in [of_type(w, t)]])
+    assert links_of(of_type(bare, "way")) is None
+    thin = pick(w, "id % 3 > 0")
+    for step in (traverse.down, traverse.up, traverse.down_all, traverse.up_all):
+        rows = lambda x: sorted(tuple(r) for r in step(x, pick(x, "id % 5 = 1")).select("etype", "id").collect())  # noqa: B023, E731
+        found = rows(thin)
+        assert found == rows(bare) and found
