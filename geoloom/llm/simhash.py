@@ -17,10 +17,11 @@ so no link is lost. Components come from rounds of star contraction, each writte
 
 `near_dedup` has settings of its own: sets of five-word shingles with a similarity of 0.8 or more. Such pairs differ in some
 ten bits of 64, out of reach of the Golay keys; several fingerprints are cut into many exact segments instead, and a pair
-that shares one links only if the Jaccard similarity of its shingle sets, counted in full, is high enough. Sets with many
-partners are never written as pairs: those that candidates connect are a cluster, and pairs are verified inside blocks of a
-cluster, to each of which its sets bring their shingles once; a block returns only edges that connect what was apart. Larger
-clusters first meet in parts; then only sets outside the largest component found so far meet all others.
+that shares one links only if the Jaccard similarity of its shingle sets, counted in full, is high enough. A set is written
+with two partners at most. Sets with more are written with one, and their other pairs never as rows: those that candidates
+connect are a cluster, and pairs are verified inside blocks of a cluster, to each of which its sets bring their shingles once;
+a block returns only edges that connect what was apart. Larger clusters first meet in parts; then only sets outside the
+largest component found so far meet all others.
 
 Null and empty texts have fingerprint zero, linked like any other. Texts shorter than a shingle are one shingle.
 Repeated rows are ties; of rows with one id and text, `near_dedup` keeps one. A null id counts only where a component
@@ -37,6 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +54,8 @@ STORED_UPTO = 8192
 BLOCK = 1 << 21
 #: Sets of shingles, and bytes of them, of which all pairs are verified in one block.
 SETS_UPTO, BYTES_UPTO = 256, 1 << 22
+#: Partners of a set that are verified as pairs; sets with more are crowded.
+PARTNERS_UPTO = 2
 
 
 @dataclass(frozen=True)
@@ -403,22 +407,22 @@ def _similar_rows(sketches: DataFrame, places: np.ndarray) -> DataFrame:
 
 
 def similar_sorted(batches: Iterator[pa.RecordBatch], most: int, whole: bool = False) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows (key, salt, side, set, fp, fp2, root) in this order. Side 0 stores, 1 looks, 2 does both.
+    """Pairs (a, b, many) from rows (key, salt, side, set, fp, fp2, root) in this order. Side 0 stores, 1 looks, 2 does both.
 
-    Of each looking row its least and its nearest partner, and (a, a) where it has others; with `whole`, edges that connect all its partners of another root.
+    Of each looking row a all its partners b, or where they are more than PARTNERS_UPTO its least one, marked; with `whole`, edges (a, b) that connect all its partners of another root.
     """
+    names = ("key", "salt", "side", "set", "fp", "fp2", "root")
     held: list[np.ndarray] | None = None
     edges: list[tuple[np.ndarray, np.ndarray]] = []
-    out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-    for batch in batches:
-        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "salt", "side", "set", "fp", "fp2", "root")]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+    out = lambda *x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "many"][: len(x)])
+
+    def found(now: list[np.ndarray], last: int) -> Iterator[pa.RecordBatch]:
+        """Of the rows whose group is whole: those of side 1, and those of side 2 before the row `last`."""
         key, salt, side, own, fp, fp2, root = now
         edge = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
         begin, group = np.flatnonzero(edge), np.cumsum(edge) - 1
         each = np.add.reduceat((side != 1).astype(np.int64), begin)[group]
-        looking = np.flatnonzero((side != 0) & (each > 0))
+        looking = np.flatnonzero((side != 0) & (each > 0) & ((side == 1) | (np.arange(len(key)) < last)))
         each = each[looking]
         ends, at = np.cumsum(each), 0
         while at < len(looking):
@@ -432,30 +436,38 @@ def similar_sorted(batches: Iterator[pa.RecordBatch], most: int, whole: bool = F
             good = np.flatnonzero((far <= most) & (root[x] != root[y]))
             if not len(good):
                 continue
-            x, y, far = x[good], own[y[good]], far[good]
+            x, y = x[good], own[y[good]]
             if whole:
                 edges.append(_roots(own[x], y))
                 if sum(len(a) for a, _ in edges) > BLOCK >> 3:
-                    edges = [_roots(*(np.concatenate(e) for e in zip(*edges, strict=True)))]
+                    edges[:] = [_roots(*(np.concatenate(e) for e in zip(*edges, strict=True)))]
                     if len(edges[0][0]) > BLOCK >> 4:
                         yield out(*edges.pop())
                 continue
-            more = np.unique(own[x[2:][x[2:] == x[:-2]]])  # rows stand together: the third of a row is one too many
-            pairs = [(more, more)]
-            for order in (np.lexsort((y, x)), np.lexsort((y, far, x))):
-                first = order[np.r_[True, x[order][1:] != x[order][:-1]]]
-                pairs.append((own[x[first]], y[first]))
-            yield out(*(np.concatenate(p) for p in zip(*pairs, strict=True)))
-        last = begin[-1]
-        stay = np.flatnonzero(side[last:] != 1) + last
-        held = [x[stay] for x in now]
-        held[2] = np.zeros(len(stay), side.dtype)
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])  # rows stand together
+            count = np.diff(np.r_[first, len(x)])
+            many, few = count > PARTNERS_UPTO, np.repeat(count <= PARTNERS_UPTO, count)
+            a, b = np.r_[own[x[first[many]]], own[x[few]]], np.r_[np.minimum.reduceat(y, first)[many], y[few]]
+            yield out(a, b, np.arange(len(a)) < many.sum())
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        before = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+        last = int(before[-1]) + 1 if len(before) else 0  # the last group may go on in the next batch
+        yield from found(now, last)
+        held = [x[last:][now[2][last:] != 1] for x in now]
+    if held is not None and len(held[0]):
+        yield from found(held, len(held[0]))
     if edges:
         yield out(*_roots(*(np.concatenate(e) for e in zip(*edges, strict=True))))
 
 
 def _similar_found(sketches: DataFrame, places: np.ndarray, s: Similar, stored_upto: int, whole: bool) -> DataFrame:
-    """Distinct (u, v), u >= v, of what similar_sorted returns for sets that share a key, and have `root` where `whole` asks for it."""
+    """What similar_sorted returns for sets that share a key, each pair once: (a, b, many), or with `whole`, for which sketches have `root`, (u, v), u > v."""
     hot = _similar_rows(sketches, places).groupBy("key").count().filter(F.col("count") > stored_upto).select("key", F.ceil(F.col("count") / stored_upto).cast("int").alias("chunks"))
     rows = _similar_rows(sketches, places).join(F.broadcast(hot), "key", "left")
     deal = lambda salt, side: F.struct(salt.cast("int").alias("salt"), F.lit(side).cast("byte").alias("side"))
@@ -465,14 +477,29 @@ def _similar_found(sketches: DataFrame, places: np.ndarray, s: Similar, stored_u
     rows = rows.select("key", dealt.alias("d"), "set", "fp", "fp2", *(["root"] if whole else [])).select("key", "d.salt", "d.side", "set", "fp", "fp2", *(["root"] if whole else []))
     most = s.most_bits
     sorted_rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side")
-    found = sorted_rows.withColumn("root", F.col("root" if whole else "set")).mapInArrow(lambda batches: similar_sorted(batches, most, whole), "a long, b long")
-    return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    found = sorted_rows.withColumn("root", F.col("root" if whole else "set")).mapInArrow(lambda batches: similar_sorted(batches, most, whole), "a long, b long" + ("" if whole else ", many boolean"))
+    return _undirected(found) if whole else found.groupBy("a", "b").agg(F.max("many").alias("many"))
+
+
+def _undirected(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def similar_partners(sketches: DataFrame, places: np.ndarray, s: Similar, stored_upto: int = STORED_UPTO) -> DataFrame:
+    """(_set, partners, crowded) of sets with a partner: those that share a key and whose first two fingerprints are near. A crowded set has one, its least of those that a key with many has shown."""
+    first = F.row_number().over(W.partitionBy("a").orderBy(F.desc("many"), "b"))  # ranks above the limit are dropped before the shuffle, too
+    few = _similar_found(sketches, places, s, stored_upto, False).withColumn("place", first).filter(F.col("place") <= PARTNERS_UPTO + 1)
+    of = few.groupBy(F.col("a").alias("_set")).agg(F.collect_list("b").alias("partners"), (F.bool_or("many") | (F.count("*") > PARTNERS_UPTO)).alias("crowded"), F.min_by("b", "place").alias("least"))
+    return of.select("_set", F.when(F.col("crowded"), F.array("least")).otherwise(F.col("partners")).alias("partners"), "crowded")
+
+
+def _pairs_of(partners: DataFrame) -> DataFrame:
+    return _undirected(partners.select(F.col("_set").alias("a"), F.explode("partners").alias("b")))
 
 
 def similar_pairs(sketches: DataFrame, s: Similar, stored_upto: int = STORED_UPTO) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of sets that share a key and whose first two fingerprints are near, for each set in a key its least and its nearest partner; similarity is not yet verified."""
-    places = key_places(sketches.count(), s)
-    return _similar_found(sketches, places, s, stored_upto, False).filter("u > v")
+    """Distinct pairs (u, v), u > v, of sets with their partners; similarity is not yet verified."""
+    return _pairs_of(similar_partners(sketches, key_places(sketches.count(), s), s, stored_upto))
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
@@ -583,26 +610,20 @@ def cluster_links(clustered: DataFrame, roots: DataFrame, s: Similar, sets_upto:
 
 
 def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar, sets_upto: int = SETS_UPTO) -> DataFrame:
-    """(node, root) of sets that verified pairs connect; texts: (_row, text) of all rows, of which only those that pairs name are cut into shingles. Pairs inside a component that others connect already need no look at their shingles."""
+    """(node, root) of sets that verified pairs connect; texts: (_row, text) of all rows, of which only those with partners are cut into shingles. Of crowded sets, pairs inside a component that others connect already need no look at their shingles."""
     places = key_places(sketches.count(), s)
-    found = stored(_similar_found(sketches, places, s, STORED_UPTO, False))
-    pairs, crowded = found.filter("u > v"), found.filter("u = v").select(F.col("u").alias("_set"))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("_set")).distinct()
-    named = sketches.select("_set", "_row").join(ends, "_set", "left_semi")
+    partners = stored(similar_partners(sketches, places, s))
+    named = sketches.select("_set", "_row").join(partners, "_set", "left_semi")
     shingles = stored(_with_shingles(texts.join(named, "_row"), s))
-    one = verified(pairs.groupBy("u").agg(F.min("v").alias("v")), shingles, s.least)
-    roots = components(one.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    to = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    of = lambda side: crowded.select(F.col("_set").alias(side), F.lit(True).alias(f"{side}_crowded"))
-    apart = pairs.join(to("u"), "u", "left").join(to("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
-    apart = apart.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("u_crowded IS NULL OR v_crowded IS NULL").select("u", "v")
-    # a pair that neither side named has two sides with further partners: all pairs among these, but for those that are connected already
+    roots = components(verified(_pairs_of(partners), shingles, s.least).toDF("a", "b"))
+    # a set that is not crowded has brought all its pairs; what is left has two crowded sides: all pairs among these, but for those that are connected already
+    crowded = partners.filter("crowded").select("_set")
     full = stored(sketches.join(crowded, "_set", "left_semi").join(roots, F.col("_set") == F.col("node"), "left").select("_set", "_fps", F.coalesce("root", "_set").alias("root")))
     clusters = components(_similar_found(full, places, s, STORED_UPTO, True).toDF("a", "b"))
     inside = clusters.select(F.col("node").alias("_set"), F.col("root").alias("cluster"))
     inside = inside.unionAll(inside.select(F.col("cluster").alias("_set"), "cluster").distinct())
     more = cluster_links(stored(full.join(inside, "_set").join(shingles, "_set")), roots, s, sets_upto)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified(apart, shingles, s.least)).unionAll(more))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Similar | None = None) -> DataFrame:
