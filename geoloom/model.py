@@ -49,6 +49,21 @@ def links_of(df: DataFrame) -> DataFrame | None:
     return _LINKS.get(df)
 
 
+#: The nodes of frames of ways as rows that have their order and number, too.
+_LISTED: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
+
+
+def listed(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ways, noted with their nodes (id, at, ref), each as often as the list has it and in the order of `at`; ids of other ways are allowed."""
+    _LISTED[df] = rows
+    return df
+
+
+def nodes_of(ways: DataFrame) -> DataFrame:
+    """(id, at, ref) of the nodes of ways: the noted rows, maybe with ids of other ways, or those of the lists."""
+    return _LISTED[ways] if ways in _LISTED else ways.select("id", F.posexplode("nds").alias("at", "ref"))
+
+
 def among(df: DataFrame, ids: DataFrame, etype: str) -> DataFrame:
     """The elements of one type with any of the ids; what is known of them stays known."""
     own = of_type(df, etype)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..model import RANK, degrees, tag
+from ..model import RANK, degrees, nodes_of, of_type, tag
 from ..shared import stored
 
 LEVELS = {
@@ -198,7 +198,7 @@ def _place_attributes(p: Column) -> Column:
 
 
 def _xml_element(get, detail: str, shape: str | None = None) -> Column:
-    """The text of one element; get(name) is the column that holds a property."""
+    """The text of one element; get(name) is the column that holds a property. shape `made`: of a relation whose `_box` and text of `_members` are columns."""
     shown = LEVELS[detail]
     node = F.col("etype") == "node"
     e7 = F.struct(degrees(get("lat_e7")).alias("lat"), degrees(get("lon_e7")).alias("lon")) if "lat_e7" in shown or shape else None
@@ -208,13 +208,15 @@ def _xml_element(get, detail: str, shape: str | None = None) -> Column:
     if "version" in shown:
         head += [_attribute("version", get("version")), _attribute("timestamp", stamp(get("ts"))), _attribute("changeset", get("changeset")), _attribute("uid", get("uid")), _attribute("user", get("user"))]
     inner = []
-    if shape in ("bounds", "geometry"):
-        box = g.bounds(get("points"))
+    if shape in ("bounds", "geometry", "made"):
+        box = get("_box") if shape == "made" else g.bounds(get("points"))
         inner.append(F.when(~node & box.isNotNull(), F.concat(F.lit("<bounds"), *[_attribute(n, F.format_string("%.7f", box[n])) for n in ("minlat", "minlon", "maxlat", "maxlon")], F.lit("/>"))))
     elif shape == "center":
         middle = g.center(g.bounds(get("points")))
         inner.append(F.when(~node & middle["lat"].isNotNull(), F.concat(F.lit("<center"), _place_attributes(middle), F.lit("/>"))))
-    if "nds" in shown:
+    if "nds" in shown and shape == "made":
+        inner.append(get("_members"))
+    elif "nds" in shown:
         line = F.get(get("shapes"), F.lit(0)) if shape == "geometry" else None
         at = (lambda i: _place_attributes(F.get(line, i))) if line is not None else (lambda i: F.lit(""))
         inner.append(F.array_join(F.transform(get("nds"), lambda n, i: F.concat(F.lit('<nd ref="'), n.cast("string"), F.lit('"'), at(i), F.lit("/>"))), ""))
@@ -238,6 +240,28 @@ def xml_lines(df: DataFrame, detail: str = "body", shape: str | None = None) ->
     return df.select(_xml_element(F.col, detail, shape).alias("value"))
 
 
+def xml_relations(df: DataFrame, world: DataFrame, detail: str = "body") -> DataFrame:
+    """The lines that xml_lines gives for the relations of shapes.with_shapes with `geometry`: places and members become texts as rows, and no list of places is made."""
+    own, nodes, ways = of_type(df, "relation"), of_type(world, "node"), of_type(world, "way")
+    sides = {"minlat": ("lat_e7", F.min), "minlon": ("lon_e7", F.min), "maxlat": ("lat_e7", F.max), "maxlon": ("lon_e7", F.max)}
+    joined = lambda text: F.array_join(F.sort_array(F.collect_list(F.struct("pos", text.alias("x"))))["x"], "")
+    at = nodes.select(F.col("id").alias("ref"), "lat_e7", "lon_e7", _place_attributes(F.struct(degrees(F.col("lat_e7")).alias("lat"), degrees(F.col("lon_e7")).alias("lon"))).alias("at"))
+    edges = own.select("id", F.posexplode("members").alias("pos", "m")).select("id", "pos", "m.*")
+    of = lambda t: edges.filter(F.col("type") == t)
+    used = ways.select("id").join(of("way").select(F.col("ref").alias("id")), "id", "left_semi")
+    lines = nodes_of(ways).select("id", F.col("at").alias("pos"), "ref").join(used, "id", "left_semi").join(at, "ref").groupBy(F.col("id").alias("ref")).agg(joined(F.concat(F.lit("<nd"), F.col("at"), F.lit("/>"))).alias("at"), *[f(c).alias(n) for n, (c, f) in sides.items()])
+    named = F.concat(F.lit('<member type="'), F.col("type"), F.lit('" ref="'), F.col("ref").cast("string"), F.lit('" role="'), escape(F.col("role")), F.lit('"'))
+    found = [
+        (of("node").join(at, "ref", "left"), F.concat(named, F.coalesce("at", F.lit("")), F.lit("/>")), {n: F.col(c) for n, (c, _) in sides.items()}),
+        (of("way").join(lines, "ref", "left"), F.when(F.col("at").isNotNull(), F.concat(named, F.lit(">"), F.col("at"), F.lit("</member>"))).otherwise(F.concat(named, F.lit("/>"))), {n: F.col(n) for n in sides}),
+        (edges.filter("type NOT IN ('node', 'way')"), F.concat(named, F.lit("/>")), {n: F.lit(None).cast("bigint") for n in sides}),
+    ]
+    texts = reduce(DataFrame.unionByName, [rows.select("id", "pos", text.alias("text"), *[c.alias(n) for n, c in box.items()]) for rows, text, box in found])
+    made = texts.groupBy("id").agg(joined(F.col("text")).alias("_members"), *[f(n).alias(n) for n, (_, f) in sides.items()])
+    box = F.when(F.col("minlat").isNotNull(), F.struct(*[degrees(F.col(n)).alias(n) for n in sides]))
+    return own.join(made, "id", "left").withColumn("_box", box).select(_xml_element(F.col, detail, "made").alias("value"))
+
+
 def xml_diff_lines(found: DataFrame, detail: str = "body", augmented: bool = False) -> DataFrame:
     """One action per row of history.difference: create shows the new state, modify both, delete the old one.
 

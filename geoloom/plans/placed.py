@@ -80,7 +80,7 @@ shown AS (SELECT m.id, m.type, m.ref, m.role, '<member type="' || m.type || '" r
 SELECT '<relation id="' || b.id || '"' || CASE WHEN list IS NULL AND minlat IS NULL THEN '/>' ELSE '>' || coalesce('<bounds minlat="' || printf('%.7f', minlat) || '" minlon="' || printf('%.7f', minlon) || '" maxlat="' || printf('%.7f', maxlat) || '" maxlon="' || printf('%.7f', maxlon) || '"/>', '') || coalesce(list, '') || '</relation>' END AS value
 FROM boxes b LEFT JOIN (SELECT id, string_agg(x, '' ORDER BY type, ref, role) AS list FROM shown GROUP BY id) l ON l.id = b.id WHERE etype = 'relation'""")
 def output_xml_geometry(w):
-    return output.xml_lines(shapes.with_shapes(_relations(w), w), "skel", "geometry")
+    return output.xml_relations(_relations(w), w, "skel")
 
 
 @query("SELECT '<way id=\"' || id || '\"' || coalesce('><center lat=\"' || printf('%.7f', lat) || '\" lon=\"' || printf('%.7f', lon) || '\"/></way>', '/>') AS value FROM way LEFT JOIN (SELECT way, (min(lat) + max(lat)) / 2 AS lat, (min(lon) + max(lon)) / 2 AS lon FROM waynd JOIN node ON node.id = ref GROUP BY way) b ON b.way = id")

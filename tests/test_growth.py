@@ -2,6 +2,7 @@
 
 from geoloom.model import both, elements
 from geoloom.operators import filters, shapes
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -84,3 +85,30 @@ def test_traversals_read_memberships_as_rows(spark):
         rows = lambda x: sorted(tuple(r) for r in step(x, pick(x, "id % 5 = 1")).select("etype", "id").collect())  # noqa: B023, E731
         found = rows(thin)
         assert found == rows(bare) and found
+
+
+def test_relations_as_xml_without_lists_of_places(spark):
+    """The lines of xml_lines with places, for members of all types, without places, names or elements, and for ways that nothing is noted of."""
+    from geoloom.model import nodes_of, of_type, pick
+    from geoloom.operators import output
+    from geoloom.plans.placed import QUERIES
+    from geoloom.sources import star
+
+    w = _grid(spark)
+    bare = elements(spark.createDataFrame([(90010, None, None)], "id long, lat_e7 long, lon_e7 long"), "node")
+    lines = elements(spark.createDataFrame([(4, [90010, 90006, 90006]), (5, [90010]), (6, []), (7, [77])], "id long, nds array<long>"), "way")
+    kinds = [("way", 4, "a&b"), ("way", 1, ""), ("node", 90007, '"'), ("node", 90010, ""), ("node", 77, ""), ("way", 5, ""), ("way", 6, ""), ("way", 7, ""), ("way", 78, ""), ("relation", 5, "x"), ("way", 4, ""), ("way", 2, None), (None, 1, "")]
+    relations = elements(spark.createDataFrame([(5, kinds, [("k", "<v>")]), (6, [], []), (7, None, []), (8, kinds[6:8], [])], "id long, members array<struct<type:string,ref:long,role:string>>, tags array<struct<k:string,v:string>>"), "relation")
+    w = both(w, bare, lines, relations)
+    thin = pick(star.world(spark, "/root/testdata/sf0.001"), "id % 3 > 0")
+    for world in (w, thin):
+        own = of_type(world, "relation")
+        for detail in ("ids", "skel", "body", "meta"):
+            rows = lambda df: sorted(r.value for r in df.collect())
+            assert rows(output.xml_relations(own, world, detail)) == rows(output.xml_lines(shapes.with_shapes(own, world), detail, "geometry"))
+    ways = of_type(star.world(spark, "/root/testdata/sf0.001"), "way")
+    listed = ways.select("id", F.posexplode("nds").alias("pos", "ref"))
+    numbered = nodes_of(ways).select("id", (F.row_number().over(W.partitionBy("id").orderBy("at")) - 1).alias("pos"), "ref")
+    assert listed.exceptAll(numbered).isEmpty() and numbered.exceptAll(listed).isEmpty()
+    plan = QUERIES["output_xml_geometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
