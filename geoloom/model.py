@@ -49,12 +49,12 @@ def links_of(df: DataFrame) -> DataFrame | None:
     return _LINKS.get(df)
 
 
-#: The nodes of frames of ways as rows that have their order and number, too.
+#: The nodes of frames of ways, and the members of frames of relations, as rows that have their order and number, too.
 _LISTED: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
 
 
 def listed(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """Ways, noted with their nodes (id, at, ref), each as often as the list has it and in the order of `at`; ids of other ways are allowed."""
+    """Ways, noted with their nodes (id, at, ref), or relations with their members (id, at, type, ref, role), each as often as the list has it and in the order of `at`; ids of other elements are allowed."""
     _LISTED[df] = rows
     return df
 
@@ -64,6 +64,20 @@ def nodes_of(ways: DataFrame) -> DataFrame:
     return _LISTED[ways] if ways in _LISTED else ways.select("id", F.posexplode("nds").alias("at", "ref"))
 
 
+def members_of(relations: DataFrame) -> DataFrame:
+    """(id, at, type, ref, role) of the members of relations: the noted rows, maybe with ids of other relations, or those of the lists."""
+    return _LISTED[relations] if relations in _LISTED else relations.select("id", F.posexplode("members").alias("at", "m")).select("id", "at", "m.*")
+
+
+def ends_of(ways: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, first, last): the end nodes of the ways that have any; with ids, of these ways alone."""
+    some = lambda rows: rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
+    if ways not in _LISTED:
+        return some(ways.select("id", "nds")).filter(F.size("nds") > 0).select("id", F.get("nds", F.lit(0)).alias("first"), F.get("nds", F.size("nds") - 1).alias("last"))
+    ends = some(_LISTED[ways]).groupBy("id").agg(F.min_by("ref", "at").alias("first"), F.max_by("ref", "at").alias("last"))
+    return ends.join(some(ways.select("id")), "id", "left_semi")
+
+
 def among(df: DataFrame, ids: DataFrame, etype: str) -> DataFrame:
     """The elements of one type with any of the ids; what is known of them stays known."""
     own = of_type(df, etype)

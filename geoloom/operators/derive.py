@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions.geometry import point
-from ..model import KEY, degrees, elements, of_type, tag
+from ..model import KEY, RELATION_AREA, degrees, elements, ends_of, members_of, of_type, tag
+from ..shared import stored
 from .output import numbered
 
 
@@ -125,12 +126,34 @@ def local_trigraphs(df: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("relation"), (F.col("pos") + 1).alias("pos"), "m.type", "m.ref", "m.role", F.when(F.col("pos") > 0, near(F.col("pos") - 1)).alias("previous"), near(F.col("pos") + 1).alias("next"))
 
 
+def ring_members(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, whole, even) of the relations with a way that has nodes, and (id, at, ref) of the way members of those with `even`; both are written.
+
+    Where every end is met an even number of times the hashes of all ends cancel out, so `even` rules out most other
+    relations by one number each, and none that closes; `whole` tells that all way members are ways with nodes.
+    """
+    relations, ways = of_type(df, "relation"), of_type(df, "way")
+    lines = members_of(relations).filter(F.col("type") == "way").select("id", "at", "ref")
+    ends = ends_of(ways).select(F.col("id").alias("ref"), F.xxhash64("first").bitwiseXOR(F.xxhash64("last")).alias("ends"))
+    sums = lines.select("id", "ref").join(ends, "ref", "left").groupBy("id").agg(F.count("*").alias("all"), F.count("ends").alias("known"), F.bit_xor("ends").alias("ends"))
+    found = sums.filter("known > 0").select("id", (F.col("known") == F.col("all")).alias("whole"), (F.col("ends") == 0).alias("even"))
+    found = stored(found.join(relations.select("id"), "id", "left_semi"), "rings")
+    few = stored(found.filter("even").select("id"), "even")
+    return found, stored(lines.join(few, "id", "left_semi"), "lines")
+
+
+def unpaired(lines: DataFrame, ways: DataFrame) -> DataFrame:
+    """The ids of lines (id, ref) of relations in which an end node is met an odd number of times."""
+    ends = ends_of(ways, lines.select(F.col("ref").alias("id"))).select(F.col("id").alias("ref"), F.explode(F.array("first", "last")).alias("node"))
+    return lines.select("id", "ref").join(ends, "ref").groupBy("id", "node").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("id").distinct()
+
+
 def rings(df: DataFrame) -> DataFrame:
     """(id, area, closed): whether the ways of each relation can form rings: every end node is met an even number of times."""
-    members = of_type(df, "relation").select(F.col("id").alias("relation"), F.explode("members").alias("m")).filter(F.col("m.type") == "way").select("relation", F.col("m.ref").alias("id"))
-    ways = of_type(df, "way").filter(F.size("nds") > 0).select("id", F.array(F.get("nds", F.lit(0)), F.get("nds", F.size("nds") - 1)).alias("ends"))
-    ends = members.join(ways, "id").select("relation", F.explode("ends").alias("node")).groupBy("relation", "node").agg((F.count("*") % 2 == 1).alias("odd"))
-    return ends.groupBy("relation").agg((~F.bool_or("odd")).alias("closed")).select(F.col("relation").alias("id"), (F.col("relation") + 3_600_000_000).alias("area"), "closed")
+    found, lines = ring_members(df)
+    odd = unpaired(lines, of_type(df, "way")).withColumn("odd", F.lit(True))
+    closed = F.col("even") & F.col("odd").isNull()
+    return found.join(odd, "id", "left").select("id", (F.col("id") + RELATION_AREA).alias("area"), closed.alias("closed"))
 
 
 def tag_columns(df: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..model import RELATION_AREA, WAY_AREA, both, closed, degrees, elements, of_type, pick, typed, types_of
+from ..model import RELATION_AREA, WAY_AREA, both, closed, degrees, elements, nodes_of, of_type, pick, typed, types_of
 from ..shared import stored
 from . import derive, filters
 
@@ -137,11 +137,15 @@ def relation_areas(df: DataFrame, world: DataFrame) -> DataFrame:
 
     The geometry is the members' lines; the even-odd rule takes their sides in any order, so rings need no joining.
     """
-    relations = of_type(df, "relation")
-    whole = derive.rings(both(relations, of_type(world, "way"))).filter("closed").select("id")
-    placed = with_shapes(typed(relations.join(whole, "id", "left_semi").select(*df.columns), "relation"), world)
-    lines = F.transform(F.filter(F.arrays_zip("members", "shapes"), lambda z: z["members"]["type"] == "way"), lambda z: z["shapes"])
-    known = placed.withColumn("geometry", lines).filter(F.forall("geometry", lambda line: F.size(line) > 1))
+    relations, ways = of_type(df, "relation"), of_type(world, "way")
+    found, lines = derive.ring_members(both(relations, ways))
+    lines = lines.join(found.filter("whole AND even").select("id"), "id", "left_semi").join(derive.unpaired(lines, ways), "id", "left_anti")
+    lines = stored(lines, "closed")
+    placed = of_type(world, "node").select(F.col("id").alias("ref"), _place().alias("p"))
+    at = nodes_of(ways).join(lines.select(F.col("ref").alias("id")), "id", "left_semi").join(placed, "ref")
+    points = at.groupBy(F.col("id").alias("ref")).agg(F.sort_array(F.collect_list(F.struct("at", "p")))["p"].alias("points"))
+    made = lines.join(points.filter(F.size("points") > 1), "ref", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "points")))["points"].alias("geometry"))
+    known = relations.drop("geometry").join(made.filter(F.forall("geometry", lambda line: line.isNotNull())), "id")
     return elements(known.withColumn("id", F.col("id") + RELATION_AREA), "area")
 
 

@@ -112,3 +112,71 @@ def test_relations_as_xml_without_lists_of_places(spark):
     assert listed.exceptAll(numbered).isEmpty() and numbered.exceptAll(listed).isEmpty()
     plan = QUERIES["output_xml_geometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def _ring_world(spark):
+    """Relations whose ways close or do not: by chance, with a way twice or in two roles, unknown or empty ways, a way of one node, nodes without a place."""
+    from random import Random
+
+    rng = Random(5)
+    nodes = [(i, i * 1000, i * 2000) for i in range(1, 13)] + [(13, None, None)]
+    ways = [(i, [rng.randint(1, 6) for _ in range(rng.randint(2, 4))]) for i in range(1, 41)] + [(50, [1]), (51, []), (52, [2, 99, 2]), (53, [99, 98, 99]), (54, [3, 13, 3]), (55, [1, 2]), (56, [2, 1])]
+    ways += [(57, [7, 8]), (58, [8, 9]), (59, [9, 7])]
+    some = [[("way", rng.randint(1, 40), "") for _ in range(rng.randint(1, 3))] for _ in range(120)]
+    some += [[("way", 55, ""), ("way", 56, "")], [("way", 55, ""), ("way", 55, "")], [("way", 55, "a"), ("way", 55, "b")], [("way", 50, "")], [("way", 51, "")], [("way", 52, "")], [("way", 53, "")], [("way", 54, "")], [("way", 77, "")]]
+    some += [[("way", 59, "x"), ("node", 1, ""), ("way", 57, ""), ("relation", 3, ""), ("way", 58, "y")], [("way", 57, ""), ("way", 58, "")], [("way", 55, ""), ("way", 56, ""), ("way", 77, "")], [("way", 55, ""), ("way", 56, ""), ("way", 51, "")], [("node", 1, "")], []]
+    make = lambda rows, schema, t: elements(spark.createDataFrame(rows, f"id long, {schema}"), t)
+    relations = make(list(enumerate(some, 1)), "members array<struct<type:string,ref:long,role:string>>", "relation")
+    return (make(nodes, "lat_e7 long, lon_e7 long", "node"), make(ways, "nds array<long>", "way"), relations), (dict(ways), dict(enumerate(some, 1)), {n[0]: n[1] for n in nodes})
+
+
+def test_rings_by_sums_of_ends(spark):
+    """Relations that can form rings and their areas, as a plain count of ends has them: of lists, and of noted rows with ids of elements that are missing."""
+    from collections import Counter
+
+    from geoloom.model import listed, members_of, nodes_of
+    from geoloom.operators import derive
+
+    (nodes, ways, relations), (nds, members, places) = _ring_world(spark)
+    closes, areas = {}, {}
+    for i, own in members.items():
+        refs = [ref for kind, ref, _ in own if kind == "way"]
+        ends = [end for ref in refs if nds.get(ref) for end in (nds[ref][0], nds[ref][-1])]
+        if not ends:
+            continue
+        closes[i] = all(n % 2 == 0 for n in Counter(ends).values())
+        lines = [[places[n] and n * 1e-4 for n in nds.get(ref, []) if n in places] for ref in refs]
+        if closes[i] and all(len(line) > 1 for line in lines):
+            areas[i + 3_600_000_000] = lines
+    assert 10 < len(areas) < sum(closes.values()) < len(closes) - 10
+
+    plain = both(nodes, ways, relations)
+    rows = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    strange = spark.createDataFrame([(77, 0, 1), (77, 1, 2)], "id long, at int, ref long")
+    more = spark.createDataFrame([(999, 0, "way", 55, ""), (999, 1, "way", 56, "")], "id long, at int, type string, ref long, role string")
+    noted = both(nodes, listed(elements(ways, "way"), rows(nodes_of(ways)).unionByName(strange)), listed(elements(relations, "relation"), rows(members_of(relations)).unionByName(more)))
+    for w in (plain, noted):
+        assert {r.id: (r.area - r.id, r.closed) for r in derive.rings(w).collect()} == {i: (3_600_000_000, c) for i, c in closes.items()}
+        found = {r.id: [[p.lat for p in line] for line in r.geometry] for r in shapes.relation_areas(w, w).collect()}
+        assert found.keys() == areas.keys()
+        assert all([len(a) for a in found[i]] == [len(b) for b in areas[i]] and all(x == y or abs(x - y) < 1e-9 for a, b in zip(found[i], areas[i], strict=True) for x, y in zip(a, b, strict=True)) for i in areas)
+
+
+def test_relation_areas_make_no_lists_of_all_members(spark):
+    """The closed relations are known before lists are made, which then hold the nodes of their ways alone; members noted as rows are those of the lists."""
+    from geoloom.model import of_type
+    from geoloom.operators import derive
+    from geoloom.plans.placed import QUERIES
+    from geoloom.sources import star
+
+    data = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    made, world = plan(QUERIES["derive_relation_areas"](spark, data)), star.world(spark, data)
+    assert "collect_list(struct(at," in made and "collect_list(struct(type," not in made and "supplies" not in made
+    assert "collect_list" not in plan(derive.rings(world))
+    from geoloom.model import members_of
+
+    relations = of_type(world, "relation")
+    lists = relations.select("id", F.posexplode("members").alias("pos", "m")).select("id", "pos", "m.*")
+    numbered = members_of(relations).withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("at")) - 1).select(*lists.columns)
+    assert lists.exceptAll(numbered).isEmpty() and numbered.exceptAll(lists).isEmpty()
