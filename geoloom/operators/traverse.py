@@ -6,10 +6,12 @@ work on (etype, id) alone, and on memberships as rows where a source notes them:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEY, among, both, links_of, of_type, typed, types_of
+from ..model import KEY, RANK, among, both, ends_of, links_of, members_of, nodes_of, of_type, typed, types_of
 from ..shared import stored
 
 
@@ -84,6 +86,29 @@ def way_link(world: DataFrame, ways: DataFrame, low: int, high: int | None = Non
     return _counted(world, counts, low, high)
 
 
+def member_counts(df: DataFrame, role: str, of: str = "relation") -> DataFrame:
+    """(etype, id, tags, n, n_distinct, n_role, closed) of ways and relations: their members, the distinct ones, those of a type in a role, and whether a way's first node is its last. Counted on rows, no lists are made."""
+    ways, relations = of_type(df, "way"), of_type(df, "relation")
+    zero = F.lit(0).cast("bigint")
+    # all nodes of a way meet in one task, so that they are shuffled once; only a way with a repeated node can have equal ends
+    nodes = nodes_of(ways).select("id", "ref").repartition("id").groupBy("id", "ref").agg(F.count("ref").alias("n"))
+    nodes = stored(nodes.groupBy("id").agg(F.sum("n").alias("n"), F.count("ref").alias("n_distinct"), F.count("*").alias("refs"), F.max("n").alias("most")))
+    ends = ends_of(ways, nodes.filter("n > 1 AND most > 1")).filter("first = last").select("id", F.lit(True).alias("same"))
+    closed = F.coalesce("same", (F.col("n") == 1) & (F.col("refs") == 1), F.lit(False)).alias("closed")
+    # rows of one type leave the tables of the others unread, and rows that are distinct already are not shuffled again
+    parts = []
+    for etype in RANK:
+        fits = F.count_if((F.col("role") == role) & F.col("ref").isNotNull()) if etype == of else F.lit(0).cast("bigint")
+        rows = members_of(relations).filter(F.col("type") == etype).groupBy("id", "ref").agg(F.count("ref").alias("n"), fits.alias("n_role"))
+        parts.append(rows.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.sum("n_role").alias("n_role")))
+    sums = reduce(DataFrame.unionAll, parts).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", "n_distinct", "n_role")])
+    count = lambda c: F.coalesce(c, zero).alias(c)
+    own = lambda some: some.select(*KEY, F.size("tags").alias("tags"))
+    of_ways = own(ways).join(nodes, "id", "left").join(ends, "id", "left").select(*KEY, "tags", count("n"), count("n_distinct"), zero.alias("n_role"), closed)
+    of_relations = own(relations).join(sums, "id", "left").select(*KEY, "tags", count("n"), count("n_distinct"), count("n_role"), F.lit(None).cast("boolean").alias("closed"))
+    return of_ways.unionAll(of_relations)
+
+
 def _counted(world: DataFrame, counts: DataFrame, low: int, high: int | None) -> DataFrame:
     fits = F.col("n") >= low if high is None else F.col("n").between(low, high)
     return _fetch(of_type(world, "node"), counts.filter(fits).select(F.lit("node").alias("etype"), F.col("ref").alias("id")))
