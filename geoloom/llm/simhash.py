@@ -23,6 +23,11 @@ connect are a cluster, and pairs are verified inside blocks of a cluster, to eac
 a block returns only edges that connect what was apart. Larger clusters first meet in parts; then only sets outside the
 largest component found so far meet all others.
 
+Fingerprints reach nearly all pairs, not all. The rest is found by prefixes, which leave out none: shingles have one order,
+rare ones first, and two sets of that similarity share one of the first `n - ceil(least * n) + 1` shingles of each. Sets of
+different components that share one, with sizes and places there that allow the similarity, are verified as pairs; where a
+shingle has more than SETS_UPTO sets, in blocks as above. How often a shingle occurs sets the order, and so the cost, alone.
+
 Null and empty texts have fingerprint zero, linked like any other. Texts shorter than a shingle are one shingle.
 Repeated rows are ties; of rows with one id and text, `near_dedup` keeps one. A null id counts only where a component
 has no other. Extra columns pass through `near_dedup`, whose own columns begin with `_`.
@@ -31,7 +36,7 @@ has no other. Extra columns pass through `near_dedup`, whose own columns begin w
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import combinations
 
@@ -56,12 +61,14 @@ BLOCK = 1 << 21
 SETS_UPTO, BYTES_UPTO = 256, 1 << 22
 #: Partners of a set that are verified as pairs; sets with more are crowded.
 PARTNERS_UPTO = 2
+#: Shingles that are counted at once; and from which count on a shingle comes late in prefixes, for as many shingles at most. All three change the cost of prefixes only, not what they find.
+COUNTED_AT_ONCE, FREQUENT, FREQUENT_UPTO = 1 << 22, 32, 1 << 16
 
 
 @dataclass(frozen=True)
 class Similar:
     """near_dedup: words of a shingle, least Jaccard similarity, fingerprints of a text, share of the pairs at that similarity
-    that the keys should reach, and the bits in which the first two fingerprints of a pair may differ (at 0.8: 19.4 of 128, deviation 4.1)."""
+    that the keys should reach (prefixes find the rest), and the bits in which the first two fingerprints of a pair may differ (at 0.8: 19.4 of 128, deviation 4.1)."""
 
     shingle: int = 5
     least: float = 0.8
@@ -613,7 +620,7 @@ def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar, sets_u
     """(node, root) of sets that verified pairs connect; texts: (_row, text) of all rows, of which only those with partners are cut into shingles. Of crowded sets, pairs inside a component that others connect already need no look at their shingles."""
     places = key_places(sketches.count(), s)
     partners = stored(similar_partners(sketches, places, s))
-    named = sketches.select("_set", "_row").join(partners, "_set", "left_semi")
+    named = stored(sketches.select("_set", "_row").join(partners, "_set", "left_semi"))  # written: where they are few, texts are not shuffled
     shingles = stored(_with_shingles(texts.join(named, "_row"), s))
     roots = components(verified(_pairs_of(partners), shingles, s.least).toDF("a", "b"))
     # a set that is not crowded has brought all its pairs; what is left has two crowded sides: all pairs among these, but for those that are connected already
@@ -626,6 +633,106 @@ def similar_components(sketches: DataFrame, texts: DataFrame, s: Similar, sets_u
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
 
 
+def frequent_shingles(texts: DataFrame, s: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many rows (text) hold, in order, and the rank of each, from 1 on and higher for commoner ones. A shingle counts where a run of texts holds it twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
+
+        for part in chunks(batches, "text", 1 << 20):
+            held.append(shingle_sets(raw(part.column("text")), s.shingle)[0])
+            if sum(map(len, held)) > COUNTED_AT_ONCE:
+                yield out()
+        if held:
+            yield out()
+
+    counts = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = np.array([r.shingle for r in counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT_UPTO).collect()], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
+
+
+def _prefix_rows(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], s: Similar) -> DataFrame:
+    """(shingle, set, at) of rows (_set, text): the shingles of each text's prefix; at holds the size of the set in its upper half and the place of the shingle in the lower one."""
+    late, ranks = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", 1 << 20):
+            hashes, count = shingle_sets(raw(part.column("text")), s.shingle)
+            owner = np.repeat(np.arange(len(count)), count)
+            if len(late):
+                found = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
+                rank = np.where(late[found] == hashes, ranks[found], 0)
+                hashes = hashes[np.argsort(owner * (len(late) + 1) + rank, kind="stable")]
+            place = np.arange(len(hashes)) - (np.cumsum(count) - count)[owner]
+            length = count - np.ceil(s.least * count - 1e-9).astype(np.int64) + 1
+            taken = place < length[owner]
+            own = part.column("_set").to_numpy(zero_copy_only=False)
+            columns = (hashes[taken].view(np.int64), own[owner[taken]], count[owner[taken]] << 32 | place[taken])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "set", "at"])
+
+    return texts.select("_set", "text").mapInArrow(run, "shingle long, set long, at long")
+
+
+def shared_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (shingle, set, at) in this order, those whose shingle has several sets, each once."""
+    names = ["shingle", "set", "at"]
+
+    def found(now: list[np.ndarray]) -> pa.RecordBatch:
+        shingle = now[0]
+        begin = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        n = np.diff(np.r_[begin, len(shingle)])
+        return pa.RecordBatch.from_arrays([pa.array(x[np.repeat(n > 1, n)]) for x in now], names=names)
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        once = np.r_[True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]
+        now = [x[once] for x in now]
+        last = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on in the next batch
+        if last:
+            yield found([x[:last] for x in now])
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield found(held)
+
+
+def rest_links(texts: DataFrame, sketches: DataFrame, roots: DataFrame, s: Similar, sets_upto: int = SETS_UPTO) -> DataFrame:
+    """Edges (u, v) that connect all similar sets which roots (node, root) do not; texts: (_row, _set, text) of all rows."""
+    rows = _prefix_rows(texts, frequent_shingles(texts, s), s).repartition("shingle").sortWithinPartitions("shingle", "set").mapInArrow(shared_sorted, "shingle long, set long, at long")
+    rows = stored(stored(rows).join(roots, F.col("set") == F.col("node"), "left").select("shingle", "set", F.coalesce("root", "set").alias("root"), F.shiftright("at", 32).alias("size"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place")))
+    groups = stored(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("set").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high"))
+    # a shingle of few sets: pairs, if it can be the first that both share, with as many after it as the similarity takes
+    few = rows.join(groups.filter(F.col("n") <= sets_upto), "shingle", "left_semi")
+    x, y = (few.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("set", "root", "size", "place")]) for k in "xy")
+    left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    fits = (F.col("set_x") > F.col("set_y")) & (F.col("root_x") != F.col("root_y")) & (left * (1 + s.least) >= s.least * (F.col("size_x") + F.col("size_y")) - 1e-6)
+    pairs = stored(x.join(y, "shingle").filter(fits).select(F.col("set_x").alias("u"), F.col("set_y").alias("v")).distinct())
+    # a shingle of many: all its sets are in one cluster
+    many = stored(rows.join(groups.filter(F.col("n") > sets_upto).select("shingle", "least"), "shingle").select("set", "least").distinct())
+    own = pairs.select(F.explode(F.array("u", "v")).alias("_set")).unionAll(many.select("set")).distinct()
+    named = stored(sketches.select("_set", "_row").join(own, "_set", "left_semi"))  # written: where they are few, texts are not shuffled
+    shingles = stored(_with_shingles(texts.select("_row", "text").join(named, "_row"), s))
+    found = verified(pairs, shingles, s.least)
+    if many.isEmpty():
+        return found
+    inside = components(many.toDF("a", "b"))
+    inside = inside.select(F.col("node").alias("_set"), F.col("root").alias("cluster"))
+    inside = inside.unionAll(inside.select(F.col("cluster").alias("_set"), "cluster").distinct())
+    full = sketches.select("_set", "_fps").join(inside, "_set").join(roots, F.col("_set") == F.col("node"), "left").select("cluster", "_set", F.coalesce("root", "_set").alias("root"), "_fps")
+    every = replace(s, most_bits=128)  # of the two fingerprints that blocks compare
+    return found.unionAll(cluster_links(stored(full.join(shingles, "_set")), roots, every, sets_upto))
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Similar | None = None) -> DataFrame:
     """docs with one row, that with the least id, of each component of texts whose shingle sets are similar. Which rows go is settled on row numbers, without texts."""
     s = settings or Similar()
@@ -633,9 +740,13 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sett
     least = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row")))
     classes = stored(rows.groupBy("_set").agg(least.alias("first")))
     sketches = stored(rows.select("_row", "_set", "_fps").join(classes.select(F.col("first.row").alias("_row")), "_row", "left_semi"))
-    roots = similar_components(sketches, rows.select("_row", F.col(text).alias("text")), s)
+    texts = rows.select("_row", "_set", F.col(text).alias("text"))
+    roots = similar_components(sketches, texts.drop("_set"), s)
+    more = stored(rest_links(texts, sketches, roots, s))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     rooted = classes.join(roots, classes["_set"] == roots["node"], "left").select("first", F.coalesce("root", "_set").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row")))
     return rows.join(kept, "_row", "left_semi").drop("_row", "_set", "_fps")
 
 
